@@ -42,35 +42,32 @@ def frame_index(
     size: str = "size_bytes",
     moment: str = "written_at",
 ) -> DataFrame:
-    """One row for each record of each intact file: ``location, entry, record_key, offset, length, crc32``.
+    """One row for each record of each intact file: ``location, entry, record_key, offset, length, file_crc32``.
 
     Intact is a file of more than 0 bytes whose payload has exactly ``record_bytes`` for each of its ids.
     Lengths and checksums are taken in the scan, so no payload is shuffled: only ids, offsets and checksums
     meet by location.
     """
-    n = F.size(ids)
-    whole = (
-        F.col(path).isNotNull() & F.col(ids).isNotNull() & F.col(payload).isNotNull()
-        & (F.col(size) > 0) & (F.octet_length(payload) == n * record_bytes)
-    )
-    cut = F.transform(
-        F.col(ids),
-        lambda one, i: F.struct(
-            i.alias("entry"),
-            entry_key(one).alias("record_key"),
-            F.crc32(F.substring(F.col(payload), i * record_bytes + 1, F.lit(record_bytes))).alias("crc32"),
-        ),
-    )
     kept = (
-        files.where(whole)
-        .select(path_key(path).alias("location"), F.struct(F.col(moment).alias("moment"), cut.alias("records")).alias("one"))
+        files.where(_intact(record_bytes, path, ids, payload, size))
+        .select(
+            path_key(path).alias("location"),
+            F.struct(F.col(moment).alias("moment"), F.transform(ids, entry_key).alias("keys"), F.crc32(payload).alias("crc32")).alias("one"),
+        )
         .groupBy("location").agg(F.max("one").alias("one"))
     )
-    return kept.select("location", F.inline("one.records")).select(
-        "location", "entry", "record_key", (F.col("entry") * record_bytes).cast("bigint").alias("offset"), F.lit(record_bytes).cast("bigint").alias("length"), "crc32"
+    return kept.select("location", F.posexplode("one.keys").alias("entry", "record_key"), F.col("one.crc32").alias("file_crc32")).select(
+        "location", "entry", "record_key", (F.col("entry").cast("bigint") * record_bytes).alias("offset"), F.lit(record_bytes).cast("bigint").alias("length"), "file_crc32"
     )
 
 
+def _intact(record_bytes: int, path: str, ids: str, payload: str, size: str) -> Column:
+    return (
+        F.col(path).isNotNull() & F.col(ids).isNotNull() & F.col(payload).isNotNull()
+        & (F.col(size) > 0) & (F.octet_length(payload) == F.size(ids) * record_bytes)
+    )
+
+
 def record_fates(
     manifest: DataFrame, index: DataFrame, record: str = "patch_id", place_path: str = "shard_path", place_index: str = "shard_index"
 ) -> DataFrame:
@@ -156,29 +153,40 @@ def concatenate(
 def verify(shards: DataFrame) -> DataFrame:
     """Each shard held against its index: ``shard_id, part, n_files, n_bytes, crc32, intact``.
 
-    ``intact``: the shard's checksum, and the length and checksum of every piece cut out by its offset, agree.
+    ``intact``: the shard's length and checksum, and those of every piece cut out by its offset, agree.
     """
-    def good(p: Column) -> Column:
-        body = F.substring(F.col("payload"), (p["offset"] + 1).cast("int"), p["length"].cast("int"))
-        return (F.octet_length(body) == p["length"]) & (F.crc32(body) == p["crc32"])
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = []
+            for body, n, crc, pieces in zip(batch["payload"], batch["n_bytes"], batch["crc32"], batch["pieces"], strict=True):
+                view = memoryview(body)
+                cut = (view[p["offset"] : p["offset"] + p["length"]] for p in pieces)
+                good.append(len(body) == n and zlib.crc32(view) == crc and all(len(c) == p["length"] and zlib.crc32(c) == p["crc32"] for p, c in zip(pieces, cut, strict=True)))
+            yield batch[["shard_id", "part", "n_files", "n_bytes", "crc32"]].assign(intact=good)
 
-    fits = (F.crc32("payload") == F.col("crc32")) & (F.octet_length("payload") == F.col("n_bytes")) & F.forall("pieces", good)
-    return shards.select("shard_id", "part", "n_files", "n_bytes", "crc32", fits.alias("intact"))
+    return shards.mapInPandas(hold, "shard_id bigint, part int, n_files bigint, n_bytes bigint, crc32 bigint, intact boolean")
 
 
-def one_piece_per_record(files: DataFrame, record_bytes: int, ids: str = "patch_ids", payload: str = "map2_mask", **names: str) -> DataFrame:
+def one_piece_per_record(
+    files: DataFrame, record_bytes: int, path: str = "file_path", ids: str = "patch_ids", payload: str = "map2_mask", size: str = "size_bytes", moment: str = "written_at"
+) -> DataFrame:
     """``path, content``: of each record of the intact files its newest copy, cut out by its offset."""
-    path, size, moment = (names.get(k, d) for k, d in (("path", "file_path"), ("size", "size_bytes"), ("moment", "written_at")))
-    n = F.size(ids)
-    whole = F.col(path).isNotNull() & F.col(ids).isNotNull() & F.col(payload).isNotNull() & (F.col(size) > 0) & (F.octet_length(payload) == n * record_bytes)
-    cut = files.where(whole).select(
-        F.col(moment).alias("moment"), path_key(path).alias("location"), F.col(payload).alias("body"), F.posexplode(ids).alias("entry", "id")
-    )
-    one = cut.where("id IS NOT NULL").select(
-        entry_key("id").alias("path"),
-        F.struct("moment", "location", (-F.col("entry")).alias("order"), F.substring("body", F.col("entry") * record_bytes + 1, F.lit(record_bytes)).alias("content")).alias("one"),
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [
+                (at, location, -i, key, body[i * record_bytes : (i + 1) * record_bytes])
+                for at, location, keys, body in zip(batch["moment"], batch["location"], batch["keys"], batch["body"], strict=True)
+                for i, key in enumerate(keys)
+                if key is not None
+            ]
+            yield pd.DataFrame(out, columns=["moment", "location", "place", "path", "content"])
+
+    whole = files.where(_intact(record_bytes, path, ids, payload, size)).select(
+        F.col(moment).cast("timestamp_ntz").alias("moment"), path_key(path).alias("location"), F.transform(ids, entry_key).alias("keys"), F.col(payload).alias("body")
     )
-    return one.groupBy("path").agg(F.max("one").alias("one")).select("path", "one.content")
+    pieces = whole.mapInPandas(cut, "moment timestamp_ntz, location string, place bigint, path string, content binary")
+    best = pieces.groupBy("path").agg(F.max(F.struct("moment", "location", "place", "content")).alias("one"))
+    return best.select("path", "one.content")
 
 
 def write_shards(shards: DataFrame, folder: str, suffix: str = ".bin") -> DataFrame:
