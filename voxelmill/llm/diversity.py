@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 PART_ROWS = 20_000
 
 
-def greedy(value: np.ndarray, kind: np.ndarray, radius: float, size: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
+def greedy(value: np.ndarray, kind: np.ndarray, radius: float, size: int, gain: float, fill: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Rows in the order in which they raise the kernel's determinant most, and their gains.
 
     The kernel of two rows of one ``kind`` is ``max(0, 1 - |a - b| / radius)`` (positive definite in one
     dimension), 0 for rows of different kinds. Each step takes the largest remaining variance (the factor by
     which the determinant grows; the first row among equals) and updates all others by one new row of the
-    Cholesky factor. Stops at ``size`` rows or where the largest variance is below ``gain``.
+    Cholesky factor. Stops at ``size`` rows or where the largest variance is below ``gain`` (at least 1e-9, below which
+    a row is taken for a copy); with ``fill`` the remaining seats go to the first of the rows that are left.
     """
     n = len(value)
     size = min(size, n)
@@ -28,7 +29,7 @@ def greedy(value: np.ndarray, kind: np.ndarray, radius: float, size: int, gain:
     order, gains = [], []
     while len(order) < size:
         j = int(np.argmax(left))
-        if left[j] < gain:
+        if left[j] < max(gain, 1e-9):
             break
         t = len(order)
         if t == len(factor):
@@ -41,10 +42,14 @@ def greedy(value: np.ndarray, kind: np.ndarray, radius: float, size: int, gain:
         gains.append(left[j])
         left[near] -= row * row
         left[j] = -np.inf
-    return np.array(order, dtype=int), np.array(gains)
+    if fill and len(order) < size:
+        rest = np.flatnonzero(left > -np.inf)[: size - len(order)]
+        order += rest.tolist()
+        gains += [0.0] * len(rest)
+    return np.array(order, dtype=int), np.array(gains, dtype=float)
 
 
-def core_set(rows: DataFrame, groups: list[str], kind: str, value: str, identity: str, radius: float, size: str | int, gain: float = 1e-9, part_rows: int = PART_ROWS) -> DataFrame:
+def core_set(rows: DataFrame, groups: list[str], kind: str, value: str, identity: str, radius: float, size: str | int, gain: float = 0.0, fill: bool = False, part_rows: int = PART_ROWS) -> DataFrame:
     """Per group of ``groups`` the rows that greedy selection keeps: ``groups..., kind, value, identity, place, gain``.
 
     ``size`` is a column of ``rows`` (the same all over a group) or a number. A group is split by the hash of
@@ -53,23 +58,23 @@ def core_set(rows: DataFrame, groups: list[str], kind: str, value: str, identity
     or more from all others of its kind keeps the full gain of 1 in every pass: with ``gain=1`` and no bound on the size
     no such row is ever left out.
 
-    Rows with a null or non-finite value, a null identity or a null size take no part; null groups and kinds
-    are groups of their own. An empty table gives an empty result. Equal gains go by smaller identity.
+    Rows with a null group, a null or non-finite value, a null identity or a null size take no part; a null kind
+    is a kind of its own. An empty table gives an empty result. Equal gains go by smaller identity.
     """
     mine = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) != float("inf")) & F.col(identity).isNotNull())
     wanted = F.lit(size) if isinstance(size, int) else F.col(size)
     labels = list(dict.fromkeys([*groups, kind]))
     mine = mine.select(*labels, F.col(value).cast("double").alias(value), F.col(identity), wanted.cast("bigint").alias("_size")).where("_size > 0")
+    for g in groups:
+        mine = mine.where(F.col(g).isNotNull())
     parts = mine.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))
-    on = [mine[g].eqNullSafe(parts[g]) for g in groups]
-    joined = mine.join(parts, on) if any(mine.schema[g].nullable for g in groups) else mine.join(parts, groups)
-    laid = joined.select(*[mine[c] for c in mine.columns], F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(mine[identity]), F.col("_parts"))).otherwise(0).alias("_part"))
+    laid = mine.join(parts, groups).withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(identity), F.col("_parts"))).otherwise(0)).select(*mine.columns, "_part")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema.fields) + ", place int, gain double"
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(identity, kind="stable", ignore_index=True)
         codes = pd.factorize(pdf[kind], use_na_sentinel=False)[0]
-        order, gains = greedy(pdf[value].to_numpy(float), codes, radius, int(pdf["_size"].iloc[0]), gain)
+        order, gains = greedy(pdf[value].to_numpy(float), codes, radius, int(pdf["_size"].iloc[0]), gain, fill)
         return pdf.iloc[order].assign(place=np.arange(len(order), dtype="int32"), gain=gains)
 
     def whole_groups(keys: list[str]):
