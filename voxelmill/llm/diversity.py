@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import map_groups
+
 #: Most rows of a group that meet in one part of the first pass.
 PART_ROWS = 20_000
 
@@ -69,45 +69,17 @@ def core_set(rows: DataFrame, groups: list[str], kind: str, value: str, identity
         mine = mine.where(F.col(g).isNotNull())
     parts = mine.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))
     laid = mine.join(parts, groups).withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(identity), F.col("_parts"))).otherwise(0)).select(*mine.columns, "_part")
+    names = mine.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema.fields) + ", place int, gain double"
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(identity, kind="stable", ignore_index=True)
+        pdf = pdf[names].sort_values(identity, kind="stable", ignore_index=True)
         codes = pd.factorize(pdf[kind], use_na_sentinel=False)[0]
         order, gains = greedy(pdf[value].to_numpy(float), codes, radius, int(pdf["_size"].iloc[0]), gain, fill)
         return pdf.iloc[order].assign(place=np.arange(len(order), dtype="int32"), gain=gains)
 
-    def whole_groups(keys: list[str]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: list[pd.DataFrame] = []
-
-            def flush(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-                done = [pick(g.drop(columns="_part")) for _, g in pdf.groupby(keys, dropna=False, sort=False)]
-                if done:
-                    yield pd.concat(done, ignore_index=True)
-
-            for batch in batches:
-                if batch.empty:
-                    continue
-                last = batch[keys].iloc[-1]
-                mask = np.ones(len(batch), dtype=bool)
-                for k in keys:
-                    mask &= (batch[k].isna() if pd.isna(last[k]) else batch[k] == last[k]).to_numpy(dtype=bool)
-                if mask.all():
-                    held.append(batch)
-                    continue
-                yield from flush(pd.concat([*held, batch[~mask]], ignore_index=True))
-                held = [batch[mask]]
-            if held:
-                yield from flush(pd.concat(held, ignore_index=True))
-
-        return run
-
-    def passed(df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(whole_groups(keys), schema)
-
-    first = passed(laid, [*groups, "_part"])
-    final = passed(first.drop("place", "gain").withColumn("_part", F.lit(0)), groups)
+    first = map_groups(laid, [*groups, "_part"], pick, schema)
+    final = map_groups(first.drop("place", "gain"), groups, pick, schema)
     return final.drop("_size")
 
 
