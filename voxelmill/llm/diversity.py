@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import map_groups
+from .batches import Kept, map_groups
 
 #: Most rows of a group that meet in one part of the first pass.
 PART_ROWS = 20_000
@@ -67,20 +67,20 @@ def core_set(rows: DataFrame, groups: list[str], kind: str, value: str, identity
     mine = mine.select(*labels, F.col(value).cast("double").alias(value), F.col(identity), wanted.cast("bigint").alias("_size")).where("_size > 0")
     for g in groups:
         mine = mine.where(F.col(g).isNotNull())
-    parts = mine.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))
-    laid = mine.join(parts, groups).withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(identity), F.col("_parts"))).otherwise(0)).select(*mine.columns, "_part")
-    names = mine.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema.fields) + ", place int, gain double"
+    parts = mine.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))
+    laid = mine.join(parts, groups).withColumn("_part", F.pmod(F.xxhash64(identity), F.col("_parts"))).select(*mine.columns, "_parts", "_part")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[names].sort_values(identity, kind="stable", ignore_index=True)
-        codes = pd.factorize(pdf[kind], use_na_sentinel=False)[0]
-        order, gains = greedy(pdf[value].to_numpy(float), codes, radius, int(pdf["_size"].iloc[0]), gain, fill)
-        return pdf.iloc[order].assign(place=np.arange(len(order), dtype="int32"), gain=gains)
+    def pick(values: np.ndarray, sizes: np.ndarray, *kinds: np.ndarray) -> Kept:
+        codes = pd.factorize(kinds[0], use_na_sentinel=False)[0] if kinds else np.zeros(len(values), dtype=int)
+        order, gains = greedy(values, codes, radius, int(sizes[0]), gain, fill)
+        return order, {"place": np.arange(len(order), dtype="int32"), "gain": gains}
 
-    first = map_groups(laid, [*groups, "_part"], pick, schema)
-    final = map_groups(first.drop("place", "gain"), groups, pick, schema)
-    return final.drop("_size")
+    given = [value, "_size", *([] if kind in groups else [kind])]
+    whole = map_groups(laid.where("_parts = 1"), groups, [identity], given, pick, schema, drop=("_parts", "_part"))
+    first = map_groups(laid.where("_parts > 1"), [*groups, "_part"], [identity], given, pick, schema, drop=("_parts", "_part"))
+    final = map_groups(first.drop("place", "gain"), groups, [identity], given, pick, schema)
+    return whole.unionByName(final).drop("_size")
 
 
 def isolated(core: DataFrame, rows: DataFrame, groups: list[str], value: str, identity: str, radius: float) -> DataFrame:
@@ -92,6 +92,6 @@ def isolated(core: DataFrame, rows: DataFrame, groups: list[str], value: str, id
     bucket = F.floor(F.col(value) / radius)
     mine = core.select(*groups, F.col(identity).alias("_mine"), F.col(value).alias("_at"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"))
     others = rows.select(*groups, F.col(identity).alias("_other"), F.col(value).alias("_value"), bucket.alias("_bucket"))
-    near = mine.join(others, [*groups, "_bucket"]).where((F.col("_mine") != F.col("_other")) & (F.abs(F.col("_at") - F.col("_value")) < radius))
-    close = near.select(*groups, F.col("_mine").alias(identity)).distinct()
-    return core.join(close, [*groups, identity], "left_anti")
+    near = (F.col("_other") != F.col("_mine")) & (F.abs(F.col("_at") - F.col("_value")) < radius)
+    met = mine.join(others, [*groups, "_bucket"], "left").groupBy(*groups, "_mine").agg(F.max(F.coalesce(near, F.lit(False))).alias("_near"))
+    return met.where("NOT _near").select(*groups, F.col("_mine").alias(identity))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .batches import map_groups
+from .batches import Kept, map_groups
 from .components import components
 
 #: Distinct points of a cell from which only its outermost points are kept for links to other cells.
@@ -206,12 +206,13 @@ def linked_sets(rows: DataFrame, model: Mixture, group: str, identity: str, reac
     held = points.join(crowd, block)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
 
-    def outer(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[outermost(pdf[values].to_numpy())].drop(columns="_part", errors="ignore")
+    def outer(*columns: np.ndarray) -> Kept:
+        return np.flatnonzero(outermost(np.column_stack(columns))), {}
 
-    parts = F.ceil(F.col("_points") / PART_POINTS)
-    many = held.where(F.col("_points") > dense).withColumn("_part", F.pmod(F.xxhash64(*values), parts))
-    fronts = map_groups(map_groups(many, [*block, "_part"], outer, schema), block, outer, schema)
+    crowded = held.where(F.col("_points") > dense).withColumn("_part", F.pmod(F.xxhash64(*values), F.ceil(F.col("_points") / PART_POINTS)))
+    fronts = map_groups(crowded, [*block, "_part"], [], values, outer, schema, drop=("_part",))
+    large = F.col("_points") > PART_POINTS
+    fronts = fronts.where(~large).unionByName(map_groups(fronts.where(large), block, [], values, outer, schema))
     fronts = held.where(F.col("_points") <= dense).unionByName(fronts)
 
     wide = [F.array_distinct(F.array(F.floor(F.col(v) / (2.0 * t)), F.floor((F.col(v) + float(t) * (1 + 1e-9)) / (2.0 * t)))) for v, t in zip(values, reach, strict=True)]
