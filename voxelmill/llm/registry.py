@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["sampling_queries", "ranking_queries", "diversity_queries", "split_queries", "mixture_queries"]
+NAMES = ["sampling_queries", "ranking_queries", "diversity_queries", "split_queries", "mixture_queries", "leak_queries"]
 
 
 def modules() -> list:
