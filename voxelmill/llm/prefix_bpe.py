@@ -43,23 +43,13 @@ class PrefixEncoder:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
-        self.ranks, self.pattern = ranks, pattern
+        self.ranks = ranks
         self.longest = max(map(len, ranks))
-        self._start()
-
-    def _start(self) -> None:
-        self.split = regex.compile(self.pattern).findall
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.split = regex.compile(pattern).findall
+        self.tokens = {rank: token for token, rank in ranks.items()}
         self.pairs = _Memo(self._may_follow)
         self.pieces = _Memo(lambda piece: tuple(self.encode_bytes(piece.encode("utf-8", "surrogatepass"))))
 
-    def __getstate__(self):
-        return self.ranks, self.pattern, self.longest
-
-    def __setstate__(self, state):
-        self.ranks, self.pattern, self.longest = state
-        self._start()
-
     def _may_follow(self, pair: tuple[int, int]) -> bool:
         parts = [self.tokens[t] for t in pair if t >= 0]
         wanted, joined = list(parts), [bytes([b]) for b in b"".join(parts)]

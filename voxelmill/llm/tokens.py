@@ -25,10 +25,13 @@ def encode(documents: DataFrame, identity: str, text: str, rank_file: str, patte
     data = Path(rank_file).read_bytes()
     if len(data) > MOST_BYTES:
         raise ValueError(f"{rank_file} is larger than {MOST_BYTES} bytes")
-    shared = documents.sparkSession.sparkContext.broadcast(PrefixEncoder(read_ranks(data), pattern))
+    shared = documents.sparkSession.sparkContext.broadcast({"ranks": data})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value
+        held = shared.value  # one object for all tasks of a worker, which so keeps what it has learned
+        if "encoder" not in held:
+            held["encoder"] = PrefixEncoder(read_ranks(held["ranks"]), pattern)
+        encoder = held["encoder"]
         split, pieces = encoder.split, encoder.pieces
         for batch in batches:
             flat, ends = [], [0]
