@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["sampling_queries", "ranking_queries", "diversity_queries", "split_queries", "mixture_queries", "token_queries", "leak_queries"]
+NAMES = ["sampling_queries", "ranking_queries", "diversity_queries", "split_queries", "mixture_queries", "token_queries", "leak_queries", "encoding_queries"]
 
 
 def modules() -> list:
