@@ -47,7 +47,8 @@ def exact_phrases(documents: DataFrame, items: DataFrame, identity: str, item: s
     """``identity, item, at``: where the ``words`` of a row of ``documents`` hold ``n`` consecutive words of an item.
 
     Postings are counted for the terms of all items; each phrase then starts from the postings of its rarest
-    term, adjusted by the term's offset, and the adjusted places are held against the document's words.
+    term, adjusted by the term's offset, and the adjusted places are held against the document's words: by the phrase's hash where the
+    words are, then word for word.
     ``documents`` is read three times and should be a written table. Null identities and word lists take no part, empty
     ones hold nothing; repeated rows give repeated places only once.
     """
@@ -57,8 +58,10 @@ def exact_phrases(documents: DataFrame, items: DataFrame, identity: str, item: s
     counts = postings(texts, vocabulary, identity).groupBy("term").count()
     wanted = written(phrases(asked, counts, item, n), "phrases")
     rare = postings(texts, wanted.select("term").distinct(), identity)
-    places = rare.join(wanted, "term").select(identity, item, "phrase", (F.col("at") - F.col("offset")).alias("at")).where("at >= 0").distinct()
-    return places.join(texts, identity).where(F.slice("words", F.col("at") + 1, n) == F.col("phrase")).select(identity, item, "at").distinct()
+    sums = wanted.select(item, "term", "offset", F.xxhash64("phrase").alias("_sum"))
+    places = rare.join(sums, "term").select(identity, item, "_sum", (F.col("at") - F.col("offset")).alias("at")).where("at >= 0").distinct()
+    found = places.join(texts, identity).select(identity, item, "at", "_sum", F.slice("words", F.col("at") + 1, n).alias("phrase")).where(F.xxhash64("phrase") == F.col("_sum"))
+    return found.join(wanted, [item, "phrase"], "left_semi").select(identity, item, "at").distinct()
 
 
 def near_phrases(documents: DataFrame, items: DataFrame, identity: str, item: str, span: int, share: float) -> DataFrame:
