@@ -87,11 +87,14 @@ def isolated(core: DataFrame, rows: DataFrame, groups: list[str], value: str, id
     """Of the rows of ``core`` those that are ``radius`` or more from every other row of their group in ``rows``.
 
     The exact check behind a core-set taken with ``gain=1``: candidates meet the rows of the three buckets of width
-    ``radius`` around them, and fewer than two mutually distant candidates fit into a bucket.
+    ``radius`` around them, in which fewer than two mutually distant candidates fit. Equal values of a group are joined before, so
+    a value that very many rows share meets a candidate once.
     """
     bucket = F.floor(F.col(value) / radius)
     mine = core.select(*groups, F.col(identity).alias("_mine"), F.col(value).alias("_at"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"))
-    others = rows.select(*groups, F.col(identity).alias("_other"), F.col(value).alias("_value"), bucket.alias("_bucket"))
-    near = (F.col("_other") != F.col("_mine")) & (F.abs(F.col("_at") - F.col("_value")) < radius)
+    others = rows.groupBy(*groups, F.col(value).alias("_value")).agg(F.min(identity).alias("_first"), F.max(identity).alias("_last"))
+    others = others.withColumn("_bucket", F.floor(F.col("_value") / radius))
+    other = (F.col("_first") != F.col("_mine")) | (F.col("_last") != F.col("_mine"))
+    near = other & (F.abs(F.col("_at") - F.col("_value")) < radius)
     met = mine.join(others, [*groups, "_bucket"], "left").groupBy(*groups, "_mine").agg(F.max(F.coalesce(near, F.lit(False))).alias("_near"))
     return met.where("NOT _near").select(*groups, F.col("_mine").alias(identity))
