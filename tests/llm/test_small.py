@@ -269,7 +269,7 @@ def test_phrases_against_brute_force(spark):
 def test_near(spark):
     d = spark.createDataFrame([(1, "a x b y c".split()), (2, "a x x x x x b c".split())], "doc bigint, words array<string>")
     q = spark.createDataFrame([(7, ["a", "b", "c"])], "item bigint, words array<string>")
-    assert [tuple(r) for r in leaks.near_phrases(d, q, "doc", "item", 5, 1.0).collect()] == [(1, 7, 0, 3)]
+    assert [tuple(r) for r in leaks.near_phrases(d, q, "doc", "item", 5, 3).collect()] == [(1, 7, 0, 3)]
 
 
 # Problem 9

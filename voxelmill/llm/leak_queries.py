@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..sources.tables import table
-from .leaks import dialogue, exact_phrases, words_of
+from .leaks import dialogue, exact_phrases, near_phrases, words_of
 
 
-def _places(spark: SparkSession, d: str) -> DataFrame:
+def _words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", words_of(dialogue("text")).alias("words"))
     items = table(spark, d, "eval_items", "item_id", "text").select("item_id", words_of(F.col("text")).alias("words"))
-    return exact_phrases(written(documents, "words"), items, "doc_id", "item_id")
+    return written(documents, "words"), items
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    return exact_phrases(*_words(spark, d), "doc_id", "item_id")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +29,12 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _places(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.count(F.lit(1)).alias("n_places"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items}
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Proximity matches: five of the six rarest terms of an item within sixty words."""
+    return near_phrases(*_words(spark, d), "doc_id", "item_id", span=60, least=5)
+
+
+QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p8_near": p8_near}
 
 _PLACES = r"""
 WITH bare AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\r\n]*-->[^\r\n]*', '', 'g'),
@@ -39,5 +48,10 @@ found AS (SELECT DISTINCT doc_id, item_id, place FROM g JOIN p USING (g))
 """
 ORACLES = {
     "p8_found": _PLACES + "SELECT DISTINCT doc_id, item_id FROM found",
+    "p8_near": _PLACES.rsplit("g AS (", 1)[0] + r"""e AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM eval_items),
+x AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS place FROM w), t AS (SELECT term, count(*) AS n FROM x WHERE term IN (SELECT term FROM e) GROUP BY 1),
+r AS (SELECT item_id, term FROM e JOIN t USING (term) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n, term) <= 6),
+h AS (SELECT doc_id, item_id, term, place FROM x JOIN r USING (term)), k AS (SELECT a.doc_id, a.item_id, a.place, count(DISTINCT b.term) AS hits FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.place BETWEEN a.place AND a.place + 59 GROUP BY ALL)
+SELECT doc_id, item_id, CAST(place AS INT) AS "at", CAST(hits AS INT) AS hits FROM k WHERE hits >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY hits DESC, place) = 1""",
     "p8_items": _PLACES + "SELECT item_id, count(DISTINCT doc_id) AS n_documents, count(*) AS n_places FROM found GROUP BY 1",
 }

@@ -64,16 +64,19 @@ def exact_phrases(documents: DataFrame, items: DataFrame, identity: str, item: s
     return found.join(wanted, [item, "phrase"], "left_semi").select(identity, item, "at").distinct()
 
 
-def near_phrases(documents: DataFrame, items: DataFrame, identity: str, item: str, span: int, share: float) -> DataFrame:
-    """``identity, item, at, hits``: proximity matches, windows of ``span`` words with ``share`` or more of an item's distinct words.
+def near_phrases(documents: DataFrame, items: DataFrame, identity: str, item: str, span: int, least: int, rare: int = 6) -> DataFrame:
+    """``identity, item, at, hits``: proximity matches, places from which ``span`` words hold ``least`` of an item's ``rare`` rarest terms.
 
-    The item's postings are merged by position; a window is counted from each posting on. Terms in more than one item are
-    looked up once. Meant for items whose words are rare enough that their postings can be listed.
+    Terms that the corpus lacks don't count as rare. Only the postings of rare terms are merged, by document and item; the first
+    place with most different terms is given. An item with fewer than ``least`` terms in the corpus can't be found.
     """
     texts = documents.where(F.col(identity).isNotNull() & F.col("words").isNotNull()).select(identity, "words")
-    asked = items.where(F.col(item).isNotNull()).select(item, F.array_distinct("words").alias("words"))
-    terms = asked.select(item, F.size("words").alias("_all"), F.explode("words").alias("term"))
-    hits = postings(texts, terms.select("term").distinct(), identity).join(terms, "term")
-    window = Window.partitionBy(identity, item).orderBy("at").rangeBetween(0, span - 1)
-    found = hits.withColumn("hits", F.size(F.collect_set("term").over(window))).where(F.col("hits") >= F.col("_all") * share)
-    return found.groupBy(identity, item).agg(F.max(F.struct("hits", (-F.col("at")).alias("at"))).alias("best")).select(identity, item, (-F.col("best.at")).alias("at"), "best.hits")
+    terms = items.where(F.col(item).isNotNull()).select(item, F.explode("words").alias("term")).distinct()
+    counts = postings(texts, terms.select("term").distinct(), identity).groupBy("term").count()
+    order = Window.partitionBy(item).orderBy("count", "term")
+    wanted = written(terms.join(counts, "term").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rare).select(item, "term"), "rare-terms")
+    hits = postings(texts, wanted.select("term").distinct(), identity).join(wanted, "term")
+    ahead = Window.partitionBy(identity, item).orderBy("at").rangeBetween(0, span - 1)
+    found = hits.withColumn("hits", F.size(F.collect_set("term").over(ahead))).where(F.col("hits") >= least)
+    best = found.groupBy(identity, item).agg(F.max(F.struct("hits", (-F.col("at")).alias("at"))).alias("best"))
+    return best.select(identity, item, (-F.col("best.at")).alias("at"), "best.hits")
