@@ -33,6 +33,11 @@ FAMILIES = {
 ALLOWED_CONTEXT = ["map2_mask_fraction", "distance_to_mask_boundary_px", "map2_local_thickness_proxy"]
 
 
+def family_of(name: str) -> str:
+    """The family of one feature name."""
+    return next((label for label, parts in FAMILIES.items() if any(p in name.lower() for p in parts)), "Other")
+
+
 def family(name: Column | str) -> Column:
     """The family of a feature name, whatever its case; ``Other`` for names of none, null for null."""
     name = F.lower(F.col(name) if isinstance(name, str) else name)

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.families import family
-from ..functions.keys import newest
+from ..functions.keys import newest, path_key
 from ..functions.numeric import finite, shown
+from ..operators import feature_variance as V
 from ..operators import models as M
+from ..operators import report as R
 from ..session import written
 from ..sources.tables import table
-from .report import _SEP, FEATURES, METRICS, _r, feature_rows, separation
+from .report import _PATH, _SEP, FEATURES, METRICS, _r, cluster_rows, feature_rows, long_rows, separation
 
 SEED = 42
 
@@ -58,6 +60,41 @@ def q_silhouette(spark, d):
     return out.select("dataset_name", "feature", shown("silhouette", 4).alias("silhouette"))
 
 
+def q_feature_variance(spark, d):
+    """Every dataset's features grouped by their log metrics, with the number of groups that part them best."""
+    return V.variance_clusters(separation(spark, d), "dataset_name")
+
+
+def _loadings(spark: SparkSession, d: str) -> DataFrame:
+    """Mean product of each standardised feature with both recorded axes, for each dataset."""
+    axes = cluster_rows(spark, d).select("patch_id", "pca_1", "pca_2").where(finite("pca_1") & finite("pca_2"))
+    z = R.standardize(long_rows(spark, d), ["dataset_name"]).join(axes, "patch_id")
+    both = z.select("dataset_name", "feature", F.inline(F.array(*[F.struct(F.lit(k).alias("axis"), (F.col("value") * F.col(f"pca_{k}")).alias("p")) for k in (1, 2)])))
+    return both.groupBy("dataset_name", "feature", "axis").agg(F.avg("p").alias("loading"))
+
+
+def q_redundancy_rule(spark, d):
+    """Pairs of one family that are redundant by metrics, loadings and distance."""
+    metrics = written(separation(spark, d).withColumn("family", family("feature")), "metrics")
+    return V.redundant_pairs(metrics, _loadings(spark, d), "dataset_name", "family")
+
+
+def q_redundancy_groups(spark, d):
+    metrics = written(separation(spark, d).withColumn("family", family("feature")), "metrics")
+    pairs = written(V.redundant_pairs(metrics, _loadings(spark, d), "dataset_name", "family"), "pairs")
+    return V.redundant_groups(pairs, metrics, "dataset_name", "family")
+
+
+def q_shard_lookup(spark, d):
+    """Each manifest patch fetched from its stored file by path and entry: the mask's true pixels, null where the file doesn't hold it."""
+    given = newest(table(spark, d, "manifest", "patch_id", "patch_path", "loaded_at"), "patch_id", "loaded_at", "patch_path").select("patch_id", path_key("patch_path").alias("location"))
+    files = table(spark, d, "patch_files").where("size_bytes > 0 AND octet_length(map2_mask) = 64 * size(patch_ids)")
+    entry = files.select(path_key("file_path").alias("location"), F.hex("map2_mask").alias("h"), "written_at", F.posexplode(F.transform("patch_ids", lambda i: F.lower(F.trim(i)))).alias("entry", "patch_id"))
+    ones = F.length(F.regexp_replace(F.substring(F.col("h"), F.col("entry") * 128 + 1, F.lit(128)), "00", "")) / 2
+    held = entry.groupBy("location", "patch_id").agg(F.max(F.struct("written_at", ones.alias("n"))).alias("b")).select("location", "patch_id", F.col("b.n").cast("int").alias("true_pixels"))
+    return given.join(held, ["location", "patch_id"], "left").select("patch_id", "true_pixels")
+
+
 def q_spatial_context(spark, d):
     """Mask fraction and, where the center is in the mask, its sign of distance, of each patch; from the stored 8 x 8 masks."""
     files = table(spark, d, "patch_files").where("size_bytes > 0 AND octet_length(map2_mask) = 64 * size(patch_ids) AND size(patch_ids) = 1")
@@ -77,17 +114,13 @@ def q_fingerprint(spark, d):
 
 def q_event_sample(spark, d):
     """At most five events of each user and type, in the order of an arithmetic hash."""
-    from ..operators.report import ranked
-
     rows = table(spark, d, "events", "event_id", "user_id", "event_type").withColumn("key", (F.col("event_id") * 73856093 + 42) % 1000003)
-    return ranked(rows, ["user_id", "event_type"], [F.col("key"), F.col("event_id")], 5).select("event_id", "user_id", "event_type", "rank")
+    return R.ranked(rows, ["user_id", "event_type"], [F.col("key"), F.col("event_id")], 5).select("event_id", "user_id", "event_type", "rank")
 
 
 def q_event_bins(spark, d):
-    from ..operators.report import bins_2d
-
     rows = table(spark, d, "events", "event_type", "value", "ts").select("event_type", "value", (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("double").alias("second"))
-    return bins_2d(rows, ["event_type"], "value", "second", 10).groupBy("event_type", "bx", "by").count()
+    return R.bins_2d(rows, ["event_type"], "value", "second", 10).groupBy("event_type", "bx", "by").count()
 
 
 def q_pixel_size(spark, d):
@@ -109,6 +142,11 @@ SELECT dataset_name, feature, {_r('CASE WHEN a IS NULL OR b IS NULL OR greatest(
     "q_spatial_context": f"""WITH o AS (SELECT lower(trim(patch_ids[1])) AS patch_id, hex(map2_mask) AS h, written_at FROM patch_files WHERE size_bytes > 0 AND octet_length(map2_mask) = 64 AND len(patch_ids) = 1),
 b AS (SELECT patch_id, length(replace(h, '00', '')) / 2 / 64 AS fraction, substring(h, 73, 2) = '01' AS center_inside FROM o QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY written_at DESC NULLS LAST, fraction DESC, center_inside DESC) = 1),
 g AS (SELECT patch_id, map2_mask_fraction AS m FROM patch_features QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY computed_at DESC NULLS LAST) = 1) SELECT patch_id, {_r('fraction')} AS fraction, center_inside, {_r('m')} AS recorded FROM b JOIN g USING (patch_id) WHERE m IS NOT NULL AND isfinite(m)""",
+    "q_shard_lookup": f"""WITH g AS (SELECT patch_id, {_PATH.format('patch_path')} AS loc FROM manifest WHERE patch_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY loaded_at DESC NULLS LAST, patch_path DESC) = 1),
+e AS (SELECT {_PATH.format('file_path')} AS loc, hex(map2_mask) AS h, written_at, unnest(patch_ids) AS id, unnest(range(len(patch_ids))) AS i FROM patch_files WHERE size_bytes > 0 AND octet_length(map2_mask) = 64 * len(patch_ids)),
+n AS (SELECT loc, lower(trim(id)) AS patch_id, CAST(len(list_filter(range(64), lambda k: substring(h, i * 128 + k * 2 + 1, 2) != '00')) AS INT) AS n, written_at FROM e),
+b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY loc, patch_id ORDER BY written_at DESC NULLS LAST, n DESC) = 1)
+SELECT g.patch_id, b.n AS true_pixels FROM g LEFT JOIN b ON g.loc = b.loc AND g.patch_id = b.patch_id""",
     "q_fingerprint": "SELECT sample_id, count(*) AS n, CAST(sum(CAST('0x' || substring(md5(concat_ws('|', patch_id, shard_path, CAST(shard_index AS VARCHAR), patch_path)), 1, 12) AS HUGEINT)) AS VARCHAR) AS sum FROM manifest GROUP BY 1",
     "q_event_sample": "SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (event_id * 73856093 + 42) % 1000003, event_id) AS rank FROM events QUALIFY rank <= 5",
     "q_event_bins": """WITH e AS (SELECT event_type, value, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS s FROM events WHERE value IS NOT NULL AND isfinite(value)), b AS (SELECT *, min(value) OVER w a, max(value) OVER w b, min(s) OVER w c, max(s) OVER w d FROM e WINDOW w AS (PARTITION BY event_type))

@@ -81,6 +81,14 @@ def q_manders(spark, d):
     return _shown(_pairs(spark, d), P.manders(F.col("a"), F.col("b"), F.col("ba"), F.col("bb")))
 
 
+def q_cross_channel(spark, d):
+    """All measures of a pair of channels; the region are the pixels at which channel a is at least 1."""
+    a, b = F.col("a"), F.col("b")
+    rows = _pairs(spark, d).withColumn("k", F.transform(a, lambda v: v >= 1.0))
+    inside = A.let(F.struct(A.where(a, F.col("k")).alias("a"), A.where(b, F.col("k")).alias("b")), lambda s: P.pixel_corr(s["a"], s["b"]))
+    return _shown(rows, {"pixel_corr": P.pixel_corr(a, b), "pixel_corr_in_mask": inside, **P.overlap(F.col("ba"), F.col("bb")), **P.manders(a, b, F.col("ba"), F.col("bb"))})
+
+
 def q_com_offset(spark, d):
     (ya, xa), (yb, xb) = P.center_of_mass(F.col("a"), SIDE), P.center_of_mass(F.col("b"), SIDE)
     return _shown(_pairs(spark, d), {"com_offset": F.sqrt((ya - yb) ** 2 + (xa - xb) ** 2), "mean_ratio": safe_ratio(A.mean(F.col("a")), A.mean(F.col("b")))})
@@ -193,6 +201,9 @@ SELECT vec_id, {_r('cm')} AS center_mean, {_r('sm')} AS surround_mean, {_r('cm -
 SELECT vec_id, {_r('CAST(arg_min(z, (-p, z)) AS DOUBLE)')} AS z_peak, {_r('any_value(s)')} AS z_std, {_r('CAST(count(*) FILTER (WHERE p >= t / 2) AS DOUBLE)')} AS z_width_halfmax, {_r('sum(z * p) / greatest(sum(p), 1e-6)')} AS z_center_of_mass,
 {_r('avg(((p - m) / s) ** 3)')} AS z_skewness, {_r('avg(((p - m) / s) ** 4) - 3')} AS z_kurtosis, {_r('1 - any_value(d) / any_value(t)')} AS z_peak_symmetry FROM z JOIN m USING (vec_id) JOIN y USING (vec_id) GROUP BY 1""",
     "q_pixel_corr": _AB + f" SELECT vec_id, {_r('corr(a, b)')} AS pixel_corr FROM ab GROUP BY 1",
+    "q_cross_channel": _AB + f""", g AS (SELECT vec_id, corr(a, b) AS c, CASE WHEN count(*) FILTER (WHERE a >= 1) < 3 THEN 0 ELSE corr(a, b) FILTER (WHERE a >= 1) END AS d, count(*) FILTER (WHERE ka AND kb) AS i, count(*) FILTER (WHERE ka OR kb) AS u,
+  least(count(*) FILTER (WHERE ka), count(*) FILTER (WHERE kb)) AS l, coalesce(sum(a) FILTER (WHERE kb), 0) / sum(a) AS m1, coalesce(sum(b) FILTER (WHERE ka), 0) / sum(b) AS m2 FROM ab GROUP BY 1)
+SELECT vec_id, {_r('c')} AS pixel_corr, {_r('d')} AS pixel_corr_in_mask, {_r(_SAFE.format(a='i', b='u'))} AS bright_jaccard, {_r(_SAFE.format(a='i', b='l'))} AS bright_overlap_coef, {_r('m1')} AS manders_m1, {_r('m2')} AS manders_m2 FROM g""",
     "q_bright_jaccard": _AB + f", g AS (SELECT vec_id, count(*) FILTER (WHERE ka AND kb) AS i, count(*) FILTER (WHERE ka OR kb) AS u, least(count(*) FILTER (WHERE ka), count(*) FILTER (WHERE kb)) AS l FROM ab GROUP BY 1) SELECT vec_id, {_r(_SAFE.format(a='i', b='u'))} AS bright_jaccard, {_r(_SAFE.format(a='i', b='l'))} AS bright_overlap_coef FROM g",
     "q_manders": _AB + f" SELECT vec_id, {_r('coalesce(sum(a) FILTER (WHERE kb), 0) / sum(a)')} AS manders_m1, {_r('coalesce(sum(b) FILTER (WHERE ka), 0) / sum(b)')} AS manders_m2 FROM ab GROUP BY 1",
     "q_com_offset": _AB + f", g AS (SELECT vec_id, sum(a * (i // 8)) / sum(a) ya, sum(a * (i % 8)) / sum(a) xa, sum(b * (i // 8)) / sum(b) yb, sum(b * (i % 8)) / sum(b) xb, avg(a) ma, avg(b) mb FROM ab GROUP BY 1) SELECT vec_id, {_r('sqrt((ya - yb) ** 2 + (xa - xb) ** 2)')} AS com_offset, {_r('ma / mb')} AS mean_ratio FROM g",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.families import ALLOWED_CONTEXT, FAMILIES, family, policy_reason
+from ..functions.families import ALLOWED_CONTEXT, FAMILIES, family, family_of, policy_reason
 from ..functions.keys import label_key, newest, path_key
 from ..functions.numeric import finite, guarded_corr, safe_ratio, shown
 from ..operators import report as R
@@ -178,7 +178,7 @@ def q_feature_pairs(spark, d):
 def q_redundancy_pairs(spark, d):
     """Pairs of one family whose values correlate by 0.95 or more in absolute value over the patches of their dataset."""
     wide = full_rows(spark, d).select("dataset_name", *[F.when(finite(f), F.col(f)).alias(f) for f in FEATURES])
-    pairs = [(a, b) for i, a in enumerate(sorted(FEATURES)) for b in sorted(FEATURES)[i + 1:]]
+    pairs = [(a, b) for i, a in enumerate(sorted(FEATURES)) for b in sorted(FEATURES)[i + 1:] if family_of(a) == family_of(b)]
 
     def sums(a: str, b: str, k: int) -> list:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
@@ -189,7 +189,7 @@ def q_redundancy_pairs(spark, d):
     col = lambda name, k: F.col(f"{name}{k}")
     rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), guarded_corr(*[col(n, k) for n in ("n", "x", "y", "xx", "yy", "xy")]).alias("corr")) for k, (a, b) in enumerate(pairs)]
     long = one.select("dataset_name", F.inline(F.array(*rows)))
-    return long.where((family("feature_a") == family("feature_b"))).select("dataset_name", "feature_a", "feature_b", shown("corr", 4).alias("corr"), (F.abs("corr") >= 0.95).alias("redundant"))
+    return long.select("dataset_name", "feature_a", "feature_b", shown("corr", 4).alias("corr"), (F.abs("corr") >= 0.95).alias("redundant"))
 
 
 def q_feature_family(spark, d):
