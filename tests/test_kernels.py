@@ -88,3 +88,11 @@ def test_reduced_axes(spark):
     assert explained.is_monotonic_decreasing and abs(explained.sum() - 1) < 1e-9
     labels = models.clusters(axes.select("*", axes["pca"][0].alias("p")), ["p"], 2, 1, "kmeans").select("cluster_id").distinct().count()
     assert labels == 2
+
+
+def test_confidence_keeps_its_floor(spark):
+    rows = [("a", y, x, float(y == 4 and x == 4)) for y in range(8) for x in range(8)] + [("b", y, x, 3.0) for y in range(8) for x in range(8)]
+    got = masks.confidence(spark.createDataFrame(rows, "k string, y int, x int, v double"), ["k"], 8, sigma=1.0, floor=0.3).toPandas()
+    a, b = got[got.k == "a"], got[got.k == "b"]
+    assert abs(a.value.min() - 0.3) < 1e-12 and a.value.max() == 1 and len(a) == 64
+    assert (a.loc[a.value.idxmax()][["y", "x"]] == [4, 4]).all() and np.allclose(b.value, 0.3)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .patch_features import smooth
+
 
 def percentile_normalize(pixels: DataFrame, keys: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """``value`` in 0..1 between two exact percentiles of each image; 1 on finite pixels where they don't differ, null for others."""
@@ -99,6 +101,29 @@ def connected_support(voxels: DataFrame, key: str, slices: int, plane: int, seed
     return marked.select(key, "z", "y", "x", "seed").groupBy(key).applyInPandas(run, f"`{key}` {kind}, z int, y int, x int")
 
 
+def smoothed(pixels: DataFrame, keys: list[str], plane: int, sigma: float) -> DataFrame:
+    """``keys..., y, x, v``: each image after a Gaussian filter; pixels that no row gives count as 0."""
+    schema = ", ".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys) + ", y int, x int, v double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((1, plane, plane))
+        image[0, pdf["y"], pdf["x"]] = pdf["v"]
+        y, x = np.mgrid[:plane, :plane]
+        out = smooth(image, sigma)[0].ravel()
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * out.size for k in keys}, "y": y.ravel().astype("int32"), "x": x.ravel().astype("int32"), "v": out})
+
+    return pixels.select(*keys, "y", "x", "v").groupBy(*keys).applyInPandas(run, schema)
+
+
+def confidence(pixels: DataFrame, keys: list[str], plane: int, sigma: float = 2.5, floor: float = 0.2) -> DataFrame:
+    """``keys..., y, x, value``: the smoothed image between its extremes, raised to at least ``floor``; ``floor`` alone for a flat one."""
+    soft = smoothed(pixels, keys, plane, sigma)
+    span = soft.groupBy(*keys).agg(F.min("v").alias("_a"), F.max("v").alias("_b"))
+    wide = F.col("_b") - F.col("_a")
+    part = F.when(wide > 1e-12, (F.col("v") - F.col("_a")) / F.when(wide > 1e-12, wide).otherwise(1.0)).otherwise(0.0)
+    return soft.join(span, keys).select(*keys, "y", "x", (floor + (1 - floor) * part).alias("value"))
+
+
 def blended(value: Column, confidence: Column, floor: float) -> Column:
     """A source value weighted by its confidence, of which the floor is kept: once in the confidence, once in the blend."""
     raised = floor + (1 - floor) * confidence

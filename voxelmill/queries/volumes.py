@@ -65,6 +65,16 @@ def q_confidence_blend(spark, d):
     return source.join(conf, ["sample_id", "y", "x"]).select("sample_id", "z", "y", "x", shown(masks.blended(F.col("v"), F.col("value"), 0.2)).alias("v"))
 
 
+def q_mask_confidence(spark, d):
+    """Confidence of each pixel of the masks' channel, from its smoothed projection."""
+    return masks.confidence(_mip(spark, d).where("channel = 'A'"), ["sample_id"], PLANE).withColumn("value", shown("value"))
+
+
+def q_smoothed_mask(spark, d):
+    """The hysteresis mask of the smoothed projection."""
+    return masks.hysteresis(masks.smoothed(_mip(spark, d).where("channel = 'A'"), ["sample_id"], PLANE, 1.0), ["sample_id"], PLANE)
+
+
 def q_edt(spark, d):
     top = masks.threshold(_mip(spark, d).where("channel = 'A'"), ["sample_id"], 0.99)
     return sampling.signed_distance(top, "sample_id", PLANE).select("sample_id", "y", "x", shown("distance").alias("distance"))
