@@ -135,6 +135,17 @@ def test_related_records_never_part(spark):
     assert abs(sum(s == "train" for _, s in got.values()) / 300 - 0.8) < 0.1
 
 
+def test_codes_and_days(spark):
+    from voxelmill.llm.split_queries import code_key, day_key
+
+    codes = ["div14_b000002", " DIV14-B2 ", "Div14 b02", "div14b20", "unknown", "n/a", "", None, "cs-0", "cs 1-1"]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in codes], "c string").select(code_key("c")).collect()]
+    assert got == ["div14b2", "div14b2", "div14b2", "div14b20", None, None, None, None, "cs0", "cs11"]
+    days = ["2026-03-05", " 2026/3/5", "05.03.2026", "20260305", "2026-03-05T00:00:00", "Mar 5, 2026", "5.3.2026", "2026-13-05", "soon", "", None]
+    got = [str(r[0]) for r in spark.createDataFrame([(c,) for c in days], "c string").select(day_key("c")).collect()]
+    assert got == ["2026-03-05"] * 7 + ["None"] * 4
+
+
 def test_many_buckets_pack_evenly(spark):
     groups = spark.createDataFrame([(f"g{i}", i % 17 + 1) for i in range(500)], "g string, w int")
     loads = [r.w for r in splits.pack(groups, "g", "w", 10, task_groups=60).groupBy("bin").agg(F.sum("w").alias("w")).collect()]

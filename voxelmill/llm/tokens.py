@@ -13,6 +13,8 @@ from .prefix_bpe import PATTERN, PrefixEncoder, read_ranks
 
 #: Largest rank file that is broadcast, in bytes; public vocabularies are far below it.
 MOST_BYTES = 64 << 20
+#: Rows whose texts and ids are Python objects at a time.
+ROWS = 512
 
 
 def encode(documents: DataFrame, identity: str, text: str, rank_file: str, pattern: str = PATTERN) -> DataFrame:
@@ -33,7 +35,7 @@ def encode(documents: DataFrame, identity: str, text: str, rank_file: str, patte
             held["encoder"] = PrefixEncoder(read_ranks(held["ranks"]), pattern)
         encoder = held["encoder"]
         split, pieces = encoder.split, encoder.pieces
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             flat, ends = [], [0]
             for one in batch.column(1).to_pylist():
                 if one:
