@@ -109,21 +109,23 @@ def _closed(body: bytes, kind: str, header: bytes | None) -> bytes:
 
 
 def concatenate(
-    pieces: DataFrame, target_bytes: int, kind: str = "raw", header: bytes | None = None, path: str = "path", content: str = "content"
+    pieces: DataFrame, target_bytes: int, kind: str = "raw", header: bytes | None = None, path: str = "path", content: str = "content", total_bytes: int | None = None
 ) -> DataFrame:
     """Shards of about ``target_bytes`` that hold every piece once, in the order of its location.
 
     A location goes to a shard by its hash; a shard that grows past the target is closed and goes on in its next
     part, so no task holds more than one target and one piece in memory. ``pieces`` of the result is the
-    index of each shard. Locations must be unique (see :func:`frame_index`).
+    index of each shard. Locations must be unique (see :func:`frame_index`). ``total_bytes`` spares a pass over the
+    contents where their size is known.
     """
     if kind not in ("raw", "lines", "zstd"):
         raise ValueError(f"unknown kind {kind!r}")
     if target_bytes <= 0:
         raise ValueError("target_bytes must be above 0")
     given = pieces.where(F.col(path).isNotNull() & F.col(content).isNotNull()).select(F.col(path).alias("location"), F.col(content).alias("content"))
-    total = given.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
-    shards = max(1, -(-total // target_bytes))
+    if total_bytes is None:
+        total_bytes = given.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
+    shards = max(1, -(-total_bytes // target_bytes))
     laid = given.withColumn("shard_id", F.pmod(F.xxhash64("location"), F.lit(shards)).cast("bigint"))
     laid = laid.repartition(int(min(shards, 20_000)), "shard_id").sortWithinPartitions("shard_id", "location")
 
