@@ -96,3 +96,42 @@ def test_dry_run_and_missing_masks(spark, dataset, tmp_path, capsys):
     (tmp_path / "masks" / "s0_analysismask.ome.tif").write_bytes(b"x")
     got = cli.missing_masks(spark, str(tmp_path / "s*.tif"), str(tmp_path / "masks"), 10).collect()
     assert [r.path.rsplit("/", 1)[1] for r in got] == ["s1.tif"]
+
+
+def test_mask_export_and_feature_variance(spark, dataset, tmp_path, capsys):
+    out = tmp_path / "made"
+    assert cli.main(["mask-export", "--images", str(tmp_path / "s*.tif"), "--output", str(out), "--halo", "1"]) == 0
+    stack = dataset[2]["s0"][0][0].astype(float)
+    from voxelmill.plans.mask_export import MaskSettings, mask_of, normalized
+
+    got, _ = tiff.planes((out / "s0_analysismask.ome.tif").read_bytes())
+    assert ((got[0] > 0) == mask_of(stack, MaskSettings(halo=1))).all() and (got[0] > 0).any()
+    assert cli.main(["mask-export", "--images", str(tmp_path / "s*.tif"), "--output", str(out), "--dry-run"]) == 0
+    assert "0 images lack" in capsys.readouterr().out
+    assert mask_of(np.zeros((2, 4, 4)), MaskSettings(guided=True)).all()
+    from voxelmill.plans.mask_export import depth_of, dilated
+
+    rng = np.random.default_rng(0)
+    solid = rng.random((4, 5, 6)) < 0.8
+    at = np.argwhere(~solid)
+    want = [[[0 if not solid[z, y, x] else np.sqrt(((at - (z, y, x)) ** 2).sum(1).min()) for x in range(6)] for y in range(5)] for z in range(4)]
+    assert np.allclose(depth_of(solid), want)
+    one = np.zeros((5, 7), dtype=bool)
+    one[2, 3] = True
+    assert dilated(one, 2).sum() == 25
+    y, x = np.mgrid[:20, :20]
+    volume = 100 - np.stack([np.hypot(y - 7, x - 10) + 9 * abs(z - 1) for z in range(3)])
+    guided = mask_of(volume, MaskSettings(guided=True, halo=1))
+    assert guided[7, 10] and not guided[19].any() and not guided[:, 0].any()
+    assert (normalized(np.full((2, 2), np.nan)) == 0).all()
+    with pytest.raises(ValueError):
+        MaskSettings(method="none")
+
+    csv = tmp_path / "sep.csv"
+    csv.write_text("feature,between_cluster_var,within_cluster_var,separation_score\n" + "\n".join(f"f{i},{10 ** (i % 2 * 4)},1,{10 ** (i % 2 * 4)}" for i in range(8)))
+    assert cli.main(["feature-variance", "--separation-csv", str(csv), "--output", str(tmp_path / "fv")]) == 0
+    rows = spark.read.parquet(str(tmp_path / "fv")).collect()
+    assert len(rows) == 8 and {r.k for r in rows} == {2} and len({(int(r.feature[1]) % 2, r.feature_variance_cluster) for r in rows}) == 2
+    csv.write_text("feature\nx")
+    with pytest.raises(ValueError):
+        cli.main(["feature-variance", "--separation-csv", str(csv), "--output", str(tmp_path / "fv2")])

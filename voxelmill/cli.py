@@ -1,4 +1,4 @@
-"""Command line: extract patches, make a report, list images that lack a mask, join small files."""
+"""Command line: extract patches, make reports, group features, export masks, list images that lack one, join small files."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ def missing_masks(spark, images: str, masks: str, limit: int):
     from pyspark.sql import functions as F
 
     name = lambda p, end: F.regexp_replace(F.element_at(F.split("path", "/"), -1), end, "")
-    listed = lambda p: spark.read.format("binaryFile").load(p).select("path")
+    listed = lambda p: spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(p).select("path")
     have = listed(masks).select(name(masks, r"_analysismask\.ome\.tiff?$").alias("stem"))
     return listed(images).withColumn("stem", name(images, r"\.tiff?$")).join(have, "stem", "left_anti").orderBy("path").limit(limit)
 
@@ -45,6 +45,19 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("--images", required=True)
     one.add_argument("--masks", required=True)
     one.add_argument("--limit", type=int, default=1000)
+    one = jobs.add_parser("mask-export", help="masks of all images that lack one, or of those named")
+    one.add_argument("--images", required=True)
+    one.add_argument("--output", required=True)
+    one.add_argument("--limit", type=int, default=1000)
+    one.add_argument("--channel", type=int, default=0)
+    one.add_argument("--method", default="hysteresis")
+    one.add_argument("--halo", type=int, default=0)
+    one.add_argument("--guided", action="store_true", help="grow the mask in the volume, weighed by the projection's mask")
+    one.add_argument("--dry-run", action="store_true")
+    one = jobs.add_parser("feature-variance")
+    one.add_argument("--separation-csv", required=True, nargs="+")
+    one.add_argument("--n-clusters", type=int)
+    one.add_argument("--output", required=True)
     one = jobs.add_parser("compact")
     one.add_argument("--pattern", required=True)
     one.add_argument("--output", required=True)
@@ -77,6 +90,28 @@ def main(argv: list[str] | None = None) -> int:
     elif args.job == "missing-masks":
         for row in missing_masks(get_session(master=args.master), args.images, args.masks, args.limit).toLocalIterator():
             print(row.path)
+    elif args.job == "mask-export":
+        from .plans.mask_export import MaskSettings, export_masks
+
+        settings, spark = MaskSettings(channel=args.channel, method=args.method, halo=args.halo, guided=args.guided), get_session(master=args.master)
+        Path(args.output).mkdir(parents=True, exist_ok=True)
+        todo = [r.path for r in missing_masks(spark, args.images, args.output, args.limit).collect()]  # at most --limit names
+        print(f"{len(todo)} images lack a mask")
+        if todo and not args.dry_run:
+            for row in export_masks(spark, todo, args.output, settings).toLocalIterator():
+                print(row.mask_path, row.true_pixels)
+    elif args.job == "feature-variance":
+        from functools import reduce
+
+        from pyspark.sql import functions as F
+
+        from .operators.feature_variance import load_separation, variance_clusters
+
+        spark = get_session(master=args.master)
+        tables = [load_separation(spark, p).withColumn("source", F.lit(p)) for p in args.separation_csv]
+        every = reduce(lambda a, b: a.unionByName(b), tables)
+        groups = variance_clusters(every, "source", args.n_clusters)
+        every.join(groups, ["source", "feature"]).write.mode("overwrite").parquet(args.output)
     else:
         from .operators.compaction import compact_folder
 
