@@ -200,10 +200,9 @@ def linked_sets(rows: DataFrame, model: Mixture, group: str, identity: str, reac
     members = written(members, "members")
 
     block = ["_group", "_block", *cells]
-    reps = members.groupBy(*block).agg(F.min("_id").alias("_rep"))
-    points = members.select(*block, *values).distinct()
-    crowd = points.groupBy(*block).agg(F.count(F.lit(1)).alias("_points")).join(reps, block)
-    held = points.join(crowd, block)
+    points = members.groupBy(*block, *values).agg(F.min("_id").alias("_first"))
+    reps = points.groupBy(*block).agg(F.count(F.lit(1)).alias("_points"), F.min("_first").alias("_rep"))
+    held = points.drop("_first").join(reps, block)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
 
     def outer(*columns: np.ndarray) -> Kept:
@@ -226,7 +225,7 @@ def linked_sets(rows: DataFrame, model: Mixture, group: str, identity: str, reac
         alike = alike & (F.abs(F.col(f"l.{v}") - F.col(f"r.{v}")) <= float(t))
     across = left.join(right, F.col("l._key") == F.col("r._key")).where(alike).select(F.col("l._rep").alias("a"), F.col("r._rep").alias("b")).distinct()
 
-    of = members.join(reps, block).select("_id", "_away", "_rep")
+    of = members.join(reps.drop("_points"), block).select("_id", "_away", "_rep")
     home = of.where("_away = 0").select("_id", F.col("_rep").alias("_home"))
     stitched = of.where("_away > 0").join(home, "_id").where("_home != _rep").select(F.col("_home").alias("a"), F.col("_rep").alias("b"))
     joined = components(across.unionByName(stitched))
