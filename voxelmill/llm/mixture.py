@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +61,8 @@ def _log_densities(z: np.ndarray, weights: np.ndarray, means: np.ndarray, covari
     out = np.empty((len(z), len(weights)))
     for k, (w, m, c) in enumerate(zip(weights, means, covariances, strict=True)):
         root = np.linalg.cholesky(c)
-        off = np.linalg.solve(root, (z - m).T)
-        out[:, k] = np.log(w) - 0.5 * (off * off).sum(0) - np.log(np.diag(root)).sum() - 0.5 * len(m) * np.log(2 * np.pi)
+        off = (z - m) @ np.linalg.inv(root).T
+        out[:, k] = np.log(w) - 0.5 * np.einsum("ij,ij->i", off, off) - np.log(np.diag(root)).sum() - 0.5 * len(m) * np.log(2 * np.pi)
     return out
 
 
@@ -74,7 +75,7 @@ def fit(
     job over all rows, in which all candidate numbers of components take part: every task adds up its
     responsibilities, and only sums (one row for each component) reach the driver. ``ridge`` is added to the diagonal of
     each covariance. Means start at equal shares along the first axis, so the fit is the same on every run. Rows with null or
-    non-finite features must have been removed; ``rows`` is read once for each step and should be a written table.
+    non-finite features must have been removed. The rows are packed once into blocks of Arrow batches, which each step reads.
     """
     d = len(features)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
@@ -104,13 +105,22 @@ def fit(
     active = set(sizes)
     moments = [(i, j) for i in range(r) for j in range(r)]
     names = ["n", "ll", *[f"s{i}" for i in range(r)], *[f"m{i}{j}" for i, j in moments]]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ends = pa.array([0, b.num_rows], type=pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in b.columns], features)
+
+    doubles = rows.select(*[F.col(f).cast("double").alias(f) for f in features])
+    blocks = written(doubles.mapInArrow(pack, ", ".join(f"`{f}` array<double>" for f in features)), "blocks")
     for _ in range(steps):
         now = {k: models[k] for k in active}
 
-        def step(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+        def step(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total = {k: np.zeros((k, 2 + r + r * r)) for k in now}
-            for batch in batches:
-                z = (batch[features].to_numpy(float) - centre) @ axes.T
+            for x in (np.stack([c[i].values.to_numpy() for c in b.columns], 1) for b in batches for i in range(b.num_rows)):
+                z = (x - centre) @ axes.T
                 square = (z[:, :, None] * z[:, None, :]).reshape(len(z), r * r)
                 for k, (w, m, c) in now.items():
                     logs = _log_densities(z, w, m, c)
@@ -122,9 +132,10 @@ def fit(
                     total[k][0, 1] += (top + np.log(norm)).sum()
                     total[k][:, 2 : 2 + r] += share.T @ z
                     total[k][:, 2 + r :] += share.T @ square
-            yield pd.concat([pd.DataFrame(t, columns=names).assign(k=k, component=np.arange(k)) for k, t in total.items()])[["k", "component", *names]]
+            made = pd.concat([pd.DataFrame(t, columns=names).assign(k=np.int32(k), component=np.arange(k, dtype="int32")) for k, t in total.items()])
+            yield pa.RecordBatch.from_pandas(made[["k", "component", *names]], preserve_index=False)
 
-        sums = rows.select(*features).mapInPandas(step, "k int, component int, " + ", ".join(f"{c} double" for c in names)).groupBy("k", "component").agg(*[F.sum(c).alias(c) for c in names])
+        sums = blocks.mapInArrow(step, "k int, component int, " + ", ".join(f"{c} double" for c in names)).groupBy("k", "component").agg(*[F.sum(c).alias(c) for c in names])
         got = sums.toPandas().sort_values(["k", "component"])
         for k, t in got.groupby("k"):
             ll = float(t["ll"].sum())
