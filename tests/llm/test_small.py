@@ -302,3 +302,21 @@ def test_garbled_words_are_found_and_restored(spark):
     restored = {r.doc_id: r.restored for r in encodings.restore(df, "doc_id", "text").collect()}
     assert restored[101] == "schön fünf käse möchte tür" and restored[103] == "сегодня хорошо пожалуйста" and restored[104] == "schön"
     assert encodings.restore(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_a_third_of_all_documents_may_be_garbled(spark):
+    wrong = lambda s, a, b: s.encode(a).decode(b)
+    german = ["über", "größe", "straße", "mädchen", "käse", "tür", "schön", "fünf", "möchte", "hören"]
+    russian = ["привет", "спасибо", "сегодня", "хорошо", "пожалуйста"]
+    docs, bad = [], {}
+    for i in range(90):
+        text = (" ".join(w for k, w in enumerate(german) if (i + k) % 3), "utf-8", "cp1252") if i % 2 else (" ".join(w for k, w in enumerate(russian) if (i + k) % 4), "cp1251", "latin-1")
+        if i % 6 < 2:  # a third of either language
+            bad[i] = text[0]
+        docs.append((i, wrong(*text) if i in bad else text[0]))
+    bad |= {90: "blöße", 91: "mühsam köstlich"}  # seen nowhere else
+    docs += [(i, wrong(bad[i], "utf-8", "cp1252")) for i in (90, 91)] + [(92, "CASSÉ… IRMÃ… PÅ… Îşi Ні так")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found, garbled = encodings.learn(df, "doc_id", "text")
+    assert {r.doc_id for r in found.join(garbled, "run", "left_semi").select("doc_id").distinct().collect()} == set(bad)
+    assert {r.doc_id: r.restored for r in encodings.restore(df, "doc_id", "text").collect()} == bad
