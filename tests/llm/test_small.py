@@ -60,6 +60,15 @@ def test_draw_keeps_floors_first(spark):
     assert {r.cat: r["count"] for r in sample.groupBy("cat").count().collect()} == {"a": 6, "b": 4}
 
 
+def test_capped_hot_sample_gets_its_share(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 5000, 0).otherwise(1 + F.col("id") % 20).alias("s"), F.col("id").alias("y"), F.lit("a").alias("g"), F.lit("d").alias("dom"), F.lit(50).alias("cap"))
+    kept = sampling.capped(rows, ["s", "g"], ["s", "y"], "cap", 50)
+    targets = spark.createDataFrame([("d", "a", 1.0, 210, 0)], "dom string, g string, target_share double, sample_size int, min_rows int")
+    sample, _ = sampling.draw(kept, targets, "dom", ["g"], ["s", "y"])
+    hot = sample.where("s = 0").count()  # 50 of 1,050 centers, so about 10 of 210 seats
+    assert sample.count() == 210 and 1 <= hot <= 25
+
+
 # Problem 3
 
 

@@ -36,6 +36,7 @@ def draw(
     ``report`` has a row for each target: ``wanted`` (the larger of target and floor), ``available`` (counted up
     to the most that any target of its domain could take), ``drawn`` and ``short`` (fewer available than wanted).
 
+    The order is hashed apart from that of :func:`capped`, or the rows that it kept of a hot group would all come first.
     Only the first ``max(size, floor)`` ranks of a stratum can matter, so both rankings are two-stage and salted.
     Rows or targets with a null domain or stratum take no part; repeated rows must be removed before.
     """
@@ -46,7 +47,7 @@ def draw(
     goals = targets.where(known).select(*on, F.col(share).cast("double").alias("_share"), F.coalesce(F.col(size), F.lit(0)).alias("_size"), F.coalesce(F.col(floor), F.lit(0)).alias("_floor"))
     goals = goals.withColumn("_target", F.round(F.coalesce("_share", F.lit(0.0)) * F.col("_size"), 6))
     most = goals.agg(F.max(F.greatest("_size", "_floor", F.ceil("_target")))).first()[0] or 0
-    order = [F.xxhash64(F.lit(seed), *identity), *map(F.col, identity)]
+    order = [F.xxhash64(F.lit("draw"), F.lit(seed), *identity), *map(F.col, identity)]
     mine = rows.where(known).select(*on, *[c for c in identity if c not in on])
     ranked = salted_rank(mine, on, order, identity, int(most), "_rank", salts).join(goals, on)
     priority = F.when(F.col("_rank") <= F.col("_floor"), F.lit(-1.0)).otherwise((F.col("_rank") - 0.5) / F.col("_target"))
