@@ -135,3 +135,13 @@ def test_mask_export_and_feature_variance(spark, dataset, tmp_path, capsys):
     csv.write_text("feature\nx")
     with pytest.raises(ValueError):
         cli.main(["feature-variance", "--separation-csv", str(csv), "--output", str(tmp_path / "fv2")])
+
+
+def test_missing_masks_has_no_limit_of_its_own(spark, tmp_path, capsys):
+    (tmp_path / "images").mkdir()
+    (tmp_path / "masks").mkdir()
+    for i in range(1005):
+        (tmp_path / "images" / f"s{i:04}.tif").write_bytes(b"x")
+    (tmp_path / "masks" / "s0000_analysismask.ome.tif").write_bytes(b"x")
+    assert cli.main(["missing-masks", "--images", str(tmp_path / "images"), "--masks", str(tmp_path / "masks")]) == 0
+    assert sum(".tif" in line for line in capsys.readouterr().out.splitlines()) == 1004

@@ -20,14 +20,15 @@ def run_metadata(folder: str, title: str, settings: str, argv: list[str]) -> Pat
     return path
 
 
-def missing_masks(spark, images: str, masks: str, limit: int):
-    """Images of a folder without a mask named after them, the first ones by name."""
+def missing_masks(spark, images: str, masks: str, limit: int | None = None):
+    """Images of a folder without a mask named after them, by name; with ``limit`` only the first ones."""
     from pyspark.sql import functions as F
 
     name = lambda p, end: F.regexp_replace(F.element_at(F.split("path", "/"), -1), end, "")
     listed = lambda p: spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(p).select("path")
     have = listed(masks).select(name(masks, r"_analysismask\.ome\.tiff?$").alias("stem"))
-    return listed(images).withColumn("stem", name(images, r"\.tiff?$")).join(have, "stem", "left_anti").orderBy("path").limit(limit)
+    lacking = listed(images).withColumn("stem", name(images, r"\.tiff?$")).join(have, "stem", "left_anti").orderBy("path")
+    return lacking if limit is None else lacking.limit(limit)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -44,11 +45,11 @@ def main(argv: list[str] | None = None) -> int:
     one = jobs.add_parser("missing-masks")
     one.add_argument("--images", required=True)
     one.add_argument("--masks", required=True)
-    one.add_argument("--limit", type=int, default=1000)
+    one.add_argument("--limit", type=int)
     one = jobs.add_parser("mask-export", help="masks of all images that lack one, or of those named")
     one.add_argument("--images", required=True)
     one.add_argument("--output", required=True)
-    one.add_argument("--limit", type=int, default=1000)
+    one.add_argument("--limit", type=int)
     one.add_argument("--channel", type=int, default=0)
     one.add_argument("--method", default="hysteresis")
     one.add_argument("--halo", type=int, default=0)
@@ -95,7 +96,7 @@ def main(argv: list[str] | None = None) -> int:
 
         settings, spark = MaskSettings(channel=args.channel, method=args.method, halo=args.halo, guided=args.guided), get_session(master=args.master)
         Path(args.output).mkdir(parents=True, exist_ok=True)
-        todo = [r.path for r in missing_masks(spark, args.images, args.output, args.limit).collect()]  # at most --limit names
+        todo = [r.path for r in missing_masks(spark, args.images, args.output, args.limit).toLocalIterator()]  # names only
         print(f"{len(todo)} images lack a mask")
         if todo and not args.dry_run:
             for row in export_masks(spark, todo, args.output, settings).toLocalIterator():
