@@ -38,3 +38,16 @@ def test_null_levels_stay_in_denominators(spark):
     rows = spark.createDataFrame([("d", 0, "a"), ("d", 0, None), ("d", None, "a"), ("d", None, "b")], "d string, c int, l string")
     got = {(r.c, r.l): (r["count"], r.fraction_within_cluster, r.global_fraction) for r in R.enrichment(rows, "d", "c", "l").collect()}
     assert got == {(0, "a"): (1, 0.5, 0.5), (0, "b"): (0, 0.0, 0.25), (None, "a"): (1, 0.5, 0.5), (None, "b"): (1, 0.5, 0.25)}
+
+
+def test_redundancy_rests_on_all_axes(spark, data):
+    from pyspark.sql import functions as F
+
+    from voxelmill.queries import models
+    from voxelmill.sources.tables import table
+
+    wanted = {r.dataset_name: r.n_pca_components for r in table(spark, data, "report_config", "dataset_name", "n_pca_components").collect()}
+    got = {r.dataset_name: r["n"] for r in models._loadings(spark, data).groupBy("dataset_name").agg(F.countDistinct("axis").alias("n")).collect()}
+    assert got and all(n == min(wanted.get(name) or 9, 9) for name, n in got.items()) and max(got.values()) > 2
+    corr = [abs(r.loading_corr) for r in models.q_redundancy_rule(spark, data).collect()]
+    assert any(0 < c < 0.999 for c in corr)

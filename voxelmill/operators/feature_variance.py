@@ -91,8 +91,8 @@ def variance_clusters(metrics: DataFrame, domain: str, k: int | None = None, see
 
 
 def redundant_pairs(metrics: DataFrame, loadings: DataFrame, domain: str, family: str, groups: int = 3, corr: float = 0.95, share: float = 0.25) -> DataFrame:
-    """Pairs of one family and one Ward group whose metrics and absolute loadings both correlate by ``corr``, and whose scaled distance is
-    within the ``share`` quantile of the family's distances.
+    """Pairs of one family and one Ward group whose metrics and absolute loadings both correlate by ``corr``, and whose distance is within
+    the ``share`` quantile of the family's distances. Groups and distances rest on the scaled log metrics and absolute loadings together.
 
     ``loadings`` has ``domain, feature, axis, loading``. Groups with fewer than two features have no pairs.
     """
@@ -109,7 +109,9 @@ def redundant_pairs(metrics: DataFrame, loadings: DataFrame, domain: str, family
         if n > 1:
             pdf = pdf.sort_values("feature", ignore_index=True)
             raw = pdf[METRICS].to_numpy(float)
-            x, l, labels = _scaled(raw), np.stack(pdf["_l"]), ward_labels(_scaled(raw), min(groups, n))
+            l = np.stack(pdf["_l"])
+            x = _scaled(np.column_stack([np.log10(raw + 1e-6), l]))
+            labels = ward_labels(x, max(1, min(groups, n - 1)))
             i, j = np.triu_indices(n, 1)
             gap = np.sqrt(((x[i] - x[j]) ** 2).sum(1))
             limit = np.quantile(gap, share)

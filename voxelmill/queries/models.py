@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +70,27 @@ def q_feature_variance(spark, d):
 
 
 def _loadings(spark: SparkSession, d: str) -> DataFrame:
-    """Mean product of each standardised feature with both recorded axes, for each dataset."""
-    axes = cluster_rows(spark, d).select("patch_id", "pca_1", "pca_2").where(finite("pca_1") & finite("pca_2"))
-    z = R.standardize(long_rows(spark, d), ["dataset_name"]).join(axes, "patch_id")
-    both = z.select("dataset_name", "feature", F.inline(F.array(*[F.struct(F.lit(k).alias("axis"), (F.col("value") * F.col(f"pca_{k}")).alias("p")) for k in (1, 2)])))
-    return both.groupBy("dataset_name", "feature", "axis").agg(F.avg("p").alias("loading"))
+    """``dataset_name, feature, axis, loading``: each dataset's own axes, its ``n_pca_components`` (all axes where none is given).
+
+    Spark sums the products of the standardised features, missing values at their mean; a task gets one row for each dataset.
+    """
+    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+    z = R.standardize(long_rows(spark, d), ["dataset_name"])
+    wide = z.groupBy("dataset_name", "patch_id").agg(*[F.coalesce(F.max(F.when(F.col("feature") == f, F.col("value"))), F.lit(0.0)).alias(f) for f in FEATURES])
+    sums = wide.groupBy("dataset_name").agg(F.array(*[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in pairs]).alias("products"))
+    wanted = table(spark, d, "report_config", "dataset_name", "n_pca_components").groupBy("dataset_name").agg(F.max("n_pca_components").alias("n"))
+
+    def axes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, products, n in zip(batch["dataset_name"], batch["products"], batch["n"], strict=True):
+                spread = np.zeros((len(FEATURES), len(FEATURES)))
+                for (i, j), v in zip(pairs, products, strict=True):
+                    spread[i, j] = spread[j, i] = v
+                vectors = np.linalg.eigh(spread)[1][:, ::-1]
+                count = len(FEATURES) if pd.isna(n) else max(1, min(int(n), len(FEATURES)))
+                yield pd.DataFrame([(name, f, a + 1, float(vectors[k, a])) for a in range(count) for k, f in enumerate(FEATURES)], columns=["dataset_name", "feature", "axis", "loading"])
+
+    return sums.join(wanted, "dataset_name", "left").mapInPandas(axes, "dataset_name string, feature string, axis int, loading double")
 
 
 def q_redundancy_rule(spark, d):
