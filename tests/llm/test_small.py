@@ -86,7 +86,7 @@ def test_isolated_against_brute_force(spark):
     rng = random.Random(1)
     rows = [(g, f"{g}{i}", rng.choice([round(rng.random(), 3), 0.5])) for g in "ab" for i in range(60)] + [("a", "n", None), ("a", "q", NAN), (None, "z", 0.1)]
     df = spark.createDataFrame(rows, "g string, id string, v double")
-    core = diversity.core_set(df, ["g"], "g", "v", "id", 0.02, size=1 << 40, gain=1.0, part_rows=7)
+    core = diversity.core_set(df, ["g"], "g", "v", "id", 0.02, gain=1.0, part_rows=7)
     clean = [(g, i, v) for g, i, v in rows if g and v is not None and v == v]
     want = {i for g, i, v in clean if all(j == i or h != g or abs(v - w) >= 0.02 for h, j, w in clean)}
     usable = df.where("v IS NOT NULL AND NOT isnan(v) AND g IS NOT NULL")

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .batches import Kept, map_groups
+from .ranking import salted_rank
 
-#: Most rows of a group that meet in one part of the first pass.
+#: Most rows of a kind of a group that meet in one part.
 PART_ROWS = 20_000
 
 
-def greedy(value: np.ndarray, kind: np.ndarray, radius: float, size: int, gain: float, fill: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def greedy(value: np.ndarray, kind: np.ndarray, radius: float, size: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows in the order in which they raise the kernel's determinant most, and their gains.
 
     The kernel of two rows of one ``kind`` is ``max(0, 1 - |a - b| / radius)`` (positive definite in one
     dimension), 0 for rows of different kinds. Each step takes the largest remaining variance (the factor by
     which the determinant grows; the first row among equals) and updates all others by one new row of the
     Cholesky factor. Stops at ``size`` rows or where the largest variance is below ``gain`` (at least 1e-9, below which
-    a row is taken for a copy); with ``fill`` the remaining seats go to the first of the rows that are left.
+    a row is taken for a copy).
     """
     n = len(value)
     size = min(size, n)
@@ -42,45 +46,68 @@ def greedy(value: np.ndarray, kind: np.ndarray, radius: float, size: int, gain:
         gains.append(left[j])
         left[near] -= row * row
         left[j] = -np.inf
-    if fill and len(order) < size:
-        rest = np.flatnonzero(left > -np.inf)[: size - len(order)]
-        order += rest.tolist()
-        gains += [0.0] * len(rest)
     return np.array(order, dtype=int), np.array(gains, dtype=float)
 
 
-def core_set(rows: DataFrame, groups: list[str], kind: str, value: str, identity: str, radius: float, size: str | int, gain: float = 0.0, fill: bool = False, part_rows: int = PART_ROWS) -> DataFrame:
-    """Per group of ``groups`` the rows that greedy selection keeps: ``groups..., kind, value, identity, place, gain``.
+def core_set(
+    rows: DataFrame, groups: list[str], kind: str, value: str, identity: str, radius: float, size: str | int | None = None, gain: float = 0.0, fill: bool = False, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """Per group of ``groups`` the rows that greedy selection keeps: ``groups..., kind, value, identity, gain``, with a size also ``place``.
 
-    ``size`` is a column of ``rows`` (the same all over a group) or a number. A group is split by the hash of
-    ``identity`` into parts of about ``part_rows``; each part gives its own greedy core-set, and a final pass over
-    the parts' core-sets picks the result, so no task ever holds a whole large group. A row that is ``radius``
+    ``size`` is a column of ``rows`` (the same all over a group), a number, or None for no bound but ``gain``. The kernel is 0 between
+    kinds, so each kind of a group is selected from by itself and the kinds' rows are merged by their gains, which is the order of a joint
+    selection. A kind with more than ``part_rows`` rows is split by the hash of ``identity``; each part gives its greedy core-set, and
+    the core-sets are split and reduced again, level by level, until one part is left: no task holds more than a part. (A size near
+    ``part_rows`` doubles the parts, for a selection can't be made from less than itself.) A row that is ``radius``
     or more from all others of its kind keeps the full gain of 1 in every pass: with ``gain=1`` and no bound on the size
-    no such row is ever left out.
+    no such row is ever left out. With ``fill`` seats that no row with a gain is left for go to the first other rows by identity.
 
     Rows with a null group, a null or non-finite value, a null identity or a null size take no part; a null kind
-    is a kind of its own. An empty table gives an empty result. Equal gains go by smaller identity.
+    is a kind of its own. An empty table gives an empty result. Equal gains go by smaller identity. ``rows`` is read once for each level.
     """
     mine = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) != float("inf")) & F.col(identity).isNotNull())
-    wanted = F.lit(size) if isinstance(size, int) else F.col(size)
-    labels = list(dict.fromkeys([*groups, kind]))
-    mine = mine.select(*labels, F.col(value).cast("double").alias(value), F.col(identity), wanted.cast("bigint").alias("_size")).where("_size > 0")
+    bound = 1 << 40
+    wanted = F.lit(bound if size is None else size) if size is None or isinstance(size, int) else F.col(size)
+    blocks = list(dict.fromkeys([*groups, kind]))
+    mine = mine.select(*blocks, F.col(value).cast("double").alias(value), F.col(identity), wanted.cast("bigint").alias("_size")).where("_size > 0")
     for g in groups:
         mine = mine.where(F.col(g).isNotNull())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema.fields) + ", place int, gain double"
-    parts = mine.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))
-    laid = mine.join(parts, groups).withColumn("_part", F.pmod(F.xxhash64(identity), F.col("_parts"))).select(*mine.columns, "_parts", "_part")
-
-    def pick(values: np.ndarray, sizes: np.ndarray, *kinds: np.ndarray) -> Kept:
-        codes = pd.factorize(kinds[0], use_na_sentinel=False)[0] if kinds else np.zeros(len(values), dtype=int)
-        order, gains = greedy(values, codes, radius, int(sizes[0]), gain, fill)
-        return order, {"place": np.arange(len(order), dtype="int32"), "gain": gains}
-
-    given = [value, "_size", *([] if kind in groups else [kind])]
-    whole = map_groups(laid.where("_parts = 1"), groups, [identity], given, pick, schema, drop=("_parts", "_part"))
-    first = map_groups(laid.where("_parts > 1"), [*groups, "_part"], [identity], given, pick, schema, drop=("_parts", "_part"))
-    final = map_groups(first.drop("place", "gain"), groups, [identity], given, pick, schema)
-    return whole.unionByName(final).drop("_size")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema.fields) + ", gain double"
+
+    def pick(values: np.ndarray, sizes: np.ndarray) -> Kept:
+        order, gains = greedy(values, np.zeros(len(values), dtype=int), radius, int(sizes[0]), gain)
+        return order, {"gain": gains}
+
+    def reduced(df: DataFrame, *part: str) -> DataFrame:
+        return map_groups(df, [*blocks, *part], [identity], [value, "_size"], pick, schema, drop=part)
+
+    now, most = mine, part_rows + 1
+    while True:
+        counts = now.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n"))
+        last, most = most, counts.agg(F.max("_n")).first()[0] or 0
+        if most <= part_rows:
+            break
+        if most > 0.7 * last and now is not mine:
+            part_rows *= 2
+            continue
+        same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in blocks])
+        parts = counts.select(*[F.col(b).alias(f"_{b}") for b in blocks], F.ceil(F.col("_n") / part_rows).alias("_parts"))
+        laid = now.join(parts, same).withColumn("_part", F.pmod(F.xxhash64(identity), F.col("_parts"))).select(*mine.columns, "_part")
+        now = written(reduced(laid, "_part").drop("gain"), "core-sets")
+    chosen = reduced(now)
+    if size is None:
+        return chosen.drop("_size")
+    top = mine.agg(F.max("_size")).first()[0] or 0
+    order = [F.col("gain").desc(), F.col(identity)]
+    if fill:
+        chosen = written(chosen, "chosen")
+        got = chosen.groupBy(*groups).agg(F.count(F.lit(1)).alias("_got"))
+        free = mine.join(got, groups, "left").withColumn("_free", F.greatest(F.col("_size") - F.coalesce("_got", F.lit(0)), F.lit(0))).where("_free > 0")
+        rest = free.join(chosen.select(*groups, identity), [*groups, identity], "left_anti")
+        rest = salted_rank(rest, groups, [F.col(identity)], [identity], top, "_place", limit="_free").withColumn("gain", F.lit(0.0))
+        chosen = chosen.unionByName(rest.select(*chosen.columns))
+    placed = salted_rank(chosen, groups, order, [identity], top, "_place", limit="_size")
+    return placed.withColumn("place", (F.col("_place") - 1).cast("int")).drop("_size", "_place")
 
 
 def isolated(core: DataFrame, rows: DataFrame, groups: list[str], value: str, identity: str, radius: float) -> DataFrame:

@@ -26,7 +26,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _patches(spark, d)
     rows = written(rows.select("patch_id", "sample_id", "patch_group", "map2_mask_fraction"), "patches")
     rows = rows.join(rows.groupBy(*groups).count().where(F.col("count") >= LEAST).drop("count"), groups, "left_semi")
-    core = core_set(rows, groups, "patch_group", "map2_mask_fraction", "patch_id", RADIUS, size=1 << 40, gain=1.0)
+    core = core_set(rows, groups, "patch_group", "map2_mask_fraction", "patch_id", RADIUS, gain=1.0)
     return isolated(core, rows, groups, "map2_mask_fraction", "patch_id", RADIUS).select("patch_id")
 
 
@@ -35,7 +35,7 @@ def p3_subset(spark: SparkSession, d: str) -> DataFrame:
     samples = table(spark, d, "samples", "sample_id", "dataset_name").distinct()
     size = table(spark, d, "report_config", "dataset_name", "subset_size")
     rows = _patches(spark, d).join(samples, "sample_id").join(size, "dataset_name").select("dataset_name", "patch_group", "patch_id", "map2_mask_fraction", "subset_size").distinct()
-    return core_set(rows, ["dataset_name"], "patch_group", "map2_mask_fraction", "patch_id", RADIUS, size="subset_size", fill=True)
+    return core_set(written(rows, "patches"), ["dataset_name"], "patch_group", "map2_mask_fraction", "patch_id", RADIUS, size="subset_size", fill=True)
 
 
 QUERIES = {"p3_found": p3_found, "p3_subset": p3_subset}

@@ -15,8 +15,8 @@ def p5_ranked(spark: SparkSession, d: str) -> DataFrame:
     report = newest(table(spark, d, "patch_report"), "patch_id", "scored_at", "dataset_name", "cluster_id", "center_score")
     wanted = table(spark, d, "report_config", "dataset_name", "representatives_per_cluster")
     most = wanted.agg(F.max("representatives_per_cluster")).first()[0] or 0
-    ranked = top_n(report, ["dataset_name", "cluster_id"], "center_score", "patch_id", max(most, 0))
-    return ranked.join(wanted, "dataset_name").where("rank <= representatives_per_cluster").select("dataset_name", "cluster_id", "patch_id", "center_score", "rank")
+    ranked = top_n(report.join(wanted, "dataset_name"), ["dataset_name", "cluster_id"], "center_score", "patch_id", max(most, 0), limit="representatives_per_cluster")
+    return ranked.select("dataset_name", "cluster_id", "patch_id", "center_score", "rank")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -24,6 +24,7 @@ def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The targets that came out short in the draw."""
     short = _drawn(spark, d)[1].where("short").select("dataset_name", F.col("condition").alias("c"), F.col("patch_group").alias("g"))
     given = table(spark, d, "sampling_targets", "dataset_name", "condition", "patch_group")
     return given.join(short.withColumnRenamed("dataset_name", "n"), (F.col("dataset_name") == F.col("n")) & (label_key("condition") == F.col("c")) & (label_key("patch_group") == F.col("g")), "left_semi")

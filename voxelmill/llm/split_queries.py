@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..sources.tables import table
-from .splits import grouped_split
+from .splits import grouped_split, together
 
 
 def code_key(name: str) -> Column:
@@ -36,9 +36,8 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    kept = written(_split(spark, d).select("sample_id", "group_id"), "groups")
-    other = kept.select(F.col("sample_id").alias("sample_id_b"), "group_id")
-    return kept.withColumnRenamed("sample_id", "sample_id_a").join(other, "group_id").where("sample_id_a < sample_id_b").select("sample_id_a", "sample_id_b")
+    """All pairs of samples that the splits keep together."""
+    return together(written(_split(spark, d), "splits"), "sample_id")
 
 
 QUERIES = {"p4_found": p4_found, "p4_splits": _split}
