@@ -171,7 +171,7 @@ def test_sets_against_brute_force(spark):
         points = np.concatenate([rng.normal((0, 0), (0.3, 2), (60, 2)), rng.normal((3, 9), (0.05, 0.2), (60, 2)), np.tile([[9.0, 9.0]], (6, 1))])
         rows += [(g, f"{g}{i:03d}", float(x), float(y)) for i, (x, y) in enumerate(points)]
     df = spark.createDataFrame(rows, "g string, id string, x double, y double").repartition(3)
-    model = mixture.fit(df, ["x", "y"], candidates=(1, 2, 3), kept_variance=1.0)
+    model = mixture.fit(df, ["x", "y"], kept_variance=1.0)
     assert len(model.weights) >= 2
     got = {r.id: r.root for r in mixture.linked_sets(df, model, "g", "id", reach, 4, dense=2).collect()}
     left, want = {r[1]: r for r in rows}, {}
@@ -188,6 +188,16 @@ def test_sets_against_brute_force(spark):
     assert got == want and len(set(want.values())) > 3
 
 
+@pytest.mark.parametrize("modes", [1, 9, 17])
+def test_planted_clusters_are_counted(spark, modes):
+    rng = np.random.default_rng(modes)
+    points = np.concatenate([rng.normal((6 * (i % 4), 6 * (i // 4)), 0.5, (300, 2)) for i in range(modes)])
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in points], "x double, y double").repartition(3)
+    model = mixture.fit(df, ["x", "y"], kept_variance=1.0)
+    assert len(model.weights) == modes and model.converged and max(model.tried) > modes
+    assert np.bincount(model.rivals(points, np.zeros(2))[0]).min() > 280
+
+
 def test_mixture_of_nothing_and_of_copies(spark):
     df = spark.createDataFrame([("g", f"i{k}", 1.0, 2.0) for k in range(5)], "g string, id string, x double, y double")
     assert mixture.fit(df.limit(0), ["x", "y"]) is None

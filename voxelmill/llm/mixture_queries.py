@@ -14,6 +14,8 @@ from .ranking import top_n
 REACH = {"map2_mask_fraction": 0.01, "distance_to_mask_boundary_px": 0.25, "map2_local_thickness_proxy": 0.25}
 LEAST = 4
 TYPICAL = 5
+#: Components that part the rows into the blocks in which alike ones are looked for.
+BLOCKS = 6
 
 
 def _patches(spark: SparkSession, d: str) -> DataFrame:
@@ -25,8 +27,9 @@ def _patches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Linked sets within the components of a small mixture: blocks need no more of it than that they are few and overlap little."""
     rows = _patches(spark, d)
-    model = fit(rows, list(REACH))
+    model = fit(rows, list(REACH), starts=1, finalists=1, most=BLOCKS)
     if model is None:
         return spark.createDataFrame([], "first_patch_id string, patch_id string")
     sets = linked_sets(rows, model, "sample_id", "patch_id", list(REACH.values()), LEAST)
