@@ -290,16 +290,20 @@ def test_phrases_against_brute_force(spark):
     items = [(i, words(rng.randrange(3, 12))) for i in range(12)] + [(12, None), (13, ["z"] * 5), (13, ["z"] * 5), (14, ["q"] * 9)]
     d = spark.createDataFrame([(i, w, "x") for i, w in docs], "doc bigint, words array<string>, term string")
     q = spark.createDataFrame(items, "item bigint, words array<string>")
-    got = {(r.doc, r.item, r["at"]) for r in leaks.exact_phrases(d, q, "doc", "item", 4).collect()}
+
+    def places(d, q):
+        return leaks.exact_phrases(leaks.positional_index(d, q, "doc"), d, F.col("words"), q, "doc", "item", 4)
+
+    got = {(r.doc, r.item, r["at"]) for r in places(d, q).collect()}
     want = {(i, j, k) for i, w in docs if i is not None and w for j, v in items if v for k in range(len(w) - 3) for m in range(len(v) - 3) if w[k : k + 4] == v[m : m + 4]}
     assert got == want and want
-    assert leaks.exact_phrases(d.limit(0), q, "doc", "item", 4).count() == 0 == leaks.exact_phrases(d, q.limit(0), "doc", "item", 4).count()
+    assert places(d.limit(0), q).count() == 0 == places(d, q.limit(0)).count()
 
 
 def test_near(spark):
     d = spark.createDataFrame([(1, "a x b y c".split()), (2, "a x x x x x b c".split())], "doc bigint, words array<string>")
     q = spark.createDataFrame([(7, ["a", "b", "c"])], "item bigint, words array<string>")
-    assert [tuple(r) for r in leaks.near_phrases(d, q, "doc", "item", 5, 3).collect()] == [(1, 7, 0, 3)]
+    assert [tuple(r) for r in leaks.near_phrases(leaks.positional_index(d, q, "doc"), q, "doc", "item", 5, 3).collect()] == [(1, 7, 0, 3)]
 
 
 # Problem 9

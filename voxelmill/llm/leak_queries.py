@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import written
 from ..sources.tables import table
-from .leaks import dialogue, exact_phrases, near_phrases, words_of
+from .leaks import dialogue, exact_phrases, near_phrases, positional_index, words_of
 
 
-def _words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", words_of(dialogue("text")).alias("words"))
+def _spoken() -> Column:
+    return words_of(dialogue("text"))
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents, the items' words, and the index of the documents' dialogue."""
+    documents = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL")
     items = table(spark, d, "eval_items", "item_id", "text").select("item_id", words_of(F.col("text")).alias("words"))
-    return written(documents, "words"), items
+    return documents, items, positional_index(documents.select("doc_id", _spoken().alias("words")), items, "doc_id")
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
-    return exact_phrases(*_words(spark, d), "doc_id", "item_id")
+    documents, items, index = _index(spark, d)
+    return exact_phrases(index, documents, _spoken(), items, "doc_id", "item_id")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +36,8 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_near(spark: SparkSession, d: str) -> DataFrame:
     """Proximity matches: five of the six rarest terms of an item within sixty words."""
-    return near_phrases(*_words(spark, d), "doc_id", "item_id", span=60, least=5)
+    _, items, index = _index(spark, d)
+    return near_phrases(index, items, "doc_id", "item_id", span=60, least=5)
 
 
 QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p8_near": p8_near}
