@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.llm import components as G
 from voxelmill.llm import diversity, encodings, leaks, mixture, ranking, sampling, splits, tokens
-from voxelmill.llm.prefix_bpe import PrefixEncoder, read_ranks
+from voxelmill.llm.prefix_bpe import EncodedText, PrefixEncoder, read_ranks
 
 NAN, INF = float("nan"), float("inf")
 
@@ -245,6 +245,24 @@ def test_prefix_table_equals_merging():
         assert encoder.read(new) == merged(edited) and new == encoder.table(edited)
 
 
+def test_texts_stay_exact_through_edits():
+    encoder, rng = PrefixEncoder(VOCABULARY), random.Random(6)
+    word = lambda n: "".join(rng.choice("the in ger's 12\n  ü,.") for _ in range(n))
+    for _ in range(150):
+        held = EncodedText(encoder, word(rng.randrange(40)))
+        text = held.text
+        for _ in range(6):
+            a = rng.randrange(len(text) + 1)
+            b, new = rng.randrange(a, len(text) + 1), word(rng.randrange(6))
+            if rng.random() < 0.3:
+                held.append(new)
+                text += new
+            else:
+                held.edit(a, b, new)
+                text = text[:a] + new + text[b:]
+            assert held.text == text and held.ids == list(encoder.encode(text))
+
+
 def test_encode_table(spark, tmp_path):
     import base64
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterable
 
 import regex
@@ -45,7 +46,8 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
         self.longest = max(map(len, ranks))
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pairs = _Memo(self._may_follow)
         self.pieces = _Memo(lambda piece: tuple(self.encode_bytes(piece.encode("utf-8", "surrogatepass"))))
@@ -62,10 +64,10 @@ class PrefixEncoder:
             return False
         return len(parts) < 2 or parts[0] + parts[1] not in self.ranks
 
-    def extend(self, data: bytes, last: list[int], start: int) -> None:
-        """Fill ``last`` (the last token of each prefix of ``data``, by its end) from the byte ``start`` on."""
+    def extend(self, data: bytes, last: list[int], start: int, stop: int | None = None) -> None:
+        """Fill ``last`` (the last token of each prefix of ``data``, by its end) from the byte ``start`` on, up to ``stop``."""
         ranks, pairs, longest = self.ranks, self.pairs, self.longest
-        for end in range(start + 1, len(data) + 1):
+        for end in range(start + 1, (len(data) if stop is None else stop) + 1):
             for begin in range(max(0, end - longest), end):
                 token = ranks.get(data[begin:end])
                 if token is not None and pairs[(last[begin] if begin else -1), token]:
@@ -106,7 +108,7 @@ class PrefixEncoder:
         shift, table, same = len(joined) - len(data), last[: start + 1], 0
         table += [-1] * (len(joined) - start)
         for at in range(start, len(joined)):
-            self.extend(joined[: at + 1], table, at)
+            self.extend(joined, table, at, at + 1)
             old = at + 1 - shift
             same = same + 1 if at + 1 >= start + len(new) and old > end and table[at + 1] == last[old] else 0
             if same >= self.longest:
@@ -118,3 +120,56 @@ class PrefixEncoder:
         """The ids of a text, without special tokens."""
         pieces = self.pieces
         return [t for piece in self.split(text) for t in pieces[piece]]
+
+
+class EncodedText:
+    """A text whose encoding stays exact while it is appended to and edited: its pieces with the table of each.
+
+    The pattern looks at most one character ahead and none back, so pieces that end before the last character in front of a change stand,
+    and from the first old border behind it on all pieces stand again. Only those between are split anew, and of the first of them
+    the table is kept as far as its bytes are the old ones.
+    """
+
+    def __init__(self, encoder: PrefixEncoder, text: str = ""):
+        self.encoder = encoder
+        self.pieces = [self._piece(p) for p in encoder.split(text)]
+
+    def _piece(self, piece: str, old: tuple[bytes, list[int]] | None = None) -> tuple[str, bytes, list[int]]:
+        data = piece.encode("utf-8", "surrogatepass")
+        same = len(os.path.commonprefix([old[0], data])) if old else 0
+        last = (old[1][: same + 1] if old else [-1]) + [-1] * (len(data) - same)
+        self.encoder.extend(data, last, same)
+        return piece, data, last
+
+    @property
+    def text(self) -> str:
+        return "".join(p for p, _, _ in self.pieces)
+
+    @property
+    def ids(self) -> list[int]:
+        return [t for _, _, last in self.pieces for t in self.encoder.read(last)]
+
+    def append(self, more: str) -> None:
+        n = sum(len(p) for p, _, _ in self.pieces)
+        self.edit(n, n, more)
+
+    def edit(self, start: int, end: int, new: str) -> None:
+        """Replace the characters ``start`` to ``end`` by ``new``."""
+        kept, at = 0, 0
+        while kept < len(self.pieces) and at + len(self.pieces[kept][0]) < start:
+            at += len(self.pieces[kept][0])
+            kept += 1
+        old = "".join(p for p, _, _ in self.pieces[kept:])
+        changed, place, borders = old[: start - at] + new + old[end - at :], at, {}
+        for k in range(kept, len(self.pieces)):
+            if place >= end:
+                borders[place - at + len(new) - (end - start)] = k
+            place += len(self.pieces[k][0])
+        made, rest = [], []
+        for hit in self.encoder.pattern.finditer(changed):
+            if hit.start() in borders:
+                rest = self.pieces[borders[hit.start()] :]
+                break
+            before = self.pieces[kept][1:] if not made and kept < len(self.pieces) else None
+            made.append(self._piece(hit[0], before))
+        self.pieces[kept:] = made + rest
