@@ -14,6 +14,10 @@ def rows(shards):
     return shards.collect()
 
 
+def index(files):
+    return C.record_index(C.concatenate(C.record_files(files, 64), 100, names="names", version="version"), 64)
+
+
 def test_lines_are_joined_whole_and_once(spark):
     texts = {f"f{i:03d}": b"h\n" + b"x" * i + (b"" if i % 2 else b"\n") for i in range(40)}
     df = spark.createDataFrame([(k, bytearray(v), 1) for k, v in texts.items()] + [(None, bytearray(b"z"), 1), ("n", None, 1)], "path string, content binary, location int")
@@ -41,6 +45,39 @@ def test_a_broken_frame_is_refused(spark):
         C.concatenate(df, 100, "other")
 
 
+def test_only_complete_frames_are_whole():
+    body = b"some text, some text, some text" * 20
+    kinds = [zstandard.ZstdCompressor(write_checksum=c, write_content_size=s) for c in (False, True) for s in (False, True)]
+    for pack in (k.compress for k in kinds):
+        frame = pack(body)
+        skippable = (0x184D2A53).to_bytes(4, "little") + (3).to_bytes(4, "little") + b"abc"
+        assert C.whole_frames(frame) and C.whole_frames(frame + skippable + pack(b"") + frame) and C.whole_frames(b"")
+        assert not any(C.whole_frames(frame[:k]) for k in range(1, len(frame))) and not C.whole_frames(frame + b"x")
+        assert not C.whole_frames(bytes([frame[0] ^ 1]) + frame[1:])
+        assert not C.whole_frames(frame[:4] + bytes([frame[4] | 8]) + frame[5:])
+
+
+def test_flipped_bits_are_seen_by_decoding(spark):
+    frame = bytearray(zstandard.ZstdCompressor(write_checksum=True).compress(bytes(range(200)) * 3))
+    frame[30] ^= 4
+    df = spark.createDataFrame([("a", frame), ("b", bytearray(zstandard.ZstdCompressor().compress(b"fine")))], "path string, content binary")
+    shards = C.concatenate(df, 1 << 20, "zstd")
+    assert [r.intact for r in rows(C.verify(shards))] == [True] and [r.intact for r in rows(C.verify(shards, decode=True))] == [False]
+
+
+def test_repeats_are_cut_and_all_else_is_joined_whole(spark):
+    one = lambda k: bytearray([k]) * 64
+    later = AT + datetime.timedelta(days=1)
+    files = spark.createDataFrame(
+        [("a", ["p1", "p2", None], one(1) + one(2) + one(3), 5, AT, "x"), ("b", ["P2"], one(4), 5, later, "x"), ("c", ["p3", "p3"], one(5) + one(6), 5, AT, "x"), ("c", ["p9"], one(7), 5, AT - datetime.timedelta(days=1), "x")], FILES
+    )
+    shards = C.concatenate(C.without_repeats(C.record_files(files, 64), 64), 100, names="names", version="version")
+    got = {(r.record_key, bytes(r.record)) for r in C.read_records(shards, 64).collect()}
+    assert got == {("p1", bytes(one(1))), (None, bytes(one(3))), ("p2", bytes(one(4))), ("p3", bytes(one(5)))}
+    assert all(r.intact for r in rows(C.verify(shards)))
+    assert C.shard_size(1 << 40) == C.SHARD_BYTES and C.shard_size(10) == 1 << 16
+
+
 def test_verify_sees_damage(spark):
     df = spark.createDataFrame([("a", bytearray(b"abc")), ("b", bytearray(b"")), ("c", bytearray(b"def"))], "path string, content binary")
     shards = C.concatenate(df, 100)
@@ -68,9 +105,9 @@ def test_fates(spark):
         [("p1", "s", 0), ("p1", ".\\s", 0), ("p2", "s", 1), ("p3", "s", 2), ("p4", "s", 3), ("p5", "s", 4), ("p5", "t", 4), ("p6", "s", 2), ("p7", None, 9), (None, "s", 0)],
         "patch_id string, shard_path string, shard_index int",
     )
-    found = {(r.patch_id, r.fate) for r in C.record_fates(manifest, C.frame_index(files, 64)).collect()}
+    found = {(r.patch_id, r.fate) for r in C.record_fates(manifest, index(files)).collect()}
     assert found == {("p2", "repeated"), ("p3", "lost"), ("p4", "lost"), ("p5", "repeated"), ("p6", "lost"), ("p7", "lost"), ("p3", "clash"), ("p6", "clash")}
-    assert C.record_fates(manifest.limit(0), C.frame_index(files.limit(0), 64)).count() == 0
+    assert C.record_fates(manifest.limit(0), index(files.limit(0))).count() == 0
 
 
 def test_folder_round_trip(spark, tmp_path):
@@ -78,7 +115,12 @@ def test_folder_round_trip(spark, tmp_path):
     (tmp_path / "out").mkdir()
     for i in range(20):
         (tmp_path / "in" / f"{i}.txt").write_bytes(b"row %d" % i)
+    (tmp_path / "in" / "empty.txt").write_bytes(b"")
     made = C.compact_folder(spark, str(tmp_path / "in" / "*.txt"), str(tmp_path / "out"), 60, "lines").collect()
     assert all(zlib.crc32(open(r.file_path, "rb").read()) == r.crc32 for r in made)
     lines = [x for r in made for x in open(r.file_path, "rb").read().splitlines()]
     assert sorted(lines) == sorted(b"row %d" % i for i in range(20)) and len(made) < 20
+    listed = spark.read.parquet(str(tmp_path / "out" / "_index")).collect()
+    assert len(listed) == 20 and all(r.length for r in listed)
+    first = listed[0]
+    assert open(first.file_path, "rb").read()[first.offset :][: first.length].startswith(b"row ")

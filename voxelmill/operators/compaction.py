@@ -14,6 +14,7 @@ counts; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,43 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import entry_key, path_key
+from ..session import written
 
 # Fixed values of the zstandard frame format: magic number of a frame, and of skippable frames (16 in a row).
 ZSTD_FRAME = 0xFD2FB528
 ZSTD_SKIPPABLE = 0x184D2A50
 
-SHARD_SCHEMA = (
-    "shard_id bigint, part int, n_files bigint, n_bytes bigint, crc32 bigint, payload binary, "
-    "pieces array<struct<location: string, offset: bigint, length: bigint, crc32: bigint>>"
-)
+#: Bytes of a well-sized shard.
+SHARD_BYTES = 128 << 20
 
-
-def frame_index(
-    files: DataFrame,
-    record_bytes: int,
-    path: str = "file_path",
-    ids: str = "patch_ids",
-    payload: str = "map2_mask",
-    size: str = "size_bytes",
-    moment: str = "written_at",
-) -> DataFrame:
-    """One row for each record of each intact file: ``location, entry, record_key, offset, length, file_crc32``.
-
-    Intact is a file of more than 0 bytes whose payload has exactly ``record_bytes`` for each of its ids.
-    Lengths and checksums are taken in the scan, so no payload is shuffled: only ids, offsets and checksums
-    meet by location.
-    """
-    kept = (
-        files.where(_intact(record_bytes, path, ids, payload, size))
-        .select(
-            path_key(path).alias("location"),
-            F.struct(F.col(moment).alias("moment"), F.transform(ids, entry_key).alias("keys"), F.crc32(payload).alias("crc32")).alias("one"),
-        )
-        .groupBy("location").agg(F.max("one").alias("one"))
-    )
-    return kept.select("location", F.posexplode("one.keys").alias("entry", "record_key"), F.col("one.crc32").alias("file_crc32")).select(
-        "location", "entry", "record_key", (F.col("entry").cast("bigint") * record_bytes).alias("offset"), F.lit(record_bytes).cast("bigint").alias("length"), "file_crc32"
-    )
+PIECES = "array<struct<location: string, offset: bigint, length: bigint, crc32: bigint, names: array<string>>>"
+SHARD_SCHEMA = f"shard_id bigint, part int, n_files bigint, n_bytes bigint, crc32 bigint, payload binary, pieces {PIECES}"
 
 
 def _intact(record_bytes: int, path: str, ids: str, payload: str, size: str) -> Column:
@@ -94,6 +69,38 @@ def record_fates(
     return alone.unionByName(clash).withColumnRenamed("record", record)
 
 
+def whole_frames(body: bytes) -> bool:
+    """Whether ``body`` is complete zstandard frames one after another and nothing else, told by block headers without decompressing."""
+    at, n = 0, len(body)
+    while at < n:
+        if at + 5 > n:
+            return False
+        magic = int.from_bytes(body[at : at + 4], "little")
+        if magic & ~0xF == ZSTD_SKIPPABLE:
+            if at + 8 > n:
+                return False
+            at += 8 + int.from_bytes(body[at + 4 : at + 8], "little")
+            continue
+        if magic != ZSTD_FRAME:
+            return False
+        described = body[at + 4]
+        single, summed = described >> 5 & 1, described >> 2 & 1
+        if described & 8:  # a reserved bit
+            return False
+        at += 5 + (not single) + (0, 1, 2, 4)[described & 3] + (single, 2, 4, 8)[described >> 6]
+        last = 0
+        while not last:
+            if at + 3 > n:
+                return False
+            block = int.from_bytes(body[at : at + 3], "little")
+            last, kind, size = block & 1, block >> 1 & 3, block >> 3
+            if kind == 3:  # a reserved kind
+                return False
+            at += 3 + (1 if kind == 1 else size)
+        at += 4 * summed
+    return at == n
+
+
 def _closed(body: bytes, kind: str, header: bytes | None) -> bytes:
     """The bytes of one piece with its boundary in order; ValueError where a piece isn't complete."""
     if kind == "lines" and body:
@@ -101,117 +108,172 @@ def _closed(body: bytes, kind: str, header: bytes | None) -> bytes:
             body = body[len(header):]
         if body and not body.endswith(b"\n"):
             body += b"\n"
-    elif kind == "zstd" and body:
-        magic = int.from_bytes(body[:4], "little")
-        if magic != ZSTD_FRAME and magic & ~0xF != ZSTD_SKIPPABLE:
-            raise ValueError("a piece doesn't begin with a zstandard frame")
+    elif kind == "zstd" and not whole_frames(body):
+        raise ValueError("a piece isn't made of complete zstandard frames")
     return body
 
 
+def shard_size(total_bytes: int, most: int = SHARD_BYTES, least: int = 1 << 16, shards: int = 16) -> int:
+    """Target bytes of a shard: ``most``, less where that would leave cores without work, but no less than ``least``."""
+    return max(least, min(most, -(-total_bytes // shards)))
+
+
 def concatenate(
-    pieces: DataFrame, target_bytes: int, kind: str = "raw", header: bytes | None = None, path: str = "path", content: str = "content", total_bytes: int | None = None
+    pieces: DataFrame,
+    target_bytes: int = SHARD_BYTES,
+    kind: str = "raw",
+    header: bytes | None = None,
+    path: str = "path",
+    content: str = "content",
+    total_bytes: int | None = None,
+    names: str | None = None,
+    version: str | None = None,
 ) -> DataFrame:
     """Shards of about ``target_bytes`` that hold every piece once, in the order of its location.
 
     A location goes to a shard by its hash; a shard that grows past the target is closed and goes on in its next
     part, so no task holds more than one target and one piece in memory. ``pieces`` of the result is the
-    index of each shard. Locations must be unique (see :func:`frame_index`). ``total_bytes`` spares a pass over the
-    contents where their size is known.
+    index of each shard, with what the column ``names`` (an array) says of the contents. Several rows of a location are versions of one
+    piece, of which the one with the greatest ``version`` is taken. Contents are summed where they are read, and
+    refused if other bytes arrive. ``total_bytes`` spares a pass over the contents where their size is known.
     """
     if kind not in ("raw", "lines", "zstd"):
         raise ValueError(f"unknown kind {kind!r}")
     if target_bytes <= 0:
         raise ValueError("target_bytes must be above 0")
-    given = pieces.where(F.col(path).isNotNull() & F.col(content).isNotNull()).select(F.col(path).alias("location"), F.col(content).alias("content"))
+    given = pieces.where(F.col(path).isNotNull() & F.col(content).isNotNull()).select(
+        F.col(path).alias("location"), F.col(content).alias("content"), F.crc32(content).alias("sum"),
+        (F.col(names) if names else F.lit(None).cast("array<string>")).alias("names"), (F.col(version) if version else F.lit(0)).alias("version"),
+    )
     if total_bytes is None:
         total_bytes = given.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
     shards = max(1, -(-total_bytes // target_bytes))
     laid = given.withColumn("shard_id", F.pmod(F.xxhash64("location"), F.lit(shards)).cast("bigint"))
-    laid = laid.repartition(int(min(shards, 20_000)), "shard_id").sortWithinPartitions("shard_id", "location")
+    laid = laid.repartition(int(min(shards, 20_000)), "shard_id").sortWithinPartitions("shard_id", "location", F.desc_nulls_last("version"))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, part, body, index = None, 0, bytearray(header or b""), []
+        at, part, body, index, before = None, 0, bytearray(header or b""), [], None
 
         def close() -> pd.DataFrame:
             done = bytes(body)
             return pd.DataFrame({"shard_id": [at], "part": [part], "n_files": [len(index)], "n_bytes": [len(done)], "crc32": [zlib.crc32(done)], "payload": [done], "pieces": [list(index)]})
 
         for batch in batches:
-            for shard, location, content in zip(batch["shard_id"], batch["location"], batch["content"], strict=True):
+            for shard, location, content, crc, called in zip(*[batch[c] for c in ("shard_id", "location", "content", "sum", "names")], strict=True):
+                if location == before:
+                    continue
+                before = location
                 if index and (shard != at or len(body) >= target_bytes):
                     yield close()
                     part = part + 1 if shard == at else 0
                     body, index = bytearray(header or b""), []
                 at = shard
+                if zlib.crc32(content) != crc:
+                    raise ValueError(f"{location} arrived with other bytes than were read")
                 piece = _closed(bytes(content), kind, header)
-                index.append({"location": location, "offset": len(body), "length": len(piece), "crc32": zlib.crc32(piece)})
+                index.append({"location": location, "offset": len(body), "length": len(piece), "crc32": zlib.crc32(piece), "names": called})
                 body += piece
         if index:
             yield close()
 
-    return laid.select("shard_id", "location", "content").mapInPandas(join, SHARD_SCHEMA)
+    return laid.select("shard_id", "location", "content", "sum", "names").mapInPandas(join, SHARD_SCHEMA)
 
 
-def verify(shards: DataFrame) -> DataFrame:
+def verify(shards: DataFrame, decode: bool = False) -> DataFrame:
     """Each shard held against its index: ``shard_id, part, n_files, n_bytes, crc32, intact``.
 
-    ``intact``: the shard's length and checksum, and those of every piece cut out by its offset, agree.
+    ``intact``: the shard's length and checksum, and those of every piece cut out by its offset, agree; with ``decode`` every piece, being
+    zstandard frames, must also decompress (with the frames' own checksums).
     """
+    def readable(piece: memoryview) -> bool:
+        import zstandard
+
+        try:
+            with zstandard.ZstdDecompressor().stream_reader(piece, read_across_frames=True) as stream:
+                while stream.read(1 << 20):
+                    pass
+        except zstandard.ZstdError:
+            return False
+        return True
+
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             good = []
             for body, n, crc, pieces in zip(batch["payload"], batch["n_bytes"], batch["crc32"], batch["pieces"], strict=True):
                 view = memoryview(body)
-                cut = (view[p["offset"] : p["offset"] + p["length"]] for p in pieces)
-                good.append(len(body) == n and zlib.crc32(view) == crc and all(len(c) == p["length"] and zlib.crc32(c) == p["crc32"] for p, c in zip(pieces, cut, strict=True)))
+                cut = [view[p["offset"] : p["offset"] + p["length"]] for p in pieces]
+                fine = len(body) == n and zlib.crc32(view) == crc and all(len(c) == p["length"] and zlib.crc32(c) == p["crc32"] for p, c in zip(pieces, cut, strict=True))
+                good.append(fine and (not decode or all(map(readable, cut))))
             yield batch[["shard_id", "part", "n_files", "n_bytes", "crc32"]].assign(intact=good)
 
     return shards.mapInPandas(hold, "shard_id bigint, part int, n_files bigint, n_bytes bigint, crc32 bigint, intact boolean")
 
 
-def one_piece_per_record(
-    files: DataFrame, record_bytes: int, path: str = "file_path", ids: str = "patch_ids", payload: str = "map2_mask", size: str = "size_bytes", moment: str = "written_at"
-) -> DataFrame:
-    """``path, content``: of each record of the intact files its newest copy, cut out by its offset."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [
-                (at, location, -i, key, body[i * record_bytes : (i + 1) * record_bytes])
-                for at, location, keys, body in zip(batch["moment"], batch["location"], batch["keys"], batch["body"], strict=True)
-                for i, key in enumerate(keys)
-                if key is not None
-            ]
-            yield pd.DataFrame(out, columns=["moment", "location", "place", "path", "content"])
-
-    whole = files.where(_intact(record_bytes, path, ids, payload, size)).select(
-        F.col(moment).cast("timestamp_ntz").alias("moment"), path_key(path).alias("location"), F.transform(ids, entry_key).alias("keys"), F.col(payload).alias("body")
+def record_files(files: DataFrame, record_bytes: int, path: str = "file_path", ids: str = "patch_ids", payload: str = "map2_mask", size: str = "size_bytes", moment: str = "written_at") -> DataFrame:
+    """``path, content, names, version`` of the intact files of fixed-length records, for :func:`concatenate`: whole files, their records' keys as names."""
+    keys = F.transform(ids, entry_key)
+    return files.where(_intact(record_bytes, path, ids, payload, size)).select(
+        path_key(path).alias("path"), F.col(payload).alias("content"), keys.alias("names"), F.struct(F.col(moment).alias("moment"), keys.alias("keys"), F.crc32(payload).alias("crc32")).alias("version")
+    )
+
+
+def without_repeats(whole: DataFrame, record_bytes: int) -> DataFrame:
+    """The files of :func:`record_files` less the records of which a newer copy is elsewhere (then the one of the greater path, then the earlier entry).
+
+    Ids alone decide which records go; only files that lose some are cut, all others stay as they are. Records without an id stay.
+    """
+    latest = whole.groupBy("path").agg(F.max("version").alias("one")).select("path", "one.moment", F.posexplode("one.keys").alias("entry", "record_key")).where("record_key IS NOT NULL")
+    best = latest.groupBy("record_key").agg(F.max(F.struct("moment", "path", (-F.col("entry")).alias("place"))).alias("kept"))
+    rest = latest.join(best, "record_key").where((F.col("path") != F.col("kept.path")) | (F.col("entry") != -F.col("kept.place")))
+    gone = rest.groupBy("path").agg(F.collect_set("entry").alias("_gone"))
+    kept = F.filter(F.sequence(F.lit(0), F.size("names") - 1), lambda i: ~F.array_contains("_gone", i))
+    cut = F.aggregate(kept, F.lit(b""), lambda s, i: F.concat(s, F.substring(F.col("content"), i * record_bytes + 1, F.lit(record_bytes))))
+    lessened = F.col("_gone").isNotNull()
+    return whole.join(gone, "path", "left").select(
+        "path", F.when(lessened, cut).otherwise(F.col("content")).alias("content"), F.when(lessened, F.transform(kept, lambda i: F.get("names", i))).otherwise(F.col("names")).alias("names"), "version"
     )
-    pieces = whole.mapInPandas(cut, "moment timestamp_ntz, location string, place bigint, path string, content binary")
-    best = pieces.groupBy("path").agg(F.max(F.struct("moment", "location", "place", "content")).alias("one"))
-    return best.select("path", "one.content")
+
+
+def record_index(shards: DataFrame, record_bytes: int) -> DataFrame:
+    """``record_key, shard_id, part, location, entry, offset, length``: every record of every shard, out of the shards' index of pieces."""
+    pieces = shards.select("shard_id", "part", F.explode("pieces").alias("p")).select("shard_id", "part", "p.location", "p.offset", F.posexplode("p.names").alias("entry", "record_key"))
+    return pieces.select("record_key", "shard_id", "part", "location", "entry", (F.col("offset") + F.col("entry").cast("bigint") * record_bytes).alias("offset"), F.lit(record_bytes).cast("bigint").alias("length"))
+
+
+def read_records(shards: DataFrame, record_bytes: int) -> DataFrame:
+    """``record_key, record``: the bytes of every record, cut out of its shard by the index."""
+    cut = shards.select("payload", F.explode("pieces").alias("p")).select(F.substring(F.col("payload"), (F.col("p.offset") + 1).cast("int"), F.col("p.length").cast("int")).alias("piece"), F.posexplode("p.names").alias("entry", "record_key"))
+    return cut.select("record_key", F.substring(F.col("piece"), F.col("entry") * record_bytes + 1, F.lit(record_bytes)).alias("record"))
 
 
 def write_shards(shards: DataFrame, folder: str, suffix: str = ".bin") -> DataFrame:
-    """Write each shard to a file of ``folder``, which all executors must have mounted: ``file_path, n_bytes, crc32``.
+    """Write each shard to a file of ``folder``, which all executors must have mounted: ``file_path, n_bytes, crc32, pieces``.
 
     A file is written under a name of its own and then renamed, so a task that runs again leaves one whole file.
     """
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for shard, part, body in zip(batch["shard_id"], batch["part"], batch["payload"], strict=True):
+            for shard, part, body, pieces in zip(batch["shard_id"], batch["part"], batch["payload"], batch["pieces"], strict=True):
                 final = os.path.join(folder, f"shard-{int(shard):06d}-{int(part):04d}{suffix}")
-                with open(f"{final}.{os.getpid()}.tmp", "wb") as f:
+                with open(f"{final}.{uuid.uuid4().hex}.tmp", "wb") as f:
                     f.write(body)
                 os.replace(f.name, final)
-                out.append((final, len(body), zlib.crc32(body)))
-            yield pd.DataFrame(out, columns=["file_path", "n_bytes", "crc32"])
+                out.append((final, len(body), zlib.crc32(body), pieces))
+            yield pd.DataFrame(out, columns=["file_path", "n_bytes", "crc32", "pieces"])
+
+    return shards.select("shard_id", "part", "payload", "pieces").mapInPandas(put, f"file_path string, n_bytes bigint, crc32 bigint, pieces {PIECES}")
 
-    return shards.select("shard_id", "part", "payload").mapInPandas(put, "file_path string, n_bytes bigint, crc32 bigint")
 
+def compact_folder(spark, pattern: str, folder: str, target_bytes: int = SHARD_BYTES, kind: str = "lines", header: bytes | None = None) -> DataFrame:
+    """Join the files that match ``pattern`` into shards in ``folder``: ``file_path, n_bytes, crc32`` of each.
 
-def compact_folder(spark, pattern: str, folder: str, target_bytes: int, kind: str = "lines", header: bytes | None = None) -> DataFrame:
-    """Join the files that match ``pattern`` into shards in ``folder``; see :func:`write_shards`."""
-    files = spark.read.format("binaryFile").load(pattern).where("length > 0").select("path", "content")
+    Their index, a row for each joined file, is written to ``folder/_index`` as Parquet (Spark's file source gives no rows for files of 0 bytes, of which nothing is to
+    be joined). Contents are read once; the number of shards comes from the listing's lengths.
+    """
+    files = spark.read.format("binaryFile").load(pattern)
+    total = files.agg(F.sum("length")).first()[0] or 0
     suffix = {"lines": ".txt", "zstd": ".zst"}.get(kind, ".bin")
-    return write_shards(concatenate(files, target_bytes, kind, header), folder, suffix)
+    made = written(write_shards(concatenate(files.select("path", "content"), target_bytes, kind, header, total_bytes=total), folder, suffix), "compacted")
+    made.select("file_path", F.inline("pieces")).drop("names").write.mode("overwrite").parquet(f"{folder}/_index")
+    return made.drop("pieces")

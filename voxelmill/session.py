@@ -27,27 +27,40 @@ def get_session(app: str = "voxelmill", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, one machine) a temporary folder is made and remembered.
+    Only on one machine (a local master) a temporary folder is made and remembered where the setting is missing; on a cluster RuntimeError.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="voxelmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/voxelmill/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
 
     Unlike executor-local storage the copy outlives any executor, and later reads prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxelmill/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """``(path, file system)`` as Hadoop objects."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def clear_written(spark: SparkSession) -> None:
-    """Delete what :func:`written` has put into the shared folder; no table made from it can be read afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/voxelmill")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what :func:`written` has put into the shared folder in this application; no table made from it can be read afterwards."""
+    path, files = hadoop_path(spark, _own_dir(spark))
+    files.delete(path, True)
