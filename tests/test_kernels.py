@@ -44,10 +44,26 @@ def test_smoothing_equals_direct_sum():
 
 def test_components():
     mask = np.array([[1, 1, 0, 1], [0, 0, 0, 1], [1, 0, 0, 1]], dtype=bool)
-    got = P.component_geometry(mask)
-    assert (got["component_count"], got["largest_area"], got["perimeter"]) == (3, 3, 6)
-    assert got["elongation"] == 0 and got["eccentricity"] == 1
-    assert set(P.component_geometry(np.zeros((2, 2), dtype=bool)).values()) == {0.0}
+    got = {k: v[0] for k, v in P.component_geometry(mask[None], np.ones((1, 3, 4))).items()}
+    assert (got["component_count"], got["largest_area"], got["solidity"]) == (3, 3, 1)
+    assert got["elongation"] == 0 and got["eccentricity"] == 1 and abs(got["circularity"] - 4 * np.pi * 6 / 36) < 1e-12
+    assert all((v == 0).all() for v in P.component_geometry(np.zeros((2, 2, 2), dtype=bool), np.ones((2, 2, 2))).values())
+    assert all(len(v) == 0 for v in P.component_geometry(np.zeros((0, 2, 2), dtype=bool), np.ones((0, 2, 2))).values())
+
+
+def test_labels_equal_search():
+    masks_ = rng.random((40, 9, 7)) < 0.55
+    for mask, got in zip(masks_, P.label(masks_), strict=True):
+        seen = {}
+        for start in map(tuple, np.argwhere(mask)):
+            stack = [] if start in seen else [start]
+            first = start[0] * 7 + start[1]
+            while stack:
+                y, x = stack.pop()
+                if 0 <= y < 9 and 0 <= x < 7 and mask[y, x] and (y, x) not in seen:
+                    seen[y, x] = first
+                    stack += [(y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)]
+        assert all(got[at] == seen.get(at, 63) for at in np.ndindex(9, 7))
 
 
 def test_patterns_and_energies():
