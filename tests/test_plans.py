@@ -62,20 +62,89 @@ def test_extraction_and_report(spark, dataset, tmp_path):
         for k, channel in enumerate(CHANNELS):
             want = stack[k][np.clip(np.arange(z - 1, z + 2), 0, 4)][(slice(None), *box)].astype(float)
             assert np.allclose(payload[r.patch_id, channel], want.ravel())
+            assert np.array_equal(np.array(payload[r.patch_id, "map2_mask"]).reshape(6, 8) > 0, mask[box])
             assert abs(r[f"{channel.lower()}_std"] - want.std()) < 1e-6 and r[f"{channel.lower()}_z_peak_index"] == want.mean((1, 2)).argmax()
     X.extract(spark, config)
     assert spark.read.parquet(folders["manifest"]).count() == len(rows)
 
+
+    (tmp_path / "r.yaml").write_text(yaml.safe_dump({
+        "manifest_path": "out/manifest", "output_dir": "rep", "features": {"channels": CHANNELS}, "dimensionality_reduction": {"n_pca_components": 3},
+        "clustering": {"method": "kmeans", "n_clusters": 2, "random_seed": 1}, "reporting": {"representatives_per_cluster": 3},
+    }))
+    assert cli.main(["report", "--config", str(tmp_path / "r.yaml")]) == 0
+    read = lambda name: spark.read.parquet(str(tmp_path / "rep" / name))
+    full = read("patch_latent_report")
+    assert full.count() == len(rows) and full.select("cluster_id").distinct().count() == 2 and len([c for c in full.columns if c.startswith("flag_")]) > 57
+    assert not {"x", "y", "z_center", "shard_index"} & set(full.columns)
+    assert read("pca_bins").agg(F.sum("count"), F.count(F.lit(1))).first() == (len(rows), 900)
+    assert read("pca_max_loadings").count() == 40 and read("redundancy_pairs").count() > 100 and read("redundancy_groups").count() >= 3
+    assert abs(read("pca_explained").agg(F.max("cumulative")).first()[0] - read("pca_explained").agg(F.sum("explained")).first()[0]) < 1e-9
+    ranges = {r.channel: (r.low, r.high) for r in read("channel_ranges").collect()}
+    tops = {c: [np.array(v).reshape(3, -1).max(0) for (_, k), v in payload.items() if k == c] for c in CHANNELS}
+    assert ranges == {c: (np.min(t), np.max(t)) for c, t in tops.items()}
+    kept = list((tmp_path / "rep" / "feature_cache").iterdir())
+    config = C.load_report(tmp_path / "r.yaml")
+    same = L.patch_features(spark, manifest.orderBy(F.desc("patch_id")), folders["patches"], config)
+    assert same.count() == len(rows) and list((tmp_path / "rep" / "feature_cache").iterdir()) == kept
+    L.patch_features(spark, manifest.limit(3), folders["patches"], config)
+    assert len(list((tmp_path / "rep" / "feature_cache").iterdir())) == 2
+
+
+def test_a_report_without_features_or_crops_is_refused(spark, tmp_path):
+    spark.createDataFrame([("p", "positive", "in_mask", 1.0)], "patch_id string, condition string, patch_group string, x double").write.parquet(str(tmp_path / "alone" / "manifest"))
     (tmp_path / "r.yaml").write_text(yaml.safe_dump({
-        "manifest_path": "out/manifest", "output_dir": "rep", "features": {"channels": CHANNELS}, "dimensionality_reduction": {"n_pca_components": 2},
+        "manifest_path": "alone/manifest", "output_dir": "rep", "features": {"channels": CHANNELS}, "dimensionality_reduction": {"n_pca_components": 2},
         "clustering": {"method": "kmeans", "n_clusters": 2, "random_seed": 1}, "reporting": {"representatives_per_cluster": 3},
     }))
-    features = manifest.select("patch_id", *[f"{c.lower()}_{s}" for c in CHANNELS for s in ("mean", "max", "std")])
-    tables = L.report(spark, manifest, features, C.load_report(tmp_path / "r.yaml"))
-    L.write_report(tables, str(tmp_path / "rep"))
-    full = spark.read.parquet(str(tmp_path / "rep" / "patch_latent_report"))
-    assert full.count() == len(rows) and full.select("cluster_id").distinct().count() == 2
-    assert spark.read.parquet(str(tmp_path / "rep" / "pca_bins")).agg(F.sum("count")).first()[0] == len(rows)
+    with pytest.raises(ValueError, match="no table of features"):
+        cli.main(["report", "--config", str(tmp_path / "r.yaml")])
+
+
+def test_patches_with_odd_values_are_listed(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(f"p{i}", "positive", "in_mask", float(i % 2) * 9 + float(rng.random()), float("nan") if i == 3 else float(rng.random()), None if i in (3, 4) else 1.0 + i) for i in range(30)]
+    df = spark.createDataFrame(rows, "patch_id string, condition string, patch_group string, a double, b double, c double")
+    config = C.Report("m", "o", [], 2, "gmm", 2, 1, 2)
+    tables = L.report(spark, df.select("patch_id", "condition", "patch_group"), df.drop("condition", "patch_group"), config)
+    assert {(r.patch_id, r.features_not_finite) for r in tables["patches_left_out"].collect()} == {("p3", 2), ("p4", 1)}
+    assert tables["patch_latent_report"].count() == 28
+
+
+def test_extraction_again_replaces_what_it_wrote(spark, dataset, tmp_path):
+    path, raw, _ = dataset
+    manifests = []
+    for change in ({}, {"sampling": {**raw["sampling"], "random_seed": 7}}, {"patch": {**raw["patch"], "resume": False}}, {"patch": {**raw["patch"], "max_patches_per_group": 2, "shard_by_group": False}}):
+        path.write_text(yaml.safe_dump(raw | change))
+        folders = X.extract(spark, C.load_dataset(path))
+        manifest, payload = (spark.read.parquet(folders[n]) for n in ("manifest", "patches"))
+        ids = [r.patch_id for r in manifest.select("patch_id").collect()]
+        assert len(ids) == len(set(ids)) and payload.count() == 3 * len(ids) and {r.patch_id for r in payload.select("patch_id").distinct().collect()} == set(ids)
+        manifests.append({(r.patch_id, r.y, r.x) for r in manifest.collect()})
+    assert manifests[0] != manifests[1] and len(manifests[3]) < len(manifests[2])
+    stranger = dict(raw["samples"][0], sample_id="s9", channel_names=["MAP2", "OTHER", "FLAG"])  # names a third channel that the image lacks
+    path.write_text(yaml.safe_dump(raw | {"samples": [*raw["samples"], stranger]}))
+    with pytest.raises(ValueError, match="s9"):
+        X.extract(spark, C.load_dataset(path))
+    assert {(r.patch_id, r.y, r.x) for r in spark.read.parquet(folders["manifest"]).collect()} == manifests[3]
+
+
+def test_channels_without_names_are_numbered(spark, dataset):
+    path, raw, _ = dataset
+    numbered = {"samples": [{k: v for k, v in s.items() if k != "channel_names"} for s in raw["samples"]], "cohort": {"channel_schema": "v", "required_channels": ["channel_0", "channel_1"]}}
+    path.write_text(yaml.safe_dump(raw | numbered))
+    folders = X.extract(spark, C.load_dataset(path), center_channel="channel_0")
+    assert {r.channel for r in spark.read.parquet(folders["patches"]).select("channel").distinct().collect()} == {"channel_0", "channel_1", "map2_mask"}
+
+
+def test_shared_folder_is_asked_for_on_clusters():
+    from types import SimpleNamespace
+
+    from voxelmill.session import shared_dir
+
+    lone = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(lone)
 
 
 def test_bad_settings_are_refused(dataset, tmp_path):
@@ -121,6 +190,9 @@ def test_mask_export_and_feature_variance(spark, dataset, tmp_path, capsys):
     assert dilated(one, 2).sum() == 25
     y, x = np.mgrid[:20, :20]
     volume = 100 - np.stack([np.hypot(y - 7, x - 10) + 9 * abs(z - 1) for z in range(3)])
+    from voxelmill.plans.mask_export import otsu_of
+
+    assert otsu_of(np.array([[0.0, 0.1], [0.9, 1.0]])) == pytest.approx(0.1, abs=0.01) and otsu_of(np.full((2, 2), 3.0)) == 3
     guided = mask_of(volume, MaskSettings(guided=True, halo=1))
     assert guided[7, 10] and not guided[19].any() and not guided[:, 0].any()
     assert (normalized(np.full((2, 2), np.nan)) == 0).all()

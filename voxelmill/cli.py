@@ -8,7 +8,7 @@ import sys
 from pathlib import Path
 
 from . import config as C
-from .session import get_session
+from .session import clear_written, get_session, hadoop_path
 
 
 def run_metadata(folder: str, title: str, settings: str, argv: list[str]) -> Path:
@@ -41,7 +41,8 @@ def main(argv: list[str] | None = None) -> int:
         one.add_argument("--config", required=True)
         one.add_argument("--dry-run", action="store_true")
         if name == "report":
-            one.add_argument("--features", required=False, help="Parquet table of features")
+            one.add_argument("--features", help="Parquet table of features; without it they are computed from the crops")
+            one.add_argument("--patches", help="folder of the crops, by default the one beside the manifest")
     one = jobs.add_parser("missing-masks")
     one.add_argument("--images", required=True)
     one.add_argument("--masks", required=True)
@@ -74,20 +75,33 @@ def main(argv: list[str] | None = None) -> int:
         from .plans.extract import extract
 
         run_metadata(config.output_dir, "Patch extraction", args.config, argv)
-        print(extract(get_session(master=args.master), config))
+        spark = get_session(master=args.master)
+        print(extract(spark, config))
+        clear_written(spark)
     elif args.job == "report":
         config = C.load_report(args.config)
         if args.dry_run:
             print("settings are in order")
             return 0
-        from .plans.latent_report import report, write_report
+        from .plans.latent_report import image_tables, patch_features, report, write_report
 
         spark = get_session(master=args.master)
         path = config.manifest_path
         manifest = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
-        features = spark.read.parquet(args.features) if args.features else manifest.drop("condition", "patch_group")
+        patches = args.patches or f"{path.rstrip('/').rpartition('/')[0]}/patches"
+        at, files = hadoop_path(spark, patches)
+        crops = spark.read.parquet(patches) if files.exists(at) else None
+        if crops is None and not args.features:
+            raise ValueError(f"no table of features is given, and there are no crops in {patches} to compute them from")
+        features = spark.read.parquet(args.features) if args.features else patch_features(spark, manifest, patches, config)
         run_metadata(config.output_dir, "Latent report", args.config, argv)
-        write_report(report(spark, manifest, features, config), config.output_dir)
+        tables = report(spark, manifest, features, config)
+        write_report(tables, config.output_dir)
+        sizes = manifest.select("patch_height_px", "patch_width_px", "z_window").distinct().collect() if crops is not None else []
+        if len(sizes) == 1:  # images of different sizes have no common pixels
+            h, w, z = sizes[0]
+            write_report(image_tables(tables["patch_latent_report"], crops, h * w, z), config.output_dir)
+        clear_written(spark)
     elif args.job == "missing-masks":
         for row in missing_masks(get_session(master=args.master), args.images, args.masks, args.limit).toLocalIterator():
             print(row.path)
@@ -96,11 +110,12 @@ def main(argv: list[str] | None = None) -> int:
 
         settings, spark = MaskSettings(channel=args.channel, method=args.method, halo=args.halo, guided=args.guided), get_session(master=args.master)
         Path(args.output).mkdir(parents=True, exist_ok=True)
-        todo = [r.path for r in missing_masks(spark, args.images, args.output, args.limit).toLocalIterator()]  # names only
+        todo = [r.path for r in missing_masks(spark, args.images, args.output, args.limit).toLocalIterator()]  # names, which a reader of files lists on the driver anyway
         print(f"{len(todo)} images lack a mask")
         if todo and not args.dry_run:
             for row in export_masks(spark, todo, args.output, settings).toLocalIterator():
                 print(row.mask_path, row.true_pixels)
+        clear_written(spark)
     elif args.job == "feature-variance":
         from functools import reduce
 
@@ -116,8 +131,10 @@ def main(argv: list[str] | None = None) -> int:
     else:
         from .operators.compaction import compact_folder
 
-        for row in compact_folder(get_session(master=args.master), args.pattern, args.output, args.target_bytes, args.kind).toLocalIterator():
+        spark = get_session(master=args.master)
+        for row in compact_folder(spark, args.pattern, args.output, args.target_bytes, args.kind).toLocalIterator():
             print(row.file_path, row.n_bytes)
+        clear_written(spark)
     return 0
 
 

@@ -45,7 +45,7 @@ class Sample:
     field_of_view: str
     image_path: str
     mask_path: str
-    channel_names: list[str]
+    channel_names: list[str] = field(default_factory=list)  # none: channel_0, channel_1 and so on
     cell_id: str | None = None
     dendrite_id: str | None = None
 
@@ -83,7 +83,7 @@ def _made(kind, raw: dict, where: str):
     """A dataclass of simple fields out of a mapping; fields without a default must be there."""
     if not isinstance(raw, dict):
         raise ValueError(f"{where} must be a mapping")
-    lacking = [n for n, f in kind.__dataclass_fields__.items() if n not in raw and f.default is f.default_factory]
+    lacking = [n for n, f in kind.__dataclass_fields__.items() if n not in raw and f.default is f.default_factory]  # both are the mark of a missing default
     if lacking:
         raise ValueError(f"{where} lacks {', '.join(lacking)}")
     return kind(**{n: _KINDS[f.type](raw[n]) for n, f in kind.__dataclass_fields__.items() if n in raw})
@@ -102,6 +102,16 @@ def _read(path: str | Path) -> tuple[dict, Path]:
     return raw, Path(path).resolve().parent
 
 
+def _full(base: Path, path) -> str:
+    """A path as it counts from ``base``; one that names its file system stays as it is."""
+    return str(path) if "://" in str(path) else str((base / str(path)).resolve())
+
+
+def _there(path: str) -> bool:
+    """Whether a local file exists; other file systems are asked when it is read."""
+    return "://" in path or Path(path).exists()
+
+
 def _check(rules: list[tuple[bool, str]]) -> None:
     for good, message in rules:
         if not good:
@@ -113,8 +123,7 @@ def load_dataset(path: str | Path, must_exist: bool = True) -> Dataset:
     _check([(k in raw, f"the settings lack {k}") for k in ("dataset_name", "output_dir", "samples")])
     patch, sampling, cohort = _made(Patch, _part(raw, "patch"), "patch"), _made(Sampling, _part(raw, "sampling"), "sampling"), _part(raw, "cohort")
     _check([(k in cohort, f"cohort lacks {k}") for k in ("channel_schema", "required_channels")])
-    full = lambda p: str((base / str(p)).resolve())
-    samples = [_made(Sample, s | {k: full(s[k]) for k in ("image_path", "mask_path") if k in s}, f"samples[{i}]") for i, s in enumerate(raw["samples"] or [])]
+    samples = [_made(Sample, s | {k: _full(base, s[k]) for k in ("image_path", "mask_path") if k in s}, f"samples[{i}]") for i, s in enumerate(raw["samples"] or [])]
     needed = [str(c) for c in cohort["required_channels"] or []]
     ids = [s.sample_id for s in samples]
     _check(
@@ -129,12 +138,12 @@ def load_dataset(path: str | Path, must_exist: bool = True) -> Dataset:
         _check(
             [
                 (len(s.channel_names) == len(set(s.channel_names)), f"{s.sample_id}: a channel name occurs twice"),
-                (set(needed) <= set(s.channel_names), f"{s.sample_id} lacks required channels"),
-                (not must_exist or Path(s.image_path).exists(), f"{s.sample_id}: no image {s.image_path}"),
-                (not must_exist or Path(s.mask_path).exists(), f"{s.sample_id}: no mask {s.mask_path}"),
+                (not s.channel_names or set(needed) <= set(s.channel_names), f"{s.sample_id} lacks required channels"),
+                (not must_exist or _there(s.image_path), f"{s.sample_id}: no image {s.image_path}"),
+                (not must_exist or _there(s.mask_path), f"{s.sample_id}: no mask {s.mask_path}"),
             ]
         )
-    return Dataset(str(raw["dataset_name"]), full(raw["output_dir"]), patch, sampling, str(cohort["channel_schema"]), needed, samples)
+    return Dataset(str(raw["dataset_name"]), _full(base, raw["output_dir"]), patch, sampling, str(cohort["channel_schema"]), needed, samples)
 
 
 def load_report(path: str | Path, must_exist: bool = True) -> Report:
@@ -144,18 +153,18 @@ def load_report(path: str | Path, must_exist: bool = True) -> Report:
         flat |= _part(raw, part)
     for k in ("manifest_path", "output_dir", "feature_variance_csv"):
         if flat.get(k) is not None:
-            flat[k] = str((base / str(flat[k])).resolve())
+            flat[k] = _full(base, flat[k])
     for k in ("method", "map2_feature_policy"):
         if k in flat:
             flat[k] = str(flat[k]).lower()
     out = _made(Report, flat, "the settings")
     _check(
         [
-            (not must_exist or Path(out.manifest_path).exists(), f"no manifest {out.manifest_path}"), (out.n_pca_components > 0, "n_pca_components must be above 0"),
+            (not must_exist or _there(out.manifest_path), f"no manifest {out.manifest_path}"), (out.n_pca_components > 0, "n_pca_components must be above 0"),
             (out.method in ("gmm", "kmeans"), "method must be gmm or kmeans"), (out.n_clusters > 1, "n_clusters must be above 1"),
             (out.representatives_per_cluster > 0, "representatives_per_cluster must be above 0"), (out.map2_feature_policy in ("full", "prior_only"), "map2_feature_policy must be full or prior_only"),
             ((out.feature_variance_csv is None) == (out.feature_variance_cluster is None), "feature_variance_csv and feature_variance_cluster belong together"),
-            (not must_exist or out.feature_variance_csv is None or Path(out.feature_variance_csv).exists(), f"no table {out.feature_variance_csv}"),
+            (not must_exist or out.feature_variance_csv is None or _there(out.feature_variance_csv), f"no table {out.feature_variance_csv}"),
         ]
     )
     return out

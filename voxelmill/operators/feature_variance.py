@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from .models import MOST_FEATURES, ward_labels
 
 METRICS = ["between_cluster_var", "within_cluster_var", "separation_score"]
@@ -90,50 +91,91 @@ def variance_clusters(metrics: DataFrame, domain: str, k: int | None = None, see
     return metrics.select(domain, "feature", *METRICS).groupBy(domain).applyInPandas(run, schema)
 
 
-def redundant_pairs(metrics: DataFrame, loadings: DataFrame, domain: str, family: str, groups: int = 3, corr: float = 0.95, share: float = 0.25) -> DataFrame:
-    """Pairs of one family and one Ward group whose metrics and absolute loadings both correlate by ``corr``, and whose distance is within
-    the ``share`` quantile of the family's distances. Groups and distances rest on the scaled log metrics and absolute loadings together.
+def removed_projection(kept: DataFrame, removed: DataFrame, clusters: DataFrame, domain: str) -> DataFrame:
+    """``domain, feature, removed, feature_variance_cluster, pc_1, pc_2``: features on the first two axes of the kept ones' scaled log metrics; the removed
+    features are placed by the kept ones' scale and axes, and belong to no cluster."""
+    both = kept.select(domain, "feature", *METRICS, F.lit(False).alias("removed")).unionByName(removed.select(domain, "feature", *METRICS, F.lit(True).alias("removed")))
+    rows = both.join(clusters.select(domain, "feature", "feature_variance_cluster"), [domain, "feature"], "left")
+    schema = f"`{domain}` {rows.schema[domain].dataType.simpleString()}, feature string, removed boolean, feature_variance_cluster int, pc_1 double, pc_2 double"
 
-    ``loadings`` has ``domain, feature, axis, loading``. Groups with fewer than two features have no pairs.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        logs, mine = np.log10(pdf[METRICS].to_numpy(float) + 1e-6), ~pdf["removed"].to_numpy(bool)
+        base = logs[mine] if mine.any() else logs
+        sd = base.std(0)
+        x = (logs - base.mean(0)) / np.where(sd > 0, sd, 1.0)
+        axes = np.linalg.eigh(np.cov((x[mine] if mine.any() else x).T, bias=True))[1][:, ::-1][:, :2]
+        axes = axes * np.sign(axes[np.abs(axes).argmax(0), [0, 1]])
+        return pdf[[domain, "feature", "removed", "feature_variance_cluster"]].assign(pc_1=x @ axes[:, 0], pc_2=x @ axes[:, 1])
+
+    return rows.groupBy(domain).applyInPandas(run, schema)
+
+
+def profiles(metrics: DataFrame, loadings: DataFrame, domain: str, family: str) -> DataFrame:
+    """``domain, family, feature``, the metrics, ``pc`` (a feature's loadings by axis) and ``x``: log metrics and absolute loadings, each scaled over the family.
+
+    ``loadings`` has ``domain, feature, axis, loading``. What doesn't vary in a family is only centred.
     """
-    kind = metrics.schema[domain].dataType.simpleString()
-    wide = loadings.groupBy(domain, "feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", F.abs("loading").alias("l")))), lambda p: p["l"]).alias("_l"))
+    by = F.transform(F.array_sort(F.collect_list(F.struct("axis", "loading"))), lambda p: p["loading"])
+    rows = metrics.select(domain, family, "feature", *METRICS).join(loadings.groupBy(domain, "feature").agg(by.alias("pc")), [domain, "feature"])
+    every = F.concat(F.array(*[F.log10(F.col(m) + 1e-6) for m in METRICS]), F.transform("pc", lambda v: F.abs(v)))
+    long = rows.select(domain, family, "feature", F.posexplode(every).alias("_at", "_v"))
+    stats = long.groupBy(domain, family, "_at").agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s"))
+    scaled = long.join(stats, [domain, family, "_at"]).withColumn("_z", (F.col("_v") - F.col("_m")) / F.when(F.col("_s") > 1e-12, F.col("_s")).otherwise(1.0))
+    x = scaled.groupBy(domain, "feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_z"))), lambda p: p["_z"]).alias("x"))
+    return rows.join(x, [domain, "feature"])
 
-    def correlation(a: np.ndarray, b: np.ndarray) -> float:
-        return float(np.corrcoef(a, b)[0, 1]) if a.std() > 0 and b.std() > 0 and len(a) > 1 else 0.0
+
+def with_groups(rows: DataFrame, domain: str, family: str, groups: int = 3) -> DataFrame:
+    """:func:`profiles` with ``group_id``: Ward's hierarchy of each family cut into ``groups``, or one less than it has features."""
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (domain, family)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, n = [], len(pdf)
-        if n > MOST_FEATURES:
-            raise ValueError(f"{n} features are more than {MOST_FEATURES}")
-        if n > 1:
-            pdf = pdf.sort_values("feature", ignore_index=True)
-            raw = pdf[METRICS].to_numpy(float)
-            l = np.stack(pdf["_l"])
-            x = _scaled(np.column_stack([np.log10(raw + 1e-6), l]))
-            labels = ward_labels(x, max(1, min(groups, n - 1)))
-            i, j = np.triu_indices(n, 1)
-            gap = np.sqrt(((x[i] - x[j]) ** 2).sum(1))
-            limit = np.quantile(gap, share)
-            for a, b, g in zip(i, j, gap, strict=True):
-                cm, cl = correlation(raw[a], raw[b]), correlation(l[a], l[b])
-                out.append((pdf["feature"][a], pdf["feature"][b], int(labels[a]), bool(labels[a] == labels[b]), cm, cl, float(g), bool(labels[a] == labels[b] and cm >= corr and cl >= corr and g <= limit)))
-        made = pd.DataFrame(out, columns=["feature_a", "feature_b", "group_id", "same_group", "metric_corr", "loading_corr", "distance", "redundant"])
-        return made.assign(**{domain: pdf[domain].iloc[0], family: pdf[family].iloc[0]})[[domain, family, *made.columns]]
-
-    schema = f"`{domain}` {kind}, `{family}` string, feature_a string, feature_b string, group_id int, same_group boolean, metric_corr double, loading_corr double, distance double, redundant boolean"
-    return metrics.select(domain, family, "feature", *METRICS).join(wide, [domain, "feature"]).groupBy(domain, family).applyInPandas(run, schema)
-
-
-def redundant_groups(pairs: DataFrame, metrics: DataFrame, domain: str, family: str, corr: float = 0.95) -> DataFrame:
-    """Each group's mean correlations and distance, whether it counts as redundant (all pairs do, both means at least ``corr``), and its
-    representative: the feature of highest separation, then of highest between-cluster variance, then the first by name."""
-    inside = pairs.where("same_group")
-    stats = inside.groupBy(domain, family, "group_id").agg(
+        if len(pdf) > MOST_FEATURES:
+            raise ValueError(f"{len(pdf)} features are more than {MOST_FEATURES}")
+        pdf = pdf.sort_values("feature", ignore_index=True)
+        return pdf[[domain, family, "feature"]].assign(group_id=ward_labels(np.stack(pdf["x"]), max(1, min(groups, len(pdf) - 1))).astype("int32"))
+
+    labels = rows.select(domain, family, "feature", "x").groupBy(domain, family).applyInPandas(run, ", ".join([*kinds, "feature string, group_id int"]))
+    return rows.join(labels, [domain, family, "feature"])
+
+
+def _correlation(a, b):
+    """Pearson's correlation of two arrays, null where one of them is constant."""
+    ma, mb = A.mean(a), A.mean(b)
+    apart = A.let(F.struct(ma.alias("a"), mb.alias("b")), lambda m: F.struct(
+        A.total(F.zip_with(a, b, lambda x, y: (x - m["a"]) * (y - m["b"]))).alias("xy"), A.total(F.transform(a, lambda x: (x - m["a"]) ** 2)).alias("xx"), A.total(F.transform(b, lambda y: (y - m["b"]) ** 2)).alias("yy")
+    ))
+    return A.let(apart, lambda s: F.try_divide(s["xy"], F.sqrt(s["xx"] * s["yy"])))
+
+
+def redundant_pairs(grouped: DataFrame, domain: str, family: str, corr: float = 0.95, share: float = 0.25) -> DataFrame:
+    """All pairs of features of one family, and whether they are redundant: of one group, with metrics and with absolute loadings
+    that correlate by ``corr``, and no farther apart than the ``share`` quantile of the family's distances.
+
+    ``grouped`` are :func:`profiles` with a ``group_id``, from :func:`with_groups` or elsewhere. The pairs are of features, within a family. Correlations with a constant
+    profile are null and make no pair redundant.
+    """
+    raw = grouped.select(domain, family, "feature", "group_id", F.array(*METRICS).alias("r"), F.transform("pc", lambda v: F.abs(v)).alias("l"), "x")
+    other = raw.select(domain, family, *[F.col(c).alias(f"{c}_b") for c in ("feature", "group_id", "r", "l", "x")])
+    met = raw.withColumnRenamed("feature", "feature_a").join(other, [domain, family]).where("feature_a < feature_b")
+    met = met.select(
+        domain, family, "feature_a", "feature_b", "group_id", (F.col("group_id") == F.col("group_id_b")).alias("same_group"), _correlation(F.col("r"), F.col("r_b")).alias("metric_corr"),
+        _correlation(F.col("l"), F.col("l_b")).alias("loading_corr"), F.sqrt(A.total(F.zip_with("x", "x_b", lambda a, b: (a - b) ** 2))).alias("distance"),
+    )
+    cutoff = met.groupBy(domain, family).agg(F.percentile("distance", F.lit(share)).alias("distance_cutoff"))
+    out = met.join(cutoff, [domain, family])
+    rule = F.col("same_group") & (F.col("metric_corr") >= corr) & (F.col("loading_corr") >= corr) & (F.col("distance") <= F.col("distance_cutoff"))
+    return out.withColumn("redundant", F.coalesce(rule, F.lit(False)))
+
+
+def redundant_groups(pairs: DataFrame, grouped: DataFrame, domain: str, family: str, corr: float = 0.95) -> DataFrame:
+    """Each group of two features or more: its size, mean correlations and distance, whether it counts as redundant (all pairs do, both means at
+    least ``corr``), and its representative: the feature of highest separation, then of the highest loadings axis by axis, then the first by name."""
+    stats = pairs.where("same_group").groupBy(domain, family, "group_id").agg(
         F.avg("metric_corr").alias("mean_metric_corr"), F.avg("loading_corr").alias("mean_loading_corr"), F.avg("distance").alias("mean_distance"), F.every("redundant").alias("all_redundant")
     )
-    members = inside.select(domain, family, "group_id", F.explode(F.array("feature_a", "feature_b")).alias("feature")).distinct().join(metrics.select(domain, "feature", *METRICS), [domain, "feature"])
-    order = Window.partitionBy(domain, family, "group_id").orderBy(F.col("separation_score").desc(), F.col("between_cluster_var").desc(), "feature")
-    first = members.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(domain, family, "group_id", F.col("feature").alias("representative"))
+    order = Window.partitionBy(domain, family, "group_id").orderBy(F.col("separation_score").desc(), F.col("pc").desc(), "feature")
+    first = grouped.withColumn("_r", F.row_number().over(order)).withColumn("group_size", F.count(F.lit(1)).over(Window.partitionBy(domain, family, "group_id"))).where("_r = 1")
+    first = first.select(domain, family, "group_id", "group_size", F.col("feature").alias("representative"), F.col("separation_score").alias("representative_separation_score"))
     flag = F.col("all_redundant") & (F.col("mean_metric_corr") >= corr) & (F.col("mean_loading_corr") >= corr)
-    return stats.join(first, [domain, family, "group_id"]).withColumn("redundant_group", flag)
+    return stats.join(first, [domain, family, "group_id"]).withColumn("redundant_group", F.coalesce(flag, F.lit(False)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
 
-#: Most features whose distances are compared in pairs; a report has some hundreds.
-MOST_FEATURES = 2_000
+#: Most features of a dataset whose distances are compared in pairs: the matrix then takes half a gigabyte of a task. A report has some hundreds.
+MOST_FEATURES = 8_000
 
 
 def standardized(rows: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
@@ -50,26 +52,34 @@ def _vectors(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_vector").transform(rows)
 
 
-def kmeans(rows: DataFrame, features: list[str], k: int, seed: int, starts: int = 3) -> DataFrame:
+def kmeans(rows: DataFrame, features: list[str], k: int, seed: int, starts: int = 10) -> DataFrame:
     """``rows`` with ``cluster_id``: the best of several starts by training cost."""
-    data = _vectors(rows, features).persist()
-    fits = [KMeans(k=k, seed=seed + s, featuresCol="_vector", predictionCol="cluster_id").fit(data) for s in range(starts)]
+    data = _vectors(rows, features)
+    held = data.select("_vector").persist()
+    try:
+        fits = [KMeans(k=k, seed=seed + s, featuresCol="_vector", predictionCol="cluster_id").fit(held) for s in range(starts)]
+    finally:
+        held.unpersist()
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(data).drop("_vector")
 
 
-def clusters(rows: DataFrame, features: list[str], k: int, seed: int, method: str = "gmm") -> DataFrame:
-    """``rows`` with ``cluster_id`` by a Gaussian mixture, or by k-means where that is asked for or no mixture can be fitted."""
+def clusters(rows: DataFrame, features: list[str], k: int, seed: int, method: str = "gmm", ridges: tuple[float, ...] = (0.0, 1e-6, 1e-5, 1e-4, 1e-3)) -> DataFrame:
+    """``rows`` with ``cluster_id`` by a Gaussian mixture, or by k-means where that is asked for or no mixture can be fitted.
+
+    ``k`` is brought into 2 to the number of rows. Where a covariance is singular, the mixture is fitted again to rows that a
+    seeded noise of the variance ``ridge`` was added to, with rising ridges, before k-means is taken.
+    """
     if method not in ("gmm", "kmeans"):
         raise ValueError(f"unknown method {method!r}")
-    if method == "gmm":
+    k = max(2, min(k, rows.count()))
+    for ridge in ridges if method == "gmm" else ():
+        noisy = rows if not ridge else rows.select("*").withColumns({f: F.col(f) + F.randn(seed + i) * ridge**0.5 for i, f in enumerate(features)})
         try:
-            data = _vectors(rows, features)
-            model = GaussianMixture(k=k, seed=seed, featuresCol="_vector", predictionCol="cluster_id", maxIter=30).fit(data)
-            return model.transform(data).drop("_vector", "probability")
-        except Exception as e:  # noqa: BLE001 - singular covariances end in various JVM errors
-            if "singular" not in str(e).lower() and "illegal" not in str(e).lower():
-                raise
+            model = GaussianMixture(k=k, seed=seed, featuresCol="_vector", predictionCol="cluster_id", maxIter=30).fit(_vectors(noisy, features))
+            return model.transform(_vectors(rows, features)).drop("_vector", "probability")
+        except (Py4JJavaError, CapturedException):  # what the solver says of a singular covariance differs by its library
+            continue
     return kmeans(rows, features, k, seed)
 
 
@@ -77,39 +87,69 @@ def choose_k(rows: DataFrame, features: list[str], most: int, seed: int) -> Data
     """``k, silhouette, inertia, chosen`` for 2 to ``most`` clusters; the first best silhouette is chosen."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    data, found = _vectors(rows, features).persist(), []
-    for k in range(2, most + 1):
-        model = KMeans(k=k, seed=seed, featuresCol="_vector", predictionCol="cluster_id").fit(data)
-        done = model.transform(data)
-        score = ClusteringEvaluator(featuresCol="_vector", predictionCol="cluster_id").evaluate(done)
-        found.append((k, float(score), float(model.summary.trainingCost)))
+    data, found = _vectors(rows, features).select("_vector").persist(), []
+    try:
+        for k in range(2, min(most, data.count() - 1) + 1):
+            model = KMeans(k=k, seed=seed, featuresCol="_vector", predictionCol="cluster_id").fit(data)
+            score = ClusteringEvaluator(featuresCol="_vector", predictionCol="cluster_id").evaluate(model.transform(data))
+            found.append((k, float(score), float(model.summary.trainingCost)))
+    finally:
+        data.unpersist()
     best = max(found, key=lambda r: (r[1], -r[0]))[0] if found else None
     return rows.sparkSession.createDataFrame([(*r, r[0] == best) for r in found], "k int, silhouette double, inertia double, chosen boolean")
 
 
 def ward_labels(points: np.ndarray, k: int) -> np.ndarray:
-    """Labels 1..k of Ward's hierarchy cut into ``k`` clusters; the pair of least increase merges, the first among equals."""
+    """Labels 1..k of Ward's hierarchy cut into ``k`` clusters, numbered by their first points.
+
+    Chains of nearest neighbours give all merges over one matrix of distances, in quadratic time; the ``n - k`` of the least increase are
+    carried out. Where increases are equal any of the equal hierarchies may come out.
+    """
     n = len(points)
-    groups, size, center = {i: [i] for i in range(n)}, dict.fromkeys(range(n), 1), dict(enumerate(points))
-    while len(groups) > max(k, 1):
-        keys = sorted(groups)
-        c, s = np.stack([center[i] for i in keys]), np.array([size[i] for i in keys], dtype=float)
-        cost = ((c[:, None] - c[None]) ** 2).sum(-1) * (s[:, None] * s[None]) / (s[:, None] + s[None])
-        cost[np.tril_indices(len(keys))] = np.inf
-        i, j = (keys[a] for a in np.unravel_index(cost.argmin(), cost.shape))
-        center[i] = (center[i] * size[i] + center[j] * size[j]) / (size[i] + size[j])
-        size[i] += size.pop(j)
-        groups[i] += groups.pop(j)
-    out = np.zeros(n, dtype=int)
-    for label, key in enumerate(sorted(groups), 1):
-        out[groups[key]] = label
-    return out
+    if n <= max(k, 1):
+        return np.arange(1, n + 1)
+    square = (points**2).sum(1)
+    cost = np.maximum(square[:, None] + square[None] - 2 * points @ points.T, 0.0) / 2
+    np.fill_diagonal(cost, np.inf)
+    size, merges, chain = np.ones(n), [], []
+    alive = np.ones(n, dtype=bool)
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(alive.argmax()))
+        a = chain[-1]
+        b = int(cost[a].argmin())
+        if len(chain) > 1 and cost[a, chain[-2]] <= cost[a, b]:
+            b = chain[-2]
+            del chain[-2:]
+            low, high = min(a, b), max(a, b)
+            merges.append((cost[a, b], low, high))
+            total = size[low] + size[high] + size
+            row = ((size[low] + size) * cost[low] + (size[high] + size) * cost[high] - size * cost[low, high]) / total
+            row[~alive] = np.inf
+            row[[low, high]] = np.inf
+            cost[low], cost[:, low] = row, row
+            cost[high], cost[:, high] = np.inf, np.inf
+            size[low] += size[high]
+            alive[high] = False
+        else:
+            chain.append(b)
+    root = np.arange(n)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: n - max(k, 1)]:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1] + 1
 
 
 def feature_hierarchy(metrics: DataFrame, domain: str, feature: str, columns: list[str], k: int) -> DataFrame:
     """``domain, feature, hierarchical_cluster`` of every domain's features over its standardised ``columns``.
 
-    The rows are features, some hundreds for each domain; more than ``MOST_FEATURES`` are refused.
+    The rows are features, not patches: some hundreds for each domain; more than ``MOST_FEATURES`` are refused.
     """
     schema = f"`{domain}` {metrics.schema[domain].dataType.simpleString()}, `{feature}` string, hierarchical_cluster int"
 

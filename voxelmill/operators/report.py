@@ -7,6 +7,8 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,19 +62,44 @@ def composition_pivot(rows: DataFrame, keys: list[str], level: str, levels: list
     return counted.select(*keys, *[(F.col(v) / F.col("_n")).alias(v) for v in levels])
 
 
-def variance_audit(values: DataFrame, keys: list[str], tiny: float = 1e-12, near: float = 1e-8) -> DataFrame:
+#: Features whose aggregates share one pass; more in one would outgrow generated code.
+FEATURES_A_PASS = 48
+
+
+def _by_pass(features: list[str]) -> list[list[str]]:
+    return [features[i : i + FEATURES_A_PASS] for i in range(0, len(features), FEATURES_A_PASS)]
+
+
+def feature_stats(rows: DataFrame, keys: list[str], features: list[str], stats: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``keys..., feature, stats...`` over the finite values of each feature.
+
+    Rows stay wide until they are aggregated: what is turned into one row for each feature is the small result, not the table.
+    """
+    out = None
+    for some in _by_pass(features):
+        value = {f: F.when(finite(F.col(f).cast("double")), F.col(f).cast("double")) for f in some}
+        one = rows.groupBy(*keys).agg(*[F.struct(*[make(value[f]).alias(n) for n, make in stats.items()]).alias(f) for f in some])
+        long = one.select(*keys, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("_s")) for f in some]))).select(*keys, "feature", "_s.*")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def variance_audit(rows: DataFrame, keys: list[str], features: list[str], tiny: float = 1e-12, near: float = 1e-8, exact_unique: bool = False) -> DataFrame:
     """Statistics of the finite values of each feature, and why it is kept or dropped.
 
-    ``all_zero`` before ``constant`` before ``near_constant``. A feature without finite values is ``all_zero`` with zero statistics.
+    ``all_zero`` before ``constant`` (least and greatest are equal) before ``near_constant``. A feature without finite values is ``all_zero`` with zero
+    statistics. ``n_unique`` is estimated by a sketch unless ``exact_unique`` asks for a count, which shuffles every distinct value.
     """
-    value = F.when(finite("value"), F.col("value"))
-    stats = values.groupBy(*keys, "feature").agg(
-        F.count(value).alias("n_finite"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.countDistinct(value).alias("n_unique"),
-    )
+    stats = feature_stats(rows, keys, features, {
+        "n_finite": F.count, "mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max,
+        "n_unique": (lambda v: F.lit(0).cast("bigint")) if exact_unique else (lambda v: F.approx_count_distinct(v, 0.02)),
+    })
+    if exact_unique:
+        counts = long_features(rows, keys, features).where(finite("value")).select(*keys, "feature", "value").distinct().groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n_unique"))
+        stats = stats.drop("n_unique").join(counts, [*keys, "feature"], "left").fillna(0, ["n_unique"])
     stats = stats.fillna(0.0, ["mean", "std", "min", "max"]).withColumn("range", F.col("max") - F.col("min"))
     reason = (
-        F.when(F.greatest(F.abs("min"), F.abs("max")) <= tiny, "all_zero").when(F.col("n_unique") <= 1, "constant")
+        F.when(F.greatest(F.abs("min"), F.abs("max")) <= tiny, "all_zero").when(F.col("min") == F.col("max"), "constant")
         .when((F.col("std") <= near) | (F.col("range") <= near), "near_constant").otherwise("kept")
     )
     return stats.withColumn("reason", reason).withColumn("kept", F.col("reason") == "kept")
@@ -87,13 +114,12 @@ def audit_overview(audit: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("low_information", low)
 
 
-def cluster_separation(values: DataFrame, domain: str, cluster: str) -> DataFrame:
+def cluster_separation(rows: DataFrame, domain: str, cluster: str, features: list[str]) -> DataFrame:
     """Per feature the sums of squares between and within clusters and their ratio; zeros for fewer than two clusters.
 
-    One shuffle of partial moments for each (domain, feature, cluster); non-finite values and null clusters are left out.
+    One shuffle of partial moments for each (domain, cluster); non-finite values and null clusters are left out.
     """
-    good = values.where(finite("value") & F.col(cluster).isNotNull())
-    part = good.groupBy(domain, "feature", cluster).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    part = feature_stats(rows.where(F.col(cluster).isNotNull()), [domain, cluster], features, {"n": F.count, "m": F.avg, "v": F.var_pop}).where("n > 0")
     total = part.groupBy(domain, "feature").agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum(F.col("n") * F.col("v")).alias("w")
     )
@@ -103,14 +129,18 @@ def cluster_separation(values: DataFrame, domain: str, cluster: str) -> DataFram
     return total.select(domain, "feature", between.alias("between_cluster_var"), within.alias("within_cluster_var"), F.when(many, between / (within + 1e-6)).otherwise(0.0).alias("separation_score"))
 
 
-def standardize(values: DataFrame, keys: list[str]) -> DataFrame:
-    """``value`` less its feature's mean over its population deviation; a constant feature is only centred.
+def standardize(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """``rows`` with each feature less its mean over its population deviation; a constant feature is only centred, a non-finite value is null.
 
-    The statistics join back on their keys, so no feature is gathered in one task.
+    The statistics, one row for each of ``keys``, join back on them, so no feature is gathered in one task.
     """
-    good = values.where(finite("value"))
-    stats = good.groupBy(*keys, "feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    return good.join(stats, [*keys, "feature"]).withColumn("value", (F.col("value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).drop("_m", "_s")
+    out = rows
+    for some in _by_pass(features):
+        value = {f: F.when(finite(F.col(f).cast("double")), F.col(f).cast("double")) for f in some}
+        stats = rows.groupBy(*keys).agg(*[s for f in some for s in (F.avg(value[f]).alias(f"_m_{f}"), F.stddev_pop(value[f]).alias(f"_s_{f}"))])
+        scaled = {f: (value[f] - F.col(f"_m_{f}")) / F.when(F.col(f"_s_{f}") > 0, F.col(f"_s_{f}")).otherwise(1.0) for f in some}
+        out = out.join(stats, keys).withColumns(scaled).drop(*[f"_{s}_{f}" for f in some for s in "ms"])
+    return out
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
@@ -129,7 +159,7 @@ def distance_to_center(rows: DataFrame, domain: str, cluster: str, axes: list[st
 
 
 def bins_2d(rows: DataFrame, keys: list[str], x: str, y: str, bins: int) -> DataFrame:
-    """``keys..., bx, by, count``: a histogram over each group's own range, its last bins closed on the right."""
+    """``rows`` with ``bx, by``: the bins of a histogram over each group's own range, its last bins closed on the right."""
     good = rows.where(finite(x) & finite(y))
     span = good.groupBy(*keys).agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
 
@@ -138,3 +168,11 @@ def bins_2d(rows: DataFrame, keys: list[str], x: str, y: str, bins: int) -> Data
         return F.when(wide <= 0, 0).otherwise(F.least(F.floor((F.col(v) - F.col(low)) / F.when(wide > 0, wide).otherwise(1.0) * bins), F.lit(bins - 1))).cast("int")
 
     return good.join(span, keys).withColumn("bx", place(x, "_x0", "_x1")).withColumn("by", place(y, "_y0", "_y1")).drop("_x0", "_x1", "_y0", "_y1")
+
+
+def dense_bins(binned: DataFrame, keys: list[str], bins: int, **counts: Column) -> DataFrame:
+    """``keys..., bx, by`` for every bin of each group's grid, with its ``counts`` (0 where it is empty)."""
+    side = F.sequence(F.lit(0), F.lit(bins - 1))
+    grid = binned.select(*keys).distinct().select("*", F.explode(side).alias("bx")).select("*", F.explode(side).alias("by"))
+    held = binned.groupBy(*keys, "bx", "by").agg(*[v.alias(n) for n, v in counts.items()])
+    return grid.join(held, [*keys, "bx", "by"], "left").fillna(0, list(counts))

@@ -68,8 +68,9 @@ def region_groups(distance: Column, boundary: Column, near: Column, far: Column)
 
 
 def order_key(y: str, x: str, seed: int) -> Column:
-    """An arithmetic shuffle of grid points that any engine reproduces."""
-    return (F.col(y).cast("bigint") * 73856093 + F.col(x).cast("bigint") * 19349663 + seed) % 1000003
+    """An arithmetic shuffle of grid points that any engine reproduces; each seed stretches the places around the circle by another factor."""
+    place = (F.col(y).cast("bigint") * 73856093 + F.col(x).cast("bigint") * 19349663) % 1000003
+    return (place * (2 * seed % 1000003 + 1) + seed) % 1000003
 
 
 def stratified_sample(centers: DataFrame, keys: list[str], cap: str, most: int, seed: int, salts: int = 16) -> DataFrame:
@@ -113,16 +114,34 @@ def identified(chosen: DataFrame, sample: str, group: str, shard: str | None) ->
     return chosen.withColumn("patch_id", F.format_string("%s_%s_%05d", F.col(sample).cast("string"), F.col(group), number)).withColumn("shard_index", within)
 
 
-def offsets(low: int, high: int) -> Column:
-    return F.explode(F.sequence(F.lit(low), F.lit(high - 1)))
+def crop_lines(centers: DataFrame, lines: DataFrame, key: str, ids: list[str], height: int, width: int, depth: int = 1) -> DataFrame:
+    """``ids..., key, channel, v``: the pixels of the patch around each center, slice by slice, edge slices repeated.
+
+    ``centers`` has ``ids..., key, y, x, z_center, slices``, ``lines`` the pixel rows ``key, channel, z, y, v`` (an array) of whole images. A band join as an
+    equi-join: a center asks for the ``depth * height`` rows that it needs and cuts its part out of each; clamping
+    the slice is the same as edge padding.
+    """
+    half = depth // 2
+    wanted = centers.select(*ids, key, "y", F.col("x").alias("_x"), "z_center", "slices", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("_dz"))
+    wanted = wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("_dy"))
+    at = wanted.select(
+        *ids, key, "_dz", "_dy", "_x", F.least(F.greatest(F.col("z_center") + F.col("_dz"), F.lit(0)), F.col("slices") - 1).alias("z"), (F.col("y") + F.col("_dy") - height // 2).alias("y")
+    )
+    cut = at.join(lines, [key, "z", "y"]).select(*ids, key, "channel", "_dz", "_dy", F.slice("v", F.col("_x") - width // 2 + 1, width).alias("_part"))
+    rows = F.array_sort(F.collect_list(F.struct("_dz", "_dy", "_part")))
+    return cut.groupBy(*ids, key, "channel").agg(F.flatten(F.transform(rows, lambda r: r["_part"])).alias("v"))
+
+
+def lines_of(pixels: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """``keys..., v``: rows of pixels as arrays in the order of ``x``; a row's pixels must all be there."""
+    return pixels.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("x", value.alias("v")))), lambda p: p["v"]).alias("v"))
 
 
-def mask_overlap(centers: DataFrame, mask_pixels: DataFrame, key: str, height: int, width: int) -> DataFrame:
-    """Share of true mask pixels in the patch around each center: the patch's pixels meet the mask by an equi-join."""
-    spread = centers.select(key, "y", "x", offsets(-(height // 2), height - height // 2).alias("dy")).select("*", offsets(-(width // 2), width - width // 2).alias("dx"))
-    pixels = spread.select(key, F.col("y").alias("cy"), F.col("x").alias("cx"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-    met = pixels.join(mask_pixels.where("inside").select(key, "y", "x", F.lit(1).alias("hit")), [key, "y", "x"], "left")
-    return met.groupBy(key, "cy", "cx").agg((F.count("hit") / F.lit(float(height * width))).alias("overlap"))
+def mask_overlap(centers: DataFrame, mask_lines: DataFrame, key: str, height: int, width: int) -> DataFrame:
+    """``key, cy, cx, overlap``: share of true mask pixels in the patch around each center; ``mask_lines`` are rows of 0 and 1 (see :func:`crop_lines`)."""
+    flat = centers.select(key, "y", "x", F.col("y").alias("cy"), F.col("x").alias("cx"), F.lit(0).alias("z_center"), F.lit(1).alias("slices"))
+    crops = crop_lines(flat, mask_lines, key, ["cy", "cx"], height, width)
+    return crops.select(key, "cy", "cx", (F.size(F.filter("v", lambda v: v > 0)) / F.lit(float(height * width))).alias("overlap"))
 
 
 def z_centers(centers: DataFrame, sparse: DataFrame, key: str, slices: int) -> DataFrame:
@@ -131,22 +150,6 @@ def z_centers(centers: DataFrame, sparse: DataFrame, key: str, slices: int) -> D
     return centers.join(best, [key, "y", "x"], "left").select(key, "y", "x", F.coalesce(-F.col("top.z"), F.lit(slices // 2)).cast("int").alias("z_center"))
 
 
-def crop(centers: DataFrame, sparse: DataFrame, key: str, height: int, width: int, depth: int, slices: int) -> DataFrame:
-    """``key, cy, cx, channel, dz, dy, dx, v``: the voxels above 0 of the crop around each center, edge slices repeated.
-
-    A band join as an equi-join: each center lists the pixels of its patch, which meet the voxels of that column; clamping the
-    slice is the same as edge padding.
-    """
-    half = depth // 2
-    spread = centers.select(key, F.col("y").alias("cy"), F.col("x").alias("cx"), "z_center", offsets(0, height).alias("dy"))
-    spread = spread.select("*", offsets(0, width).alias("dx")).select("*", offsets(-half, half + 1).alias("dz"))
-    at = spread.select(
-        key, "cy", "cx", "dz", "dy", "dx", (F.col("cy") + F.col("dy") - height // 2).alias("y"), (F.col("cx") + F.col("dx") - width // 2).alias("x"),
-        F.least(F.greatest(F.col("z_center") + F.col("dz"), F.lit(0)), F.lit(slices - 1)).alias("z"),
-    )
-    return at.join(sparse, [key, "z", "y", "x"]).select(key, "cy", "cx", "channel", "dz", "dy", "dx", "v")
-
-
 def channel_summary(voxels: DataFrame, keys: list[str], height: int, width: int, depth: int) -> DataFrame:
     """Mean, maximum, sum, population deviation, brightest slice (the first among equals) and occupied slices of each crop and channel.
 

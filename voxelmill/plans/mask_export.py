@@ -54,6 +54,18 @@ def normalized(stack: np.ndarray) -> np.ndarray:
     return np.where(good, out, 0.0)
 
 
+def otsu_of(plane: np.ndarray, bins: int = 256) -> float:
+    """The center of the histogram bin that parts the finite values best, the first among equals; the value itself for a flat plane."""
+    good = plane[np.isfinite(plane)]
+    if not good.size or good.max() <= good.min():
+        return float(good.max()) if good.size else np.inf
+    count, edges = np.histogram(good, bins)
+    center, w = (edges[1:] + edges[:-1]) / 2, count.cumsum()
+    s, rest = (count * center).cumsum(), w[-1] - w
+    gap = s / np.maximum(w, 1) - (s[-1] - s) / np.maximum(rest, 1)
+    return float(center[(w * rest * gap**2)[:-1].argmax()])
+
+
 def dilated(mask: np.ndarray, steps: int) -> np.ndarray:
     """All pixels within ``steps``, diagonals included."""
     for _ in range(steps):
@@ -91,6 +103,8 @@ def mask_of(stack: np.ndarray, s: MaskSettings) -> np.ndarray:
     plane = normalized(stack.max(0))[None]
     plane = (smooth(plane, s.smoothing) if s.smoothing else plane)[0]
     seeds, support = (plane >= np.percentile(plane, p) for p in (s.seed_percentile, s.grow_percentile))
+    if not seeds.any():
+        seeds = support = plane >= otsu_of(plane)
     found = dilated(seeds if s.method == "threshold" else grow(seeds, support), s.halo)
     if not s.guided:
         return found

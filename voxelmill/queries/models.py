@@ -17,7 +17,7 @@ from ..operators import models as M
 from ..operators import report as R
 from ..session import written
 from ..sources.tables import table
-from .report import _PATH, _SEP, FEATURES, METRICS, _r, cluster_rows, feature_rows, long_rows, separation
+from .report import _FAMILY, _PATH, _SEP, FEATURES, METRICS, _r, feature_rows, full_rows, loadings_on, separation
 
 SEED = 42
 
@@ -75,8 +75,7 @@ def _loadings(spark: SparkSession, d: str) -> DataFrame:
     Spark sums the products of the standardised features, missing values at their mean; a task gets one row for each dataset.
     """
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    z = R.standardize(long_rows(spark, d), ["dataset_name"])
-    wide = z.groupBy("dataset_name", "patch_id").agg(*[F.coalesce(F.max(F.when(F.col("feature") == f, F.col("value"))), F.lit(0.0)).alias(f) for f in FEATURES])
+    wide = R.standardize(full_rows(spark, d), ["dataset_name"], FEATURES).fillna(0.0, FEATURES)
     sums = wide.groupBy("dataset_name").agg(F.array(*[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in pairs]).alias("products"))
     wanted = table(spark, d, "report_config", "dataset_name", "n_pca_components").groupBy("dataset_name").agg(F.max("n_pca_components").alias("n"))
 
@@ -87,22 +86,50 @@ def _loadings(spark: SparkSession, d: str) -> DataFrame:
                 for (i, j), v in zip(pairs, products, strict=True):
                     spread[i, j] = spread[j, i] = v
                 vectors = np.linalg.eigh(spread)[1][:, ::-1]
+                vectors *= np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(FEATURES))])
                 count = len(FEATURES) if pd.isna(n) else max(1, min(int(n), len(FEATURES)))
                 yield pd.DataFrame([(name, f, a + 1, float(vectors[k, a])) for a in range(count) for k, f in enumerate(FEATURES)], columns=["dataset_name", "feature", "axis", "loading"])
 
     return sums.join(wanted, "dataset_name", "left").mapInPandas(axes, "dataset_name string, feature string, axis int, loading double")
 
 
+def _profiles(spark: SparkSession, d: str, loadings: DataFrame) -> DataFrame:
+    return V.profiles(separation(spark, d).withColumn("family", family("feature")), loadings, "dataset_name", "family")
+
+
+PAIR = ["dataset_name", "family", "feature_a", "feature_b", "same_group", "metric_corr", "loading_corr", "distance", "redundant"]
+GROUP = ["dataset_name", "family", "group_id", "group_size", "mean_metric_corr", "mean_loading_corr", "mean_distance", "representative", "redundant_group"]
+
+
 def q_redundancy_rule(spark, d):
-    """Pairs of one family that are redundant by metrics, loadings and distance."""
-    metrics = written(separation(spark, d).withColumn("family", family("feature")), "metrics")
-    return V.redundant_pairs(metrics, _loadings(spark, d), "dataset_name", "family")
+    """Pairs of one family that are redundant by metrics, loadings and distance, over Ward groups and the datasets' own axes."""
+    grouped = written(V.with_groups(_profiles(spark, d, _loadings(spark, d)), "dataset_name", "family"), "profiles")
+    return V.redundant_pairs(grouped, "dataset_name", "family")
 
 
 def q_redundancy_groups(spark, d):
-    metrics = written(separation(spark, d).withColumn("family", family("feature")), "metrics")
-    pairs = written(V.redundant_pairs(metrics, _loadings(spark, d), "dataset_name", "family"), "pairs")
-    return V.redundant_groups(pairs, metrics, "dataset_name", "family")
+    grouped = written(V.with_groups(_profiles(spark, d, _loadings(spark, d)), "dataset_name", "family"), "profiles")
+    return V.redundant_groups(V.redundant_pairs(grouped, "dataset_name", "family"), grouped, "dataset_name", "family")
+
+
+def _given_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles over the report's given axes, in groups that anyone can tell: at or above the family's mean separation, or below."""
+    rows = _profiles(spark, d, loadings_on(spark, d, ["pca_1", "pca_2", "center_score"]))
+    mean = rows.groupBy("dataset_name", "family").agg(F.avg("separation_score").alias("_m"))
+    return written(rows.join(mean, ["dataset_name", "family"]).withColumn("group_id", F.when(F.col("separation_score") >= F.col("_m"), 1).otherwise(2)).drop("_m"), "profiles")
+
+
+def q_redundancy_given(spark, d):
+    """The rule for pairs, over given groups and axes."""
+    pairs = V.redundant_pairs(_given_groups(spark, d), "dataset_name", "family", share=0.5)
+    return pairs.select(*PAIR).withColumns({c: shown(c, 4) for c in ("metric_corr", "loading_corr", "distance")})
+
+
+def q_redundancy_given_groups(spark, d):
+    """The rule for groups, over given groups and axes."""
+    grouped = _given_groups(spark, d)
+    out = V.redundant_groups(V.redundant_pairs(grouped, "dataset_name", "family", share=0.5), grouped, "dataset_name", "family")
+    return out.select(*GROUP).withColumns({c: shown(c, 4) for c in ("mean_metric_corr", "mean_loading_corr", "mean_distance")})
 
 
 def q_shard_lookup(spark, d):
@@ -116,19 +143,21 @@ def q_shard_lookup(spark, d):
 
 
 def q_spatial_context(spark, d):
-    """Mask fraction and, where the center is in the mask, its sign of distance, of each patch; from the stored 8 x 8 masks."""
-    files = table(spark, d, "patch_files").where("size_bytes > 0 AND octet_length(map2_mask) = 64 * size(patch_ids) AND size(patch_ids) = 1")
-    key = F.lower(F.trim(F.element_at("patch_ids", 1)))
-    bits = F.length(F.regexp_replace(F.hex("map2_mask"), "00", ""))
-    one = files.select(key.alias("patch_id"), (bits / 2 / 64).alias("fraction"), (F.substring(F.hex("map2_mask"), 2 * (4 * 8 + 4) + 1, 2) == "01").alias("center_inside"), "written_at")
-    best = one.groupBy("patch_id").agg(F.max(F.struct("written_at", "fraction", "center_inside")).alias("b")).select("patch_id", "b.fraction", "b.center_inside")
+    """Mask fraction and center of every stored patch's 8 x 8 mask, its newest copy, beside the recorded fraction."""
+    files = table(spark, d, "patch_files").where("size_bytes > 0 AND octet_length(map2_mask) = 64 * size(patch_ids)")
+    entry = files.select(F.hex("map2_mask").alias("h"), "written_at", path_key("file_path").alias("location"), F.posexplode(F.transform("patch_ids", lambda i: F.lower(F.trim(i)))).alias("entry", "patch_id")).where("patch_id IS NOT NULL")
+    mine = F.substring(F.col("h"), F.col("entry") * 128 + 1, F.lit(128))
+    ones = F.length(F.regexp_replace(mine, "00", "")) / 2
+    one = entry.select("patch_id", (ones / 64).alias("fraction"), (F.substring(mine, 2 * (4 * 8 + 4) + 1, 2) == "01").alias("center_inside"), "written_at", "location", (-F.col("entry")).alias("place"))
+    best = one.groupBy("patch_id").agg(F.max(F.struct("written_at", "location", "place", "fraction", "center_inside")).alias("b")).select("patch_id", "b.fraction", "b.center_inside")
     given = newest(table(spark, d, "patch_features"), "patch_id", "computed_at", "map2_mask_fraction").where(finite("map2_mask_fraction"))
     return best.join(given, "patch_id").select("patch_id", shown("fraction").alias("fraction"), "center_inside", shown("map2_mask_fraction").alias("recorded"))
 
 
 def q_fingerprint(spark, d):
-    """An order-free fingerprint of each dataset's manifest rows: their number and the sum of a hash of each."""
-    rows = table(spark, d, "manifest").select("sample_id", F.conv(F.substring(F.md5(F.concat_ws("|", "patch_id", "shard_path", F.col("shard_index").cast("string"), "patch_path")), 1, 12), 16, 10).cast("decimal(38,0)").alias("h"))
+    """An order-free fingerprint of each dataset's manifest rows: their number and the sum of a hash of each, missing values filled in."""
+    filled = [F.coalesce("patch_id", F.lit("")), F.coalesce("shard_path", F.lit("")), F.coalesce(F.col("shard_index").cast("string"), F.lit("-1")), F.coalesce("patch_path", F.lit(""))]
+    rows = table(spark, d, "manifest").select("sample_id", F.conv(F.substring(F.md5(F.concat_ws("|", *filled)), 1, 12), 16, 10).cast("decimal(38,0)").alias("h"))
     return rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("h").cast("string").alias("sum"))
 
 
@@ -154,20 +183,38 @@ def q_pixel_size(spark, d):
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 _FAM = "CASE WHEN contains(feature, 'flag_ha_') OR contains(feature, '_mean_ratio') THEN 'Cross' WHEN feature IN ('map2_mask_fraction', 'distance_to_mask_boundary_px', 'center_of_patch_map2_intensity', 'map2_local_thickness_proxy') THEN 'Spatial' ELSE 'Other' END"
+_AXES = ", ".join(f"avg(CASE WHEN isfinite({a}) THEN value * {a} END) AS l{i}" for i, a in enumerate(("pca_1", "pca_2", "center_score")))
+_GIVEN = _SEP + f""", zs AS (SELECT dataset_name, feature, avg(value) m, stddev_pop(value) s FROM l WHERE value IS NOT NULL AND isfinite(value) GROUP BY ALL),
+z AS (SELECT l.dataset_name, l.patch_id, l.feature, (value - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS value FROM l JOIN zs USING (dataset_name, feature) WHERE value IS NOT NULL AND isfinite(value)),
+ld AS (SELECT z.dataset_name, feature, {_AXES} FROM z JOIN c USING (patch_id) GROUP BY ALL),
+pr AS (SELECT sep.*, l0, l1, l2, {_FAMILY.format('feature')} AS family FROM sep JOIN ld USING (dataset_name, feature)), gr AS (SELECT *, CASE WHEN separation_score >= avg(separation_score) OVER (PARTITION BY dataset_name, family) THEN 1 ELSE 2 END AS group_id FROM pr),
+v AS (SELECT dataset_name, family, feature, unnest(range(6)) AS pos, unnest([{', '.join(f'log10({m} + 1e-6)' for m in METRICS)}, abs(l0), abs(l1), abs(l2)]) AS v, unnest([{', '.join(METRICS)}, abs(l0), abs(l1), abs(l2)]) AS r FROM gr),
+vs AS (SELECT *, (v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 1e-12 THEN stddev_pop(v) OVER w ELSE 1 END AS x FROM v WINDOW w AS (PARTITION BY dataset_name, family, pos)),
+pa AS (SELECT a.dataset_name, a.family, a.feature AS fa, b.feature AS fb, sqrt(sum((a.x - b.x) ** 2)) AS distance,
+  CASE WHEN var_pop(a.r) FILTER (WHERE a.pos < 3) > 0 AND var_pop(b.r) FILTER (WHERE a.pos < 3) > 0 THEN corr(a.r, b.r) FILTER (WHERE a.pos < 3) END AS mc, CASE WHEN var_pop(a.r) FILTER (WHERE a.pos > 2) > 0 AND var_pop(b.r) FILTER (WHERE a.pos > 2) > 0 THEN corr(a.r, b.r) FILTER (WHERE a.pos > 2) END AS lc
+  FROM vs a JOIN vs b ON a.dataset_name = b.dataset_name AND a.family = b.family AND a.pos = b.pos AND a.feature < b.feature GROUP BY ALL),
+pq AS (SELECT pa.*, x.group_id, x.group_id = y.group_id AS sg, quantile_cont(distance, 0.5) OVER (PARTITION BY pa.dataset_name, pa.family) AS cut FROM pa JOIN gr x ON x.dataset_name = pa.dataset_name AND x.feature = fa JOIN gr y ON y.dataset_name = pa.dataset_name AND y.feature = fb),
+pf AS (SELECT *, coalesce(sg AND mc >= 0.95 AND lc >= 0.95 AND distance <= cut, false) AS red FROM pq)"""
+
 ORACLES = {
+    "q_redundancy_given": _GIVEN + f" SELECT dataset_name, family, fa AS feature_a, fb AS feature_b, sg AS same_group, {_r('mc', 4)} AS metric_corr, {_r('lc', 4)} AS loading_corr, {_r('distance', 4)} AS distance, red AS redundant FROM pf",
+    "q_redundancy_given_groups": _GIVEN + f""", st AS (SELECT dataset_name, family, group_id, avg(mc) AS m, avg(lc) AS l, avg(distance) AS d, bool_and(red) AS a FROM pf WHERE sg GROUP BY ALL),
+rp AS (SELECT dataset_name, family, group_id, feature, count(*) OVER (PARTITION BY dataset_name, family, group_id) AS n FROM gr QUALIFY row_number() OVER (PARTITION BY dataset_name, family, group_id ORDER BY separation_score DESC, l0 DESC, l1 DESC, l2 DESC, feature) = 1)
+SELECT st.dataset_name, st.family, st.group_id, n AS group_size, {_r('m', 4)} AS mean_metric_corr, {_r('l', 4)} AS mean_loading_corr, {_r('d', 4)} AS mean_distance, feature AS representative, coalesce(a AND m >= 0.95 AND l >= 0.95, false) AS redundant_group FROM st JOIN rp USING (dataset_name, family, group_id)""",
     "q_silhouette": _SEP + f""", lg AS (SELECT dataset_name, feature, {_FAM} AS f, {', '.join(f'log10({m} + 1e-6) AS {m}' for m in METRICS)} FROM sep),
 far AS (SELECT a.dataset_name, a.feature, a.f, b.f AS g, avg(sqrt({' + '.join(f'(a.{m} - b.{m}) ** 2' for m in METRICS)})) AS d FROM lg a JOIN lg b ON a.dataset_name = b.dataset_name AND a.feature != b.feature GROUP BY ALL),
 ab AS (SELECT dataset_name, feature, min(d) FILTER (WHERE f = g) AS a, min(d) FILTER (WHERE f != g) AS b FROM far GROUP BY ALL)
 SELECT dataset_name, feature, {_r('CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END', 4)} AS silhouette FROM ab""",
-    "q_spatial_context": f"""WITH o AS (SELECT lower(trim(patch_ids[1])) AS patch_id, hex(map2_mask) AS h, written_at FROM patch_files WHERE size_bytes > 0 AND octet_length(map2_mask) = 64 AND len(patch_ids) = 1),
-b AS (SELECT patch_id, length(replace(h, '00', '')) / 2 / 64 AS fraction, substring(h, 73, 2) = '01' AS center_inside FROM o QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY written_at DESC NULLS LAST, fraction DESC, center_inside DESC) = 1),
+    "q_spatial_context": f"""WITH e AS (SELECT hex(map2_mask) AS h, written_at, {_PATH.format('file_path')} AS loc, lower(trim(unnest(patch_ids))) AS patch_id, unnest(range(len(patch_ids))) AS i FROM patch_files WHERE size_bytes > 0 AND octet_length(map2_mask) = 64 * len(patch_ids)),
+o AS (SELECT patch_id, written_at, loc, i, len(list_filter(range(64), lambda k: substring(h, i * 128 + k * 2 + 1, 2) != '00')) / 64 AS fraction, substring(h, i * 128 + 73, 2) = '01' AS center_inside FROM e WHERE patch_id IS NOT NULL),
+b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY written_at DESC NULLS LAST, loc DESC NULLS LAST, i, fraction DESC, center_inside DESC) = 1),
 g AS (SELECT patch_id, map2_mask_fraction AS m FROM patch_features QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY computed_at DESC NULLS LAST) = 1) SELECT patch_id, {_r('fraction')} AS fraction, center_inside, {_r('m')} AS recorded FROM b JOIN g USING (patch_id) WHERE m IS NOT NULL AND isfinite(m)""",
     "q_shard_lookup": f"""WITH g AS (SELECT patch_id, {_PATH.format('patch_path')} AS loc FROM manifest WHERE patch_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY loaded_at DESC NULLS LAST, patch_path DESC) = 1),
 e AS (SELECT {_PATH.format('file_path')} AS loc, hex(map2_mask) AS h, written_at, unnest(patch_ids) AS id, unnest(range(len(patch_ids))) AS i FROM patch_files WHERE size_bytes > 0 AND octet_length(map2_mask) = 64 * len(patch_ids)),
 n AS (SELECT loc, lower(trim(id)) AS patch_id, CAST(len(list_filter(range(64), lambda k: substring(h, i * 128 + k * 2 + 1, 2) != '00')) AS INT) AS n, written_at FROM e),
 b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY loc, patch_id ORDER BY written_at DESC NULLS LAST, n DESC) = 1)
 SELECT g.patch_id, b.n AS true_pixels FROM g LEFT JOIN b ON g.loc = b.loc AND g.patch_id = b.patch_id""",
-    "q_fingerprint": "SELECT sample_id, count(*) AS n, CAST(sum(CAST('0x' || substring(md5(concat_ws('|', patch_id, shard_path, CAST(shard_index AS VARCHAR), patch_path)), 1, 12) AS HUGEINT)) AS VARCHAR) AS sum FROM manifest GROUP BY 1",
+    "q_fingerprint": "SELECT sample_id, count(*) AS n, CAST(sum(CAST('0x' || substring(md5(concat_ws('|', coalesce(patch_id, ''), coalesce(shard_path, ''), coalesce(CAST(shard_index AS VARCHAR), '-1'), coalesce(patch_path, ''))), 1, 12) AS HUGEINT)) AS VARCHAR) AS sum FROM manifest GROUP BY 1",
     "q_event_sample": "SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (event_id * 73856093 + 42) % 1000003, event_id) AS rank FROM events QUALIFY rank <= 5",
     "q_event_bins": """WITH e AS (SELECT event_type, value, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS s FROM events WHERE value IS NOT NULL AND isfinite(value)), b AS (SELECT *, min(value) OVER w a, max(value) OVER w b, min(s) OVER w c, max(s) OVER w d FROM e WINDOW w AS (PARTITION BY event_type))
 SELECT event_type, CAST(CASE WHEN b <= a THEN 0 ELSE least(floor((value - a) / (b - a) * 10), 9) END AS INT) AS bx, CAST(CASE WHEN d <= c THEN 0 ELSE least(floor((s - c) / (d - c) * 10), 9) END AS INT) AS by, count(*) AS count FROM b GROUP BY ALL""",

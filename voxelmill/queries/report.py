@@ -61,15 +61,17 @@ def q_manifest_union(spark, d):
 
 
 def q_missing_files(spark, d):
-    """Manifest locations without a stored file, the first hundred by name."""
+    """Manifest locations without a stored file."""
     given = table(spark, d, "manifest").select(path_key("patch_path").alias("location")).where("location IS NOT NULL").distinct()
     stored = table(spark, d, "patch_files").select(path_key("file_path").alias("location"))
-    return given.join(stored, "location", "left_anti").orderBy("location").limit(100)
+    return given.join(stored, "location", "left_anti")
 
 
 def q_resume_skip(spark, d):
-    """Registered samples of which the manifest has nothing yet."""
-    return table(spark, d, "samples", "sample_id").distinct().join(table(spark, d, "manifest", "sample_id"), "sample_id", "left_anti")
+    """What a run that is taken up again has to do: registered samples and groups of which the manifest has no patch yet."""
+    group = label_key("patch_group").alias("patch_group")
+    wanted = table(spark, d, "samples", "sample_id").where("sample_id IS NOT NULL").distinct().select("sample_id", F.explode(F.array(*map(F.lit, GROUPS))).alias("patch_group"))
+    return wanted.join(table(spark, d, "manifest").select("sample_id", group), ["sample_id", "patch_group"], "left_anti")
 
 
 def q_safe_ratio(spark, d):
@@ -124,15 +126,15 @@ def q_composition_pivot(spark, d):
 
 
 def q_variance_audit(spark, d):
-    return rounded(R.variance_audit(long_rows(spark, d), ["dataset_name"]), "mean", "std", "min", "max", "range")
+    return rounded(R.variance_audit(full_rows(spark, d), ["dataset_name"], FEATURES, exact_unique=True), "mean", "std", "min", "max", "range")
 
 
 def q_audit_overview(spark, d):
-    return R.audit_overview(R.variance_audit(long_rows(spark, d), ["dataset_name"]), ["dataset_name"])
+    return R.audit_overview(R.variance_audit(full_rows(spark, d), ["dataset_name"], FEATURES), ["dataset_name"])
 
 
 def separation(spark, d):
-    return R.cluster_separation(long_rows(spark, d), "dataset_name", "cluster_id")
+    return R.cluster_separation(full_rows(spark, d), "dataset_name", "cluster_id", FEATURES)
 
 
 METRICS = ["between_cluster_var", "within_cluster_var", "separation_score"]
@@ -216,8 +218,8 @@ def q_feature_subset(spark, d):
 
 
 def q_standardize(spark, d):
-    z = R.standardize(long_rows(spark, d), ["dataset_name"])
-    return z.select("patch_id", "feature", shown("value", 4).alias("value"))
+    z = R.long_features(R.standardize(full_rows(spark, d), ["dataset_name"], FEATURES), ["patch_id"], FEATURES)
+    return z.where("value IS NOT NULL").select("patch_id", "feature", shown("value", 4).alias("value"))
 
 
 def q_representatives(spark, d):
@@ -233,15 +235,14 @@ def q_extremes(spark, d):
 def q_pca_bins(spark, d):
     """Counts over a 30 x 30 grid, with the share of positive patches and its log2 against the grid's share of negative ones."""
     binned = R.bins_2d(report_rows(spark, d), ["dataset_name"], "pca_1", "pca_2", BINS)
-    out = binned.groupBy("dataset_name", "bx", "by").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("condition") == "positive").alias("p"), F.count_if(F.col("condition") == "negative").alias("q"))
-    return out.select("dataset_name", "bx", "by", "n", "p", "q", shown(F.col("p") / F.col("n")).alias("positive_fraction"), shown(F.log2((F.col("p") + 1e-6) / (F.col("q") + 1e-6))).alias("log2_ratio"))
+    out = R.dense_bins(binned, ["dataset_name"], BINS, n=F.count(F.lit(1)), p=F.count_if(F.col("condition") == "positive"), q=F.count_if(F.col("condition") == "negative"))
+    return out.select("dataset_name", "bx", "by", "n", "p", "q", shown(safe_ratio("p", "n")).alias("positive_fraction"), shown(F.log2((F.col("p") + 1e-6) / (F.col("q") + 1e-6))).alias("log2_ratio"))
 
 
 def q_pca_bins_group(spark, d):
     binned = R.bins_2d(report_rows(spark, d), ["dataset_name"], "pca_1", "pca_2", BINS)
-    n = F.count(F.lit(1))
-    out = binned.groupBy("dataset_name", "bx", "by").agg(n.alias("n"), *[F.count_if(F.col("patch_group") == g).alias(g) for g in GROUPS])
-    return rounded(out.select("dataset_name", "bx", "by", *[(F.col(g) / F.col("n")).alias(g) for g in GROUPS]), *GROUPS)
+    out = R.dense_bins(binned, ["dataset_name"], BINS, n=F.count(F.lit(1)), **{g: F.count_if(F.col("patch_group") == g) for g in GROUPS})
+    return rounded(out.select("dataset_name", "bx", "by", *[safe_ratio(g, "n").alias(g) for g in GROUPS]), *GROUPS)
 
 
 def q_channel_ranges(spark, d):
@@ -253,10 +254,29 @@ def q_channel_ranges(spark, d):
     return out.select("sample_id", "feature", F.when(flat, 0.0).otherwise(F.col("low")).alias("low"), F.when(flat, 1.0).otherwise(F.col("high")).alias("high"))
 
 
+def loadings_on(spark: SparkSession, d: str, axes: list[str]) -> DataFrame:
+    """``dataset_name, feature, axis, loading``: how each standardised feature goes with each given axis."""
+    z = R.standardize(full_rows(spark, d), ["dataset_name"], FEATURES)
+    on = [F.when(finite(a), F.col(a)) for a in axes]
+    sums = z.groupBy("dataset_name").agg(*[F.array(*[F.avg(F.col(f) * v) for v in on]).alias(f) for f in FEATURES])
+    long = sums.select("dataset_name", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("_l")) for f in FEATURES])))
+    return long.select("dataset_name", "feature", F.posexplode("_l").alias("axis", "loading")).withColumn("axis", F.col("axis") + 1)
+
+
+def q_max_loadings(spark, d):
+    """Every feature's loading of the greatest absolute value over the given axes, the five greatest of each dataset first."""
+    best = loadings_on(spark, d, ["pca_1", "pca_2"]).groupBy("dataset_name", "feature").agg(shown(F.max(F.abs("loading")), 5).alias("max_abs_loading"))
+    return R.ranked(best, ["dataset_name"], [F.col("max_abs_loading").desc(), F.col("feature")], 5)
+
+
+def q_family_counts(spark, d):
+    """Number of features and of distinct families of each dataset's features with a separation above 0."""
+    return separation(spark, d).where("separation_score > 1e-9").groupBy("dataset_name").agg(F.count(F.lit(1)).alias("n_features"), F.countDistinct(family("feature")).alias("n_families"))
+
+
 def q_top_loadings(spark, d):
     """Per dataset the three features whose standardised values go most with the first axis."""
-    z = R.standardize(long_rows(spark, d), ["dataset_name"]).join(cluster_rows(spark, d).select("patch_id", "pca_1").where(finite("pca_1")), "patch_id")
-    load = z.groupBy("dataset_name", "feature").agg(shown(F.avg(F.col("value") * F.col("pca_1")), 5).alias("loading"))
+    load = loadings_on(spark, d, ["pca_1"]).select("dataset_name", "feature", shown("loading", 5).alias("loading"))
     return R.ranked(load, ["dataset_name"], [F.abs("loading").desc(), F.col("feature")], 3).select("dataset_name", "feature", "loading", "rank")
 
 
@@ -296,6 +316,8 @@ b AS (SELECT *, min(pca_1) OVER w x0, max(pca_1) OVER w x1, min(pca_2) OVER w y0
 p AS (SELECT *, CAST(CASE WHEN x1 <= x0 THEN 0 ELSE least(floor((pca_1-x0)/(x1-x0)*30), 29) END AS INT) AS bx, CAST(CASE WHEN y1 <= y0 THEN 0 ELSE least(floor((pca_2-y0)/(y1-y0)*30), 29) END AS INT) AS by_ FROM b)"""
 _NEAR = f"WITH {_C}, ok AS (SELECT * FROM c WHERE cluster_id IS NOT NULL AND {_fin('pca_1')} AND {_fin('pca_2')}), x AS (SELECT *, avg(pca_1) OVER w a, avg(pca_2) OVER w b FROM ok WINDOW w AS (PARTITION BY dataset_name, cluster_id)), y AS (SELECT *, {_r('sqrt((pca_1-a)*(pca_1-a)+(pca_2-b)*(pca_2-b))')} AS distance FROM x) SELECT dataset_name, cluster_id, patch_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset_name, cluster_id ORDER BY distance {{0}}, patch_id) AS rank FROM y) WHERE rank <= 5"
 
+_GRID = "g AS (SELECT s.dataset_name, CAST(a.r AS INT) AS bx, CAST(b.r AS INT) AS by_ FROM (SELECT DISTINCT dataset_name FROM p) s, range(30) a(r), range(30) b(r))"
+
 
 def _enrich(level: str) -> str:
     return _REP + f""", n AS (SELECT dataset_name, cluster_id, {level}, count(*) n FROM r GROUP BY ALL), s AS (SELECT dataset_name, cluster_id, sum(n) cs FROM n GROUP BY ALL),
@@ -315,8 +337,8 @@ _Z = _LONG + f", zs AS (SELECT dataset_name, feature, avg(value) m, stddev_pop(v
 ORACLES = {
     "q_manifest_join": f"WITH {_M}, {_F} SELECT patch_id, sample_id, patch_group, {_r('map2_proj_mean')} AS map2_proj_mean FROM m JOIN f USING (patch_id)",
     "q_manifest_union": f"SELECT sample_id, {_KEY.format('condition')} AS condition, count(*) AS n, max(shard_index) AS last_index FROM manifest WHERE {_KEY.format('condition')} IN ('positive', 'negative') GROUP BY ALL",
-    "q_missing_files": f"SELECT DISTINCT {_PATH.format('patch_path')} AS location FROM manifest WHERE patch_path IS NOT NULL AND {_PATH.format('patch_path')} NOT IN (SELECT {_PATH.format('file_path')} FROM patch_files WHERE file_path IS NOT NULL) ORDER BY 1 LIMIT 100",
-    "q_resume_skip": "SELECT DISTINCT sample_id FROM samples WHERE sample_id NOT IN (SELECT sample_id FROM manifest WHERE sample_id IS NOT NULL)",
+    "q_missing_files": f"SELECT DISTINCT {_PATH.format('patch_path')} AS location FROM manifest WHERE patch_path IS NOT NULL AND {_PATH.format('patch_path')} NOT IN (SELECT {_PATH.format('file_path')} FROM patch_files WHERE file_path IS NOT NULL)",
+    "q_resume_skip": f"SELECT DISTINCT sample_id, g.g AS patch_group FROM samples, (VALUES ('in_mask'), ('boundary'), ('near_mask_outside'), ('far_background')) g(g) WHERE sample_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM manifest m WHERE m.sample_id = samples.sample_id AND {_KEY.format('m.patch_group')} = g.g)",
     "q_safe_ratio": f"WITH {_F}, x AS (SELECT patch_id, {_r(_ratio('flag_proj_mean', 'ha_proj_mean'))} AS flag_to_ha, {_r(_ratio('ha_proj_mean', 'map2_local_thickness_proxy'))} AS ha_to_thickness FROM f) SELECT * FROM x WHERE {_fin('flag_to_ha')} AND {_fin('ha_to_thickness')}",
     "q_channel_ratios": f"""WITH a AS ({_NEW.format(t='manifest', by='loaded_at')}), b AS (SELECT patch_id, {', '.join(f'CASE WHEN isnan({c}_{s}) THEN 0 ELSE coalesce({c}_{s}, 0) END AS {c}_{s}' for c in CHANNELS for s in ('mean', 'sum'))} FROM a)
 SELECT patch_id, {_r(_ratio('flag_mean', 'ha_mean'))} AS flag_to_ha, {_r(_ratio('ha_mean', 'flag_mean'))} AS ha_to_flag, {_r('flag_mean + ha_mean')} AS flag_ha_sum, {_r('flag_mean * ha_mean')} AS flag_ha_product, {_r('abs(flag_mean - ha_mean)')} AS flag_ha_absdiff, {_r(_ratio('shank2_mean', 'map2_mean'))} AS shank2_to_map2, {_r(_ratio('flag_sum + ha_sum', 'shank2_sum'))} AS flag_plus_ha_to_shank2 FROM b""",
@@ -349,9 +371,11 @@ SELECT feature, {_FAMILY.format('feature')} AS family, count(*) AS n_finite FROM
     "q_standardize": _Z + f" SELECT patch_id, feature, {_r('value', 4)} AS value FROM z",
     "q_representatives": _NEAR.format("ASC"),
     "q_extremes": _NEAR.format("DESC"),
-    "q_pca_bins": _BINS + f" , o AS (SELECT dataset_name, bx, by_ AS by, count(*) AS n, count(*) FILTER (WHERE condition = 'positive') AS p, count(*) FILTER (WHERE condition = 'negative') AS q FROM p GROUP BY ALL) SELECT *, {_r('p / n')} AS positive_fraction, {_r('log2((p + 1e-6) / (q + 1e-6))')} AS log2_ratio FROM o",
-    "q_pca_bins_group": _BINS + " SELECT dataset_name, bx, by_ AS by, " + ", ".join(_r(f"count(*) FILTER (WHERE patch_group = '{g}') / count(*)") + f" AS {g}" for g in GROUPS) + " FROM p GROUP BY dataset_name, bx, by_",
+    "q_pca_bins": _BINS + f" , h AS (SELECT dataset_name, bx, by_, count(*) AS n, count(*) FILTER (WHERE condition = 'positive') AS p, count(*) FILTER (WHERE condition = 'negative') AS q FROM p GROUP BY ALL), {_GRID}, o AS (SELECT g.dataset_name, g.bx, g.by_ AS by, coalesce(n, 0) AS n, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM g LEFT JOIN h USING (dataset_name, bx, by_)) SELECT *, {_r('CASE WHEN n = 0 THEN 0 ELSE p / n END')} AS positive_fraction, {_r('log2((p + 1e-6) / (q + 1e-6))')} AS log2_ratio FROM o",
+    "q_pca_bins_group": _BINS + f", h AS (SELECT dataset_name, bx, by_, " + ", ".join(f"count(*) FILTER (WHERE patch_group = '{g}') / count(*) AS {g}" for g in GROUPS) + f" FROM p GROUP BY ALL), {_GRID} SELECT g.dataset_name, g.bx, g.by_ AS by, " + ", ".join(_r(f"coalesce({g}, 0)") + f" AS {g}" for g in GROUPS) + " FROM g LEFT JOIN h USING (dataset_name, bx, by_)",
     "q_channel_ranges": f"""WITH a AS ({_NEW.format(t='manifest', by='loaded_at')}), l AS (UNPIVOT (SELECT sample_id, {', '.join(f'{c}_max' for c in CHANNELS)} FROM a) ON {', '.join(f'{c}_max' for c in CHANNELS)} INTO NAME feature VALUE value),
 o AS (SELECT sample_id, feature, min(value) lo, max(value) hi FROM l WHERE {_fin('value')} GROUP BY ALL) SELECT sample_id, feature, CASE WHEN lo >= hi THEN 0.0 ELSE lo END AS low, CASE WHEN lo >= hi THEN 1.0 ELSE hi END AS high FROM o""",
+    "q_max_loadings": _Z + f", lo AS (SELECT z.dataset_name, feature, {_r('greatest(abs(avg(CASE WHEN ' + _fin('pca_1') + ' THEN value * pca_1 END)), abs(avg(CASE WHEN ' + _fin('pca_2') + ' THEN value * pca_2 END)))', 5)} AS max_abs_loading FROM z JOIN c USING (patch_id) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY max_abs_loading DESC, feature) AS rank FROM lo QUALIFY rank <= 5",
+    "q_family_counts": _SEP + f" SELECT dataset_name, count(*) AS n_features, count(DISTINCT {_FAMILY.format('feature')}) AS n_families FROM sep WHERE separation_score > 1e-9 GROUP BY 1",
     "q_top_loadings": _Z + f", lo AS (SELECT z.dataset_name, feature, {_r('avg(value * pca_1)', 5)} AS loading FROM z JOIN c USING (patch_id) WHERE {_fin('pca_1')} GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY abs(loading) DESC, feature) AS rank FROM lo QUALIFY rank <= 3",
 }

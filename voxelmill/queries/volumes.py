@@ -9,7 +9,7 @@ from ..functions.keys import label_key
 from ..functions.numeric import shown
 from ..operators import masks, sampling
 from ..sources.tables import table
-from ..sources.volumes import PLANE, SLICES, projections, voxels
+from ..sources.volumes import PLANE, SLICES, dense_lines, projections, voxels
 
 PATCH, DEPTH, STRIDE, SEED = 8, 3, 4, 42
 
@@ -132,7 +132,8 @@ def q_group_counts(spark, d):
 
 
 def q_mask_overlap(spark, d):
-    return sampling.mask_overlap(_centers(spark, d), _mask(spark, d), "sample_id", PATCH, PATCH).select("sample_id", "cy", "cx", shown("overlap").alias("overlap"))
+    lines = sampling.lines_of(_mask(spark, d), ["sample_id", "y"], F.col("inside").cast("int")).select("sample_id", F.lit("mask").alias("channel"), F.lit(0).alias("z"), "y", "v")
+    return sampling.mask_overlap(_centers(spark, d), lines, "sample_id", PATCH, PATCH).select("sample_id", "cy", "cx", shown("overlap").alias("overlap"))
 
 
 def _z(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +145,12 @@ def q_z_center(spark, d):
 
 
 def q_crop_patches(spark, d):
-    return sampling.crop(_z(spark, d), voxels(spark, d), "sample_id", PATCH, PATCH, DEPTH, SLICES)
+    """The voxels above 0 of the crop around each center."""
+    centers = _z(spark, d).select("*", F.col("y").alias("cy"), F.col("x").alias("cx"), F.lit(SLICES).alias("slices"))
+    crops = sampling.crop_lines(centers, dense_lines(voxels(spark, d)), "sample_id", ["cy", "cx"], PATCH, PATCH, DEPTH)
+    at = crops.select("sample_id", "cy", "cx", "channel", F.posexplode("v").alias("at", "v")).where("v > 0")
+    place = [F.expr(f"CAST(at div {PATCH * PATCH} - {DEPTH // 2} AS INT)").alias("dz"), F.expr(f"CAST(at div {PATCH} % {PATCH} AS INT)").alias("dy"), F.expr(f"CAST(at % {PATCH} AS INT)").alias("dx")]
+    return at.select("sample_id", "cy", "cx", "channel", *place, "v")
 
 
 def q_channel_summary(spark, d):
@@ -166,7 +172,7 @@ _N = ", lim AS (SELECT sample_id, channel, quantile_cont(v, 0.01) lo, quantile_c
 _EDT = _T.format(q=0.99) + ", d2 AS (SELECT a.sample_id, a.y, a.x, a.inside, min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS q FROM msk a JOIN msk b ON a.sample_id = b.sample_id AND a.inside != b.inside GROUP BY ALL), dst AS (SELECT *, sqrt(q) * CASE WHEN inside THEN 1 ELSE -1 END AS distance FROM d2)"
 _CAND = f"""WITH c AS (SELECT sample_id, y, x, {_KEY.format('patch_group')} AS patch_group, min(distance_to_mask_px) AS distance FROM patch_centers WHERE patch_group IS NOT NULL GROUP BY ALL),
 s AS (SELECT sample_id, min(dataset_name) AS dataset_name FROM samples GROUP BY 1), cand AS (SELECT c.*, k.* EXCLUDE (dataset_name), s.dataset_name FROM c JOIN s USING (sample_id) JOIN dataset_config k USING (dataset_name)),
-cho AS (SELECT sample_id, patch_group, y, x, max_patches_per_group AS cap, row_number() OVER (PARTITION BY sample_id, patch_group ORDER BY (CAST(y AS BIGINT) * 73856093 + CAST(x AS BIGINT) * 19349663 + 42) % 1000003, y, x) AS rank FROM cand QUALIFY rank <= cap),
+cho AS (SELECT sample_id, patch_group, y, x, max_patches_per_group AS cap, row_number() OVER (PARTITION BY sample_id, patch_group ORDER BY ((CAST(y AS BIGINT) * 73856093 + CAST(x AS BIGINT) * 19349663) % 1000003 * 85 + 42) % 1000003, y, x) AS rank FROM cand QUALIFY rank <= cap),
 ids AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY patch_group, rank) - 1 AS i FROM cho)"""
 _ZC = ", zc AS (SELECT c.sample_id, c.y, c.x, coalesce(b.z, 3) AS z_center FROM cen c LEFT JOIN (SELECT sample_id, y, x, arg_min(z, (-v, z)) AS z FROM vox WHERE channel = 'A' GROUP BY ALL) b USING (sample_id, y, x))"
 _CROP = _ZC + ", off AS (SELECT CAST(a.r - 1 AS INT) dz, CAST(b.r AS INT) dy, CAST(c.r AS INT) dx FROM range(3) a(r), range(8) b(r), range(8) c(r)), crp AS (SELECT q.sample_id, q.y AS cy, q.x AS cx, v.channel, dz, dy, dx, v.v FROM zc q CROSS JOIN off JOIN vox v ON v.sample_id = q.sample_id AND v.y = q.y + dy - 4 AND v.x = q.x + dx - 4 AND v.z = least(greatest(q.z_center + dz, 0), 6))"

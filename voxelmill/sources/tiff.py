@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,12 @@ _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _DESCRIPTION, _STRIPS, _ROWS, _COUNTS, _FO
 
 def planes(data: bytes) -> tuple[list[np.ndarray], str]:
     """All planes of a file in their order, and the first one's description."""
+    made, text = directory(data)
+    return [one() for one in made], text
+
+
+def directory(data: bytes) -> tuple[list[Callable[[], np.ndarray]], str]:
+    """What decodes each plane of a file when it is called, and the first one's description."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("no classic TIFF file")
@@ -41,9 +47,13 @@ def planes(data: bytes) -> tuple[list[np.ndarray], str]:
         packed, bits, form = tags.get(_COMPRESSION, (1,))[0], tags.get(_BITS, (1,))[0], tags.get(_FORMAT, (1,))[0]
         if packed not in (1, 8, 32946) or bits % 8:
             raise ValueError(f"TIFF compression {packed} with {bits} bits isn't supported")
-        raw = b"".join(data[o : o + c] if packed == 1 else zlib.decompress(data[o : o + c]) for o, c in zip(tags[_STRIPS], tags[_COUNTS], strict=True))
         kind = np.dtype(order + {1: "u", 2: "i", 3: "f"}[form] + str(bits // 8))
-        out.append(np.frombuffer(raw, kind).reshape(tags[_HEIGHT][0], tags[_WIDTH][0]))
+
+        def decoded(tags=tags, packed=packed, kind=kind) -> np.ndarray:
+            raw = b"".join(data[o : o + c] if packed == 1 else zlib.decompress(data[o : o + c]) for o, c in zip(tags[_STRIPS], tags[_COUNTS], strict=True))
+            return np.frombuffer(raw, kind).reshape(tags[_HEIGHT][0], tags[_WIDTH][0])
+
+        out.append(decoded)
     return out, text
 
 
@@ -69,19 +79,20 @@ def pixel_sizes(text: str) -> tuple[float | None, float | None]:
 
 
 def read_lines(spark: SparkSession, paths: list[str] | str, channels: list[int] | None = None) -> DataFrame:
-    """``path, channel, z, y, v``: every pixel row of the files' first time point; with ``channels`` only those."""
+    """``path, channel, z, y, v``: every pixel row of the files' first time point; with ``channels`` only those are decoded."""
     wanted = None if channels is None else set(channels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                stack, text = planes(bytes(data))
+                stack, text = directory(bytes(data))
                 order, size = layout(text, len(stack))
-                for k, plane in enumerate(stack):
+                for k, decoded in enumerate(stack):
                     at, rest = {}, k
                     for axis in order:
                         at[axis], rest = rest % size[axis], rest // size[axis]
                     if at["T"] == 0 and (wanted is None or at["C"] in wanted):
+                        plane = decoded()
                         h = len(plane)
                         yield pd.DataFrame({"path": path, "channel": np.int32(at["C"]), "z": np.int32(at["Z"]), "y": np.arange(h, dtype="int32"), "v": list(plane.astype("float32"))})
 

@@ -32,6 +32,16 @@ def projections(sparse: DataFrame, channels: list[str] = CHANNELS, plane: int =
     return grid.join(top, ["sample_id", "channel", "y", "x"], "left").fillna(0.0, ["v"])
 
 
+def dense_lines(sparse: DataFrame, channels: list[str] = CHANNELS, slices: int = SLICES, plane: int = PLANE) -> DataFrame:
+    """``sample_id, channel, z, y, v``: every pixel row of the volumes as an array, 0 where no voxel is stored."""
+    grid = sparse.select("sample_id").distinct().select("sample_id", F.explode(F.array(*map(F.lit, channels))).alias("channel"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("z")).select("*", F.explode(F.sequence(F.lit(0), F.lit(plane - 1))).alias("y"))
+    held = sparse.groupBy("sample_id", "channel", "z", "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "v"))).alias("_at"))
+    at = F.coalesce("_at", F.create_map().cast("map<int,double>"))
+    row = F.transform(F.sequence(F.lit(0), F.lit(plane - 1)), lambda x: F.coalesce(F.try_element_at(at, x), F.lit(0.0)))
+    return grid.join(held, ["sample_id", "channel", "z", "y"], "left").select("sample_id", "channel", "z", "y", row.alias("v"))
+
+
 def image_patches(spark: SparkSession, d: str) -> DataFrame:
     """``vec_id, label, a``: each embedding as the 64 values of an 8 x 8 patch or a 4 x 4 x 4 crop, all plus 1."""
     return table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double") + F.lit(1.0)).alias("a"))
