@@ -60,6 +60,41 @@ def test_draw_keeps_floors_first(spark):
     assert {r.cat: r["count"] for r in sample.groupBy("cat").count().collect()} == {"a": 6, "b": 4}
 
 
+def test_buckets_rank_as_one_sort_does(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2500, "hot").otherwise("cold").alias("s"), F.col("id").alias("i"), F.when(F.col("id") < 2500, 700).otherwise(10_000).alias("n"))
+    want = {}
+    for r in rows.withColumn("h", F.xxhash64(F.lit("draw"), F.lit(5), "i")).collect():
+        want.setdefault(r.s, []).append((r.h >> 61 & 7, r.h, r.i))
+    want = {(s, i): k + 1 for s, all_ in want.items() for k, (_, _, i) in enumerate(sorted(all_)) if k < 700}
+    got = {(r.s, r.i): r["_r"] for r in sampling.hash_ranked(rows, ["s"], ["i"], "n", "_r", 5, bits=3).collect()}
+    assert got == want and len(got) == 1200
+
+
+def test_cut_off_equals_sorting(spark):
+    rng = random.Random(9)
+    rows = [(d, rng.choice([None, -1.0, 0.25, round(rng.random() * 40, 2)]), k) for d in "aab" for k in range(400)]
+    rows = [(d, v, k * 3 + j) for j, (d, v, k) in enumerate(rows)]
+    sizes = {"a": 333, "b": 0}
+    df = spark.createDataFrame([(d, v, k, sizes[d]) for d, v, k in rows], "d string, v double, k int, n bigint")
+    want = {k for d in "ab" for v, k in sorted((v, k) for e, v, k in rows if e == d and v is not None)[: sizes[d]]}
+    for bins, rounds in ((4, 2), (4096, 1), (7, 3)):
+        got = sampling.seated(df, ["d"], "n", "v", ["k"], "_in", bins, rounds).collect()
+        assert len(got) == len(rows) and {r.k for r in got if r["_in"]} == want
+
+
+def test_draw_equals_the_divisor_method(spark):
+    held = {"a": 900, "b": 7, "c": 60, "e": 300}
+    rows = spark.createDataFrame([("d", c, i) for c, n in held.items() for i in range(n)], "dom string, cat string, i int")
+    share, floor, size = {"a": 0.2, "b": 0.3, "c": 0.45, "e": 0.05}, {"a": 0, "b": 3, "c": 0, "e": 40}, 200
+    targets = spark.createDataFrame([("d", c, share[c], size, floor[c]) for c in held], "dom string, cat string, target_share double, sample_size int, min_rows int")
+    seats = sorted((-1 / r if r <= floor[c] else (r - 0.5) / (share[c] * size), r, c) for c, n in held.items() for r in range(1, min(n, size) + 1))[:size]
+    want = {c: sum(s[2] == c for s in seats) for c in held}
+    sample, report = sampling.draw(rows, targets, "dom", ["cat"], ["i"])
+    got = report.collect()
+    assert {r.cat: r.drawn for r in got} == want == {r.cat: r["count"] for r in sample.groupBy("cat").count().collect()}
+    assert {r.cat for r in got if r.short} == {"b", "c"}
+
+
 def test_capped_hot_sample_gets_its_share(spark):
     rows = spark.range(6000).select(F.when(F.col("id") < 5000, 0).otherwise(1 + F.col("id") % 20).alias("s"), F.col("id").alias("y"), F.lit("a").alias("g"), F.lit("d").alias("dom"), F.lit(50).alias("cap"))
     kept = sampling.capped(rows, ["s", "g"], ["s", "y"], "cap", 50)
@@ -100,6 +135,21 @@ def test_subset_size_ties_and_empty(spark):
     assert diversity.core_set(df.limit(0), ["g"], "k", "v", "id", 0.05, size="n").count() == 0
 
 
+def test_small_parts_keep_what_is_isolated_and_the_size(spark):
+    rng = random.Random(12)
+    rows = [("g", rng.choice("kl"), f"i{j:03d}", rng.choice([round(rng.random() / 3, 3), 0.2]), 24) for j in range(300)] + [("g", "k", "x", 0.7, 24), ("g", "l", "y", 0.9, 24), ("g", "l", "z", 0.8, 24)]
+    df = spark.createDataFrame(rows, "g string, k string, id string, v double, n int")
+    whole = diversity.core_set(df, ["g"], "k", "v", "id", 0.05, size="n").collect()
+    kinds = np.array([r[1] for r in rows])
+    order, gains = diversity.greedy(np.array([r[3] for r in sorted(rows, key=lambda r: r[2])]), np.unique(np.array([r[1] for r in sorted(rows, key=lambda r: r[2])]), return_inverse=True)[1], 0.05, 24, 0.0)
+    names = [r[2] for r in sorted(rows, key=lambda r: r[2])]
+    assert len(kinds) == 303 and np.allclose(sorted(gains, reverse=True), [r.gain for r in sorted(whole, key=lambda r: r.place)]) and {r.id for r in whole} == {names[k] for k in order}
+    for part_rows in (5, 20, 64):
+        parts = diversity.core_set(df, ["g"], "k", "v", "id", 0.05, size="n", part_rows=part_rows).collect()
+        assert len(parts) == 24 and {"x", "y", "z"} <= {r.id for r in parts} and sorted(r.place for r in parts) == list(range(24))
+        assert np.prod([r.gain for r in parts]) > 0.5 * np.prod([r.gain for r in whole])
+
+
 # Problems 4 and 6: components
 
 
@@ -120,6 +170,8 @@ def test_components_against_search(spark):
     got = {r.node: r.root for r in G.components(df).collect()}
     assert got == {v: find(v) for v in {x for e in edges if e[0] != e[1] for x in e}}
     assert G.components(df.limit(0)).count() == 0
+    local = G.combined(spark.createDataFrame([e for e in edges if e[0] != e[1]], "u string, v string").repartition(3), most=7)
+    assert {r.node: r.root for r in G.components(local, "u", "v").collect()} == got
 
 
 def test_differencing_balances():
@@ -157,8 +209,17 @@ def test_codes_and_days(spark):
 
 def test_many_buckets_pack_evenly(spark):
     groups = spark.createDataFrame([(f"g{i}", i % 17 + 1) for i in range(500)], "g string, w int")
-    loads = [r.w for r in splits.pack(groups, "g", "w", 10, task_groups=60).groupBy("bin").agg(F.sum("w").alias("w")).collect()]
-    assert len(loads) == 10 and max(loads) - min(loads) < 0.1 * sum(loads) / 10
+    for task_groups, fan in ((1000, 64), (60, 64), (20, 3), (7, 2)):
+        packed = splits.pack(groups, "g", "w", 10, task_groups, fan).collect()
+        loads = np.bincount([r.bin for r in packed], [r.w for r in packed])
+        assert len({r.g for r in packed}) == 500 == len(packed) and len(loads) == 10 and max(loads) - min(loads) <= 17
+
+
+def test_pairs_of_large_groups_are_whole(spark):
+    placed = spark.createDataFrame([(f"s{i:02d}", "g" if i < 30 else f"h{i % 3}", "train" if i < 30 else "test") for i in range(45)], "id string, group_id string, split string")
+    got = {(r.id_a, r.id_b) for r in splits.together(placed, "id", salt_rows=4).collect()}
+    names = [(r.id, r.group_id) for r in placed.collect()]
+    assert got == {(a, b) for (a, g), (b, h) in itertools.combinations(sorted(names), 2) if g == h}
 
 
 # Problem 6

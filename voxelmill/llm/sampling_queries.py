@@ -50,5 +50,19 @@ a AS (SELECT s.dataset_name, s.c, n.g, sum(least(n.n, k.max_patches_per_group))
 SELECT t.dataset_name, t.condition, t.patch_group FROM sampling_targets t
 LEFT JOIN a ON a.dataset_name = t.dataset_name AND a.c = {_KEY.format('t.condition')} AND a.g = {_KEY.format('t.patch_group')}
 WHERE coalesce(a.available, 0) < greatest(round(t.target_share * t.sample_size, 6), t.min_rows)
+""",
+    "p1_report": f"""
+WITH s AS (SELECT DISTINCT sample_id, dataset_name, {_KEY.format('condition')} AS c FROM samples WHERE condition IS NOT NULL),
+n AS (SELECT sample_id, g, count(*) AS n FROM (SELECT DISTINCT sample_id, y, x, {_KEY.format('patch_group')} AS g FROM patch_centers WHERE patch_group IS NOT NULL) GROUP BY ALL),
+a AS (SELECT s.dataset_name, s.c, n.g, sum(least(n.n, k.max_patches_per_group)) AS held
+      FROM s JOIN n USING (sample_id) JOIN dataset_config k USING (dataset_name) GROUP BY ALL),
+t AS (SELECT t.dataset_name, {_KEY.format('t.condition')} AS condition, {_KEY.format('t.patch_group')} AS patch_group, round(target_share * sample_size, 6) AS target, min_rows, sample_size, coalesce(a.held, 0) AS held
+      FROM sampling_targets t LEFT JOIN a ON a.dataset_name = t.dataset_name AND a.c = {_KEY.format('t.condition')} AND a.g = {_KEY.format('t.patch_group')}),
+r AS (SELECT *, unnest(range(1, CAST(least(held, greatest(sample_size, min_rows, ceil(target))) AS BIGINT) + 1)) AS rank FROM t),
+p AS (SELECT *, CASE WHEN rank <= min_rows THEN -1.0 / rank WHEN target > 0 THEN (rank - 0.5) / target END AS priority FROM r),
+q AS (SELECT *, CASE WHEN priority IS NOT NULL THEN row_number() OVER (PARTITION BY dataset_name ORDER BY priority NULLS LAST, rank, condition, patch_group) END AS seat FROM p),
+o AS (SELECT dataset_name, condition, patch_group, count(*) AS available, count(*) FILTER (WHERE rank <= min_rows OR rank - 1 < target) AS claims, count(*) FILTER (WHERE seat <= sample_size) AS drawn FROM q GROUP BY ALL)
+SELECT t.dataset_name, t.condition, t.patch_group, greatest(target, min_rows) AS wanted, coalesce(available, 0) AS available, coalesce(claims, 0) AS claims, coalesce(drawn, 0) AS drawn, coalesce(claims, 0) < greatest(target, min_rows) AS short
+FROM t LEFT JOIN o USING (dataset_name, condition, patch_group)
 """,
 }

@@ -40,17 +40,25 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return together(written(_split(spark, d), "splits"), "sample_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": _split}
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each sample with the smallest of its group, and whether its group is in one split."""
+    placed = written(_split(spark, d), "splits")
+    whole = placed.groupBy("group_id").agg((F.min("split") == F.max("split")).alias("whole"))
+    return placed.join(whole, "group_id").select("sample_id", "group_id", "whole")
+
+
+QUERIES = {"p4_found": p4_found, "p4_splits": _split, "p4_groups": p4_groups}
 
 _CODE = r"CASE WHEN regexp_matches({0}, '[0-9]') THEN regexp_replace(regexp_replace(lower({0}), '(^|[^0-9])0+([0-9])', '\1\2', 'g'), '[^\p{{L}}\p{{N}}]+', '', 'g') END"
 _BARE = r"regexp_replace(trim(experiment_date), '[T ][0-9]{1,2}:.*$', '')"
 _DAY = f"coalesce(try_strptime({_BARE}, '%Y-%m-%d'), try_strptime({_BARE}, '%Y/%m/%d'), try_strptime({_BARE}, '%d.%m.%Y'), try_strptime({_BARE}, '%Y%m%d'), try_strptime({_BARE}, '%b %d, %Y'))"
-ORACLES = {
-    "p4_found": f"""
+_REACH = f"""
 WITH RECURSIVE r AS (SELECT sample_id AS s, {_CODE.format('culture_batch')} AS b, {_CODE.format('coverslip')} AS c, CAST({_DAY} AS DATE) AS t FROM samples),
 k AS (SELECT DISTINCT s, 'b' || b AS k FROM r WHERE b IS NOT NULL UNION SELECT DISTINCT s, 'c' || c || '|' || t FROM r WHERE c IS NOT NULL AND t IS NOT NULL),
 e AS (SELECT DISTINCT x.s AS u, y.s AS v FROM k x JOIN k y ON x.k = y.k WHERE x.s != y.s),
 reach AS (SELECT u, v FROM e UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u)
-SELECT u AS sample_id_a, v AS sample_id_b FROM reach WHERE u < v
-""",
+"""
+ORACLES = {
+    "p4_found": _REACH + "SELECT u AS sample_id_a, v AS sample_id_b FROM reach WHERE u < v",
+    "p4_groups": _REACH + "SELECT DISTINCT s AS sample_id, least(s, coalesce(m, s)) AS group_id, true AS whole FROM r LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) ON u = s WHERE s IS NOT NULL",
 }
