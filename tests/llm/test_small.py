@@ -422,3 +422,14 @@ def test_a_third_of_all_documents_may_be_garbled(spark):
     found, garbled = encodings.learn(df, "doc_id", "text")
     assert {r.doc_id for r in found.join(garbled, "run", "left_semi").select("doc_id").distinct().collect()} == set(bad)
     assert {r.doc_id: r.restored for r in encodings.restore(df, "doc_id", "text").collect()} == bad
+
+
+def test_mappings_of_no_known_decoding_are_applied(spark):
+    words = ["größe", "schöner", "höhle", "königin", "möbel", "fröhlich", "mädchen", "käfer", "später", "hände"]
+    swap = str.maketrans({"ö": "ĦŒ", "ä": "Ħ¤"})  # no decoding of the list does this
+    docs = [(i, " ".join(w for k, w in enumerate(words) if (i + k) % 3)) for i in range(60)]
+    bad = {100 + i: w.translate(swap) for i, w in enumerate(words)}
+    df = spark.createDataFrame([*docs, *bad.items(), (200, "schöner… ‘höhle’ café")], "doc_id bigint, text string")
+    found, garbled = encodings.learn(df, "doc_id", "text")
+    assert {r.doc_id for r in found.join(garbled, "run", "left_semi").select("doc_id").distinct().collect()} == set(bad)
+    assert {r.doc_id: r.restored for r in encodings.restore(df, "doc_id", "text").collect()} == {100 + i: w for i, w in enumerate(words)}
