@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.masks import grow
 from ..operators.patch_features import smooth
 from ..operators.sampling import squared_distance
+from ..session import written
 from ..sources.tiff import read_lines, written_bytes
 
 
@@ -44,16 +48,6 @@ class MaskSettings:
             raise ValueError("percentiles must rise from 0 to 100; halo and smoothing must not be negative")
 
 
-def normalized(stack: np.ndarray) -> np.ndarray:
-    """Values between the 1st and 99th percentile of the finite ones, cut to 0..1; 1 on finite values where those don't differ."""
-    good = np.isfinite(stack)
-    if not good.any():
-        return np.zeros(stack.shape)
-    low, high = np.percentile(stack[good], [1, 99])
-    out = np.clip((stack - low) / (high - low), 0, 1) if high > low else np.ones(stack.shape)
-    return np.where(good, out, 0.0)
-
-
 def otsu_of(plane: np.ndarray, bins: int = 256) -> float:
     """The center of the histogram bin that parts the finite values best, the first among equals; the value itself for a flat plane."""
     good = plane[np.isfinite(plane)]
@@ -86,51 +80,111 @@ def depth_of(mask: np.ndarray) -> np.ndarray:
     return np.where(mask, out, 0.0)
 
 
-def grown_volume(volume: np.ndarray, s: MaskSettings) -> np.ndarray:
+def grown_volume(field: np.ndarray, seed: float, support: float, thin: float, width: float) -> np.ndarray:
     """Voxels of the support connected by faces with a seed: a very bright voxel, or a bright peak of its slice where the support is thin."""
-    field = normalized(volume)
-    seed, support, thin = (field >= np.percentile(field, p) for p in (s.volume_seed, s.volume_support, s.thin_seed))
-    thin &= depth_of(support) <= s.thin_width
+    bright, wide, fine = (field >= limit for limit in (seed, support, thin))
+    fine &= depth_of(wide) <= width
     p = np.pad(field, [(0, 0), (1, 1), (1, 1)], constant_values=-np.inf)
     h, w = field.shape[1:]
     peak = field >= np.max([p[:, dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)], axis=0)
-    seed = seed | (thin & peak if (thin & peak).any() else thin)
-    return grow(seed, support | seed)
-
-
-def mask_of(stack: np.ndarray, s: MaskSettings) -> np.ndarray:
-    """The mask [y, x] of a volume [z, y, x]."""
-    plane = normalized(stack.max(0))[None]
-    plane = (smooth(plane, s.smoothing) if s.smoothing else plane)[0]
-    seeds, support = (plane >= np.percentile(plane, p) for p in (s.seed_percentile, s.grow_percentile))
-    if not seeds.any():
-        seeds = support = plane >= otsu_of(plane)
-    found = dilated(seeds if s.method == "threshold" else grow(seeds, support), s.halo)
-    if not s.guided:
-        return found
-    soft = smooth(found[None].astype(float), s.confidence_smoothing)[0]
-    span = soft.max() - soft.min()
-    trust = s.floor + (1 - s.floor) * ((soft - soft.min()) / span if span > 1e-12 else np.zeros(soft.shape))
-    return grown_volume(stack * (s.floor + (1 - s.floor) * trust), s).max(0)
+    bright = bright | (fine & peak if (fine & peak).any() else fine)
+    return grow(bright, wide | bright)
+
+
+LINES = "path string, y int, v array<double>"
+
+
+def by_plane(lines: DataFrame, run: Callable[..., np.ndarray], *limits: str) -> DataFrame:
+    """``path, y, v`` of ``run`` on each image's plane [y, x], given the image's ``limits`` (columns) too; the unit of work is one plane."""
+    def over(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("y", ignore_index=True)
+        out = run(np.stack(pdf["v"]), *[pdf[c].iloc[0] for c in limits])
+        return pdf[["path", "y"]].assign(v=list(out.astype(float)))
+
+    return lines.select("path", "y", "v", *limits).groupBy("path").applyInPandas(over, LINES)
+
+
+def percentiles(lines: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """``path`` and an exact percentile (0 to 100) of all of an image's values for each name."""
+    return lines.select("path", F.explode("v").alias("v")).groupBy("path").agg(*[F.percentile("v", F.lit(s / 100)).alias(n) for n, s in shares.items()])
+
+
+def normalized(lines: DataFrame) -> DataFrame:
+    """``lines`` with values between the 1st and 99th percentile of each image's finite ones, cut to 0..1; 1 on finite values where those don't differ, 0 on others."""
+    good = lines.withColumn("v", F.filter("v", lambda v: ~F.isnan(v) & (F.abs(v) != float("inf"))))
+    low, wide = F.col("_low"), F.col("_high") - F.col("_low")
+    value = lambda v: F.when(wide > 0, F.least(F.greatest((v - low) / F.when(wide > 0, wide).otherwise(1.0), F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
+    cut = F.transform("v", lambda v: F.when(~F.isnan(v) & (F.abs(v) != float("inf")) & low.isNotNull(), value(v)).otherwise(0.0))
+    return lines.join(percentiles(good, {"_low": 1, "_high": 99}), "path", "left").withColumn("v", cut).drop("_low", "_high")
+
+
+def projected(lines: DataFrame) -> DataFrame:
+    """``path, y, v``: the greatest value of each pixel over the slices."""
+    top = F.aggregate(F.collect_list("v"), F.transform(F.first("v"), lambda v: F.lit(float("-inf"))), lambda s, v: F.zip_with(s, v, lambda a, b: F.greatest(a, b)))
+    return lines.groupBy("path", "y").agg(top.alias("v"))
+
+
+def plane_masks(lines: DataFrame, s: MaskSettings) -> DataFrame:
+    """``path, y, v``: the mask (0 and 1) of each image's projection."""
+    plane = normalized(projected(lines))
+    if s.smoothing:
+        plane = by_plane(plane, lambda a: smooth(a[None], s.smoothing)[0])
+    plane = written(plane, "planes")
+
+    def found(a: np.ndarray, seed: float, support: float) -> np.ndarray:
+        seeds, allowed = a >= seed, a >= support
+        if not seeds.any():
+            seeds = allowed = a >= otsu_of(a)
+        return dilated(seeds if s.method == "threshold" else grow(seeds, allowed), s.halo)
+
+    limits = percentiles(plane, {"_seed": s.seed_percentile, "_support": s.grow_percentile})
+    return by_plane(plane.join(limits, "path"), found, "_seed", "_support")
+
+
+def guided_masks(lines: DataFrame, masks: DataFrame, s: MaskSettings) -> DataFrame:
+    """``path, y, v``: the masks grown in the volumes, each voxel weighed by the smoothed confidence of its plane's mask, then projected."""
+    soft = written(by_plane(masks, lambda a: smooth(a[None], s.confidence_smoothing)[0]), "confidence")
+    span = soft.groupBy("path").agg(F.min(F.array_min("v")).alias("_low"), F.max(F.array_max("v")).alias("_high"))
+    wide = F.col("_high") - F.col("_low")
+    part = lambda v: F.when(wide > 1e-12, (v - F.col("_low")) / F.when(wide > 1e-12, wide).otherwise(1.0)).otherwise(0.0)
+    trust = soft.join(span, "path").select("path", "y", F.transform("v", lambda v: s.floor + (1 - s.floor) * part(v)).alias("_trust"))
+    weighed = lines.join(trust, ["path", "y"]).select("path", "z", "y", F.zip_with("v", "_trust", lambda v, t: blended_once(v, t, s.floor)).alias("v"))
+    field = written(normalized(weighed), "field")
+    limits = percentiles(field, {"_seed": s.volume_seed, "_support": s.volume_support, "_thin": s.thin_seed})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        volume = np.zeros((pdf["z"].max() + 1, pdf["y"].max() + 1, len(pdf["v"].iloc[0])))
+        volume[pdf["z"], pdf["y"]] = np.stack(pdf["v"])
+        mask = grown_volume(volume, *[pdf[c].iloc[0] for c in ("_seed", "_support", "_thin")], s.thin_width).max(0)
+        return pd.DataFrame({"path": pdf["path"].iloc[0], "y": np.arange(len(mask), dtype="int32"), "v": list(mask.astype(float))})
+
+    return field.join(limits, "path").groupBy("path").applyInPandas(run, LINES)
+
+
+def blended_once(value: Column, trust: Column, floor: float) -> Column:
+    """A value weighed by a confidence that has the floor already, of which the floor is kept again."""
+    return value * (floor + (1 - floor) * trust)
 
 
 def export_masks(spark: SparkSession, paths: list[str] | str, folder: str, settings: MaskSettings) -> DataFrame:
     """Write ``<name>_analysismask.ome.tif`` for each image into ``folder``, which all executors must have mounted: ``path, mask_path, true_pixels``.
 
-    The unit of work is one channel of one image. A file appears under its name only when it is whole.
+    Projection, percentiles, confidence and weighing are joins and aggregates over pixel rows of all images; a task holds one plane to
+    smooth it or to grow its mask, or one channel's volume for growth in three dimensions. A file appears under its name only when it is whole.
     """
-    lines = read_lines(spark, paths, [settings.channel])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack = np.zeros((pdf["z"].max() + 1, pdf["y"].max() + 1, len(pdf["v"].iloc[0])))
-        stack[pdf["z"], pdf["y"]] = np.stack(pdf["v"])
-        mask = mask_of(stack, settings)
-        path = pdf["path"].iloc[0]
+    lines = read_lines(spark, paths, [settings.channel]).select("path", "z", "y", F.transform("v", lambda v: v.cast("double")).alias("v"))
+    lines = written(lines, "volume-lines")
+    masks = plane_masks(lines, settings)
+    if settings.guided:
+        masks = guided_masks(lines, masks, settings)
+
+    def put(pdf: pd.DataFrame) -> pd.DataFrame:
+        mask, path = np.stack(pdf.sort_values("y")["v"]) > 0, pdf["path"].iloc[0]
         stem = path.rsplit("/", 1)[-1].removesuffix(".tiff").removesuffix(".tif")
         final = os.path.join(folder, f"{stem}_analysismask.ome.tif")
-        with open(f"{final}.{os.getpid()}.tmp", "wb") as f:
+        with open(f"{final}.{uuid.uuid4().hex}.tmp", "wb") as f:
             f.write(written_bytes((mask * 255).astype("uint8")[None]))
         os.replace(f.name, final)
         return pd.DataFrame({"path": [path], "mask_path": [final], "true_pixels": [int(mask.sum())]})
 
-    return lines.select("path", "z", "y", "v").groupBy("path").applyInPandas(run, "path string, mask_path string, true_pixels bigint")
+    return masks.groupBy("path").applyInPandas(put, "path string, mask_path string, true_pixels bigint")
