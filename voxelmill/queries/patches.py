@@ -217,6 +217,12 @@ ORACLES = {
 SELECT x.vec_id, {_r(_SAFE.format(a='x.c', b='y.c'))} AS compactness_ratio, {_r(_SAFE.format(a='x.m', b='y.m'))} AS spotness_ratio FROM o x JOIN o y ON y.vec_id = x.vec_id + 1""",
     "q_log_dog": _SMOOTH + f" SELECT vec_id, {_r('max(abs(lap))')} AS log_response, {_r('max(abs(s1 - s2))')} AS dog_response, {_r('avg((v - s1) ** 2)')} AS high_frequency_power FROM s GROUP BY 1",
     "q_wavelet": _SMOOTH + f" SELECT vec_id, {_r('avg((v - s1) ** 2)')} AS wavelet_energy_scale_1, {_r('avg((s1 - s2) ** 2)')} AS wavelet_energy_scale_2, {_r('avg((s2 - s4) ** 2)')} AS wavelet_energy_scale_3 FROM s GROUP BY 1",
+    "q_z_peaks": _P + f""", z AS (SELECT vec_id, CAST(i // 4 AS INT) AS z, avg(v) AS p FROM p GROUP BY ALL), m AS (SELECT vec_id, max(p) AS mx FROM z GROUP BY 1),
+k AS (SELECT a.vec_id, a.z, a.p FROM z a JOIN z b ON b.vec_id = a.vec_id AND b.z = a.z - 1 AND b.p < a.p JOIN z c ON c.vec_id = a.vec_id AND c.z = a.z + 1 AND c.p < a.p),
+h AS (SELECT k.vec_id, k.z, k.p, coalesce(max(o.z) FILTER (WHERE o.z < k.z AND o.p > k.p), -1) AS l, coalesce(min(o.z) FILTER (WHERE o.z > k.z AND o.p > k.p), 16) AS r FROM k JOIN z o USING (vec_id) GROUP BY ALL),
+b AS (SELECT h.vec_id, h.z, h.p, min(o.p) FILTER (WHERE o.z > l AND o.z < h.z) AS bl, min(o.p) FILTER (WHERE o.z > h.z AND o.z < r) AS br FROM h JOIN z o USING (vec_id) GROUP BY ALL),
+c AS (SELECT vec_id, count(*) AS n FROM b JOIN m USING (vec_id) WHERE p - greatest(bl, br) >= greatest(0.1 * mx, 1e-6) GROUP BY 1)
+SELECT vec_id, {_r('CAST(coalesce(n, 0) AS DOUBLE)')} AS z_peak_count, {_r('CAST(greatest(coalesce(n, 0) - 1, 0) AS DOUBLE)')} AS z_multi_peak_score FROM m LEFT JOIN c USING (vec_id)""",
     "q_lbp": _P + f""", o AS (SELECT * FROM (VALUES (0,-1,-1),(1,-1,0),(2,-1,1),(3,0,1),(4,1,1),(5,1,0),(6,1,-1),(7,0,-1)) t(k, dy, dx)),
 b AS (SELECT p.vec_id, p.i, k, CAST(q.v >= p.v AS INT) AS b FROM p, o, p q WHERE q.vec_id = p.vec_id AND q.i = least(greatest(p.i // 8 + dy, 0), 7) * 8 + least(greatest(p.i % 8 + dx, 0), 7)),
 u AS (SELECT x.vec_id, x.i, sum(x.b) AS ones, count(*) FILTER (WHERE x.b != y.b) AS turns FROM b x JOIN b y ON x.vec_id = y.vec_id AND x.i = y.i AND y.k = (x.k + 7) % 8 GROUP BY ALL),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,7 +179,22 @@ ids AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY patch_group
 _ZC = ", zc AS (SELECT c.sample_id, c.y, c.x, coalesce(b.z, 3) AS z_center FROM cen c LEFT JOIN (SELECT sample_id, y, x, arg_min(z, (-v, z)) AS z FROM vox WHERE channel = 'A' GROUP BY ALL) b USING (sample_id, y, x))"
 _CROP = _ZC + ", off AS (SELECT CAST(a.r - 1 AS INT) dz, CAST(b.r AS INT) dy, CAST(c.r AS INT) dx FROM range(3) a(r), range(8) b(r), range(8) c(r)), crp AS (SELECT q.sample_id, q.y AS cy, q.x AS cx, v.channel, dz, dy, dx, v.v FROM zc q CROSS JOIN off JOIN vox v ON v.sample_id = q.sample_id AND v.y = q.y + dy - 4 AND v.x = q.x + dx - 4 AND v.z = least(greatest(q.z_center + dz, 0), 6))"
 
+
+def _smoothed(sigma: float) -> str:
+    """The projection of channel A after a Gaussian filter whose borders mirror the edge pixel."""
+    r = int(4 * sigma + 0.5)
+    w = [exp(-0.5 * (t / sigma) ** 2) for t in range(-r, r + 1)]
+    taps = ", ".join(f"({t}, {v / sum(w)!r})" for t, v in zip(range(-r, r + 1), w, strict=True))
+    back = "CASE WHEN {0} % 128 < 64 THEN {0} % 128 ELSE 127 - {0} % 128 END"
+    return f""", tap AS (SELECT * FROM (VALUES {taps}) t(t, w)), pla AS (SELECT sample_id, y, x, v FROM mip WHERE channel = 'A'),
+alo AS (SELECT p.sample_id, p.y, p.x, sum(w * q.v) AS v FROM pla p, tap, pla q WHERE q.sample_id = p.sample_id AND q.y = p.y AND q.x = {back.format('(p.x + t + 128)')} GROUP BY ALL),
+smo AS (SELECT p.sample_id, p.y, p.x, sum(w * q.v) AS v FROM alo p, tap, alo q WHERE q.sample_id = p.sample_id AND q.x = p.x AND q.y = {back.format('(p.y + t + 128)')} GROUP BY ALL)"""
+
+
 ORACLES = {
+    "q_mask_confidence": _V + _smoothed(2.5) + f", spa AS (SELECT sample_id, min(v) AS a, max(v) AS b FROM smo GROUP BY 1) SELECT sample_id, y, x, {_R.format('0.2 + 0.8 * CASE WHEN b - a > 1e-12 THEN (v - a) / (b - a) ELSE 0 END')} AS value FROM smo JOIN spa USING (sample_id)",
+    "q_smoothed_mask": _V + _smoothed(1.0) + """, lim AS (SELECT sample_id, quantile_cont(v, 0.82) lo, quantile_cont(v, 0.995) hi FROM smo GROUP BY ALL), ok AS (SELECT sample_id, y, x, v >= hi AS seed FROM smo JOIN lim USING (sample_id) WHERE v >= lo),
+grown AS (SELECT sample_id, y, x FROM ok WHERE seed UNION SELECT o.sample_id, o.y, o.x FROM grown g JOIN ok o ON o.sample_id = g.sample_id AND abs(o.y - g.y) <= 1 AND abs(o.x - g.x) <= 1) SELECT * FROM grown""",
     "q_mip": _V + " SELECT * FROM mip",
     "q_mask_load": _V + " SELECT DISTINCT sample_id, y, x FROM vox WHERE channel = 'R' AND v > 0",
     "q_percentile_normalize": _V + _N + f" SELECT sample_id, channel, y, x, {_R.format('value')} AS value FROM nrm",
