@@ -249,3 +249,20 @@ def test_missing_masks_has_no_limit_of_its_own(spark, tmp_path, capsys):
     (tmp_path / "masks" / "s0000_analysismask.ome.tif").write_bytes(b"x")
     assert cli.main(["missing-masks", "--images", str(tmp_path / "images"), "--masks", str(tmp_path / "masks")]) == 0
     assert sum(".tif" in line for line in capsys.readouterr().out.splitlines()) == 1004
+
+
+def test_a_batch_runs_every_settings_file(tmp_path, capsys, monkeypatch):
+    for name in ("r_1", "r_2", "r_10", "other"):
+        (tmp_path / f"{name}.yaml").write_text("x: 1")
+    asked = ["report-batch", "--configs-dir", str(tmp_path), "--config-prefix", "r_"]
+    assert cli.main([*asked, "--dry-run"]) == 0
+    assert [line.rsplit("/", 1)[1] for line in capsys.readouterr().out.splitlines()] == ["r_1.yaml", "r_10.yaml", "r_2.yaml"]
+    with pytest.raises(ValueError, match="must be a mapping"):  # the first file has no sections
+        cli.main(asked)
+    capsys.readouterr()
+    assert cli.main([*asked, "--continue-on-error", "--clusters", "2", "1"]) == 1
+    assert [line.rsplit("/", 1)[1] for line in capsys.readouterr().out.splitlines()] == ["r_2.yaml", "r_1.yaml"]
+    with pytest.raises(ValueError, match="r_7"):
+        cli.main([*asked, "--clusters", "7"])
+    with pytest.raises(ValueError):
+        cli.main([*asked[:-1], "none_"])

@@ -31,6 +31,30 @@ def missing_masks(spark, images: str, masks: str, limit: int | None = None):
     return lacking if limit is None else lacking.limit(limit)
 
 
+def batch(folder: str, prefix: str, ids: list[int] | None, keep_on: bool, dry_run: bool, master: str | None) -> int:
+    """One report for each settings file of ``folder`` whose name begins with ``prefix`` (in the order of names), or for those of the given ids.
+
+    Ends at the first report that fails, with ``keep_on`` after all of them; how many failed is given back.
+    """
+    found = [Path(folder) / f"{prefix}{i}.yaml" for i in ids] if ids else sorted(Path(folder).glob(f"{prefix}*.yaml"))
+    lacking = [str(p) for p in found if not p.exists()]
+    if lacking or not found:
+        raise ValueError(f"no settings {', '.join(lacking) or prefix + '*'} in {folder}")
+    failed = 0
+    for path in found:
+        print(path)
+        if dry_run:
+            continue
+        try:
+            main([*(["--master", master] if master else []), "report", "--config", str(path)])
+        except Exception as e:  # noqa: BLE001 - whatever ends one report must not end the others
+            if not keep_on:
+                raise
+            failed += 1
+            print(f"{path}: {e}", file=sys.stderr)
+    return failed
+
+
 def main(argv: list[str] | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
     parser = argparse.ArgumentParser(prog="voxelmill", description=__doc__)
@@ -43,6 +67,12 @@ def main(argv: list[str] | None = None) -> int:
         if name == "report":
             one.add_argument("--features", help="Parquet table of features; without it they are computed from the crops")
             one.add_argument("--patches", help="folder of the crops, by default the one beside the manifest")
+    one = jobs.add_parser("report-batch", help="one report for each settings file of a prefix")
+    one.add_argument("--configs-dir", default="configs")
+    one.add_argument("--config-prefix", required=True)
+    one.add_argument("--clusters", type=int, nargs="*")
+    one.add_argument("--continue-on-error", action="store_true")
+    one.add_argument("--dry-run", action="store_true")
     one = jobs.add_parser("missing-masks")
     one.add_argument("--images", required=True)
     one.add_argument("--masks", required=True)
@@ -102,6 +132,8 @@ def main(argv: list[str] | None = None) -> int:
             h, w, z = sizes[0]
             write_report(image_tables(tables["patch_latent_report"], crops, h * w, z), config.output_dir)
         clear_written(spark)
+    elif args.job == "report-batch":
+        return min(batch(args.configs_dir, args.config_prefix, args.clusters, args.continue_on_error, args.dry_run, args.master), 1)
     elif args.job == "missing-masks":
         for row in missing_masks(get_session(master=args.master), args.images, args.masks, args.limit).toLocalIterator():
             print(row.path)
