@@ -7,10 +7,13 @@ from voxelmill.operators import patch_features as P
 rng = np.random.default_rng(5)
 
 
-def test_distance_equals_brute_force():
-    mask = rng.random((13, 17)) < 0.1
+@pytest.mark.parametrize("shape", [(13, 17), (1, 9), (9, 1), (40, 6)])
+@pytest.mark.parametrize("share", [0.01, 0.1, 1.0])
+def test_distance_equals_brute_force(shape, share):
+    mask = rng.random(shape) < share
+    mask[-1, 0] = True
     y, x = np.nonzero(mask)
-    want = ((np.arange(13)[:, None, None] - y) ** 2 + (np.arange(17)[None, :, None] - x) ** 2).min(-1)
+    want = ((np.arange(shape[0])[:, None, None] - y) ** 2 + (np.arange(shape[1])[None, :, None] - x) ** 2).min(-1)
     assert (sampling.squared_distance(mask) == want).all()
     assert np.isinf(sampling.squared_distance(np.zeros((3, 3), dtype=bool))).all()
 

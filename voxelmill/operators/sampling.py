@@ -21,15 +21,21 @@ def center_grid(planes: DataFrame, keys: list[str], height: Column, width: Colum
 def squared_distance(mask: np.ndarray) -> np.ndarray:
     """Squared Euclidean distance of each pixel to the nearest true one; infinite where there is none.
 
-    Along rows by running indices, then along columns as the minimum over rows, one row of the result at a time.
+    Along rows by running indices, then along columns as the minimum over rows at a growing step, up to the step that nothing is as far away as.
     """
+    if not mask.any():
+        return np.full(mask.shape, np.inf)
     h, w = mask.shape
     at = np.where(mask, np.arange(w), -np.inf)
     before = np.maximum.accumulate(at, axis=1)
     after = np.minimum.accumulate(np.where(mask, np.arange(w), np.inf)[:, ::-1], axis=1)[:, ::-1]
     along = np.minimum(np.arange(w) - before, after - np.arange(w)) ** 2
-    rows = np.arange(h)
-    return np.stack([(along + ((rows - y) ** 2)[:, None]).min(0) for y in range(h)])
+    out, step = along.copy(), 1
+    while step < h and step**2 < out.max():
+        np.minimum(out[step:], along[:-step] + step**2, out=out[step:])
+        np.minimum(out[:-step], along[step:] + step**2, out=out[:-step])
+        step += 1
+    return out
 
 
 def signed_distance(mask_pixels: DataFrame, key: str, plane: int) -> DataFrame:
