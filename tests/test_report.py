@@ -1,3 +1,5 @@
+import pytest
+
 from voxelmill.functions.keys import fresh, label_key, newest, path_key
 from voxelmill.operators import report as R
 
@@ -82,3 +84,18 @@ def test_small_families_may_be_redundant(spark):
     assert got == {("a", "b"): (True, True), ("c", "e"): (True, True), ("c", "f"): (False, False), ("e", "f"): (False, False)}
     groups = {r.family: (r.representative, r.group_size, r.redundant_group) for r in V.redundant_groups(pairs, grouped, "d", "family").collect()}
     assert groups == {"two": ("a", 2, True), "three": ("e", 2, True)}
+
+
+def test_features_are_grouped_domain_by_domain(spark):
+    from voxelmill.operators import feature_variance as V
+
+    rows = [(d, f"f{i}", 10.0 ** (3 * (i % groups)), 1.0, 10.0 ** (3 * (i % groups))) for d, groups in (("two", 2), ("three", 3)) for i in range(9)]
+    rows += [("one", "f0", 1.0, 1.0, 1.0), ("pair", "f0", 1.0, 1.0, 1.0), ("pair", "f1", 9.0, 1.0, 9.0), (None, "f0", 1.0, 1.0, 1.0), ("gap", "f0", None, 1.0, 1.0), ("gap", "f1", float("nan"), 2.0, 2.0), ("gap", "f2", 5.0, 2.0, 2.0)]
+    metrics = spark.createDataFrame(rows, "d string, feature string, between_cluster_var double, within_cluster_var double, separation_score double")
+    got = V.variance_clusters(metrics, "d").collect()
+    assert {r.d: r.k for r in got} == {"two": 2, "three": 3, "one": 1, "pair": 1, "gap": 2} and len(got) == 24
+    assert all(r.silhouette == pytest.approx(1.0) for r in got if r.d in ("two", "three")) and all(r.silhouette is None and r.feature_variance_cluster == 0 for r in got if r.d in ("one", "pair"))
+    for d, groups in (("two", 2), ("three", 3)):
+        assert len({(int(r.feature[1]) % groups, r.feature_variance_cluster) for r in got if r.d == d}) == groups
+    assert {r.d: r.k for r in V.variance_clusters(metrics, "d", 5).collect()} == {"two": 5, "three": 5, "one": 1, "pair": 2, "gap": 3}
+    assert V.variance_clusters(metrics.limit(0), "d").count() == 0

@@ -1,6 +1,6 @@
 """Features as rows: grouping them by their variance metrics, and finding those that say the same.
 
-A dataset has some hundreds of features; more than ``models.MOST_FEATURES`` are refused. Datasets are any number, each a group of its own.
+A dataset has some hundreds of features; hierarchies refuse more than ``models.MOST_FEATURES``. Datasets are any number, each a group of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from .models import MOST_FEATURES, ward_labels
+from ..session import written
+from .models import MOST_FEATURES, silhouette, ward_labels
+from .report import standardize
 
 METRICS = ["between_cluster_var", "within_cluster_var", "separation_score"]
 
@@ -25,11 +27,6 @@ def load_separation(spark, path: str) -> DataFrame:
     return table.select("feature", *[F.col(m).cast("double").alias(m) for m in METRICS])
 
 
-def _scaled(x: np.ndarray) -> np.ndarray:
-    sd = x.std(0)
-    return (x - x.mean(0)) / np.where(sd > 0, sd, 1.0)
-
-
 def _kmeans(x: np.ndarray, k: int, seed: int, starts: int = 10) -> tuple[np.ndarray, float]:
     """Labels and inertia of the best of several seeded starts."""
     best = None
@@ -51,44 +48,30 @@ def _kmeans(x: np.ndarray, k: int, seed: int, starts: int = 10) -> tuple[np.ndar
     return best
 
 
-def _silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    gap, scores = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), []
-    for i, own in enumerate(labels):
-        mine = labels == own
-        if mine.sum() < 2 or mine.all():
-            scores.append(0.0)
-            continue
-        a = gap[i, mine].sum() / (mine.sum() - 1)
-        b = min(gap[i, labels == other].mean() for other in set(labels) - {own})
-        scores.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
-    return float(np.mean(scores))
-
-
 def variance_clusters(metrics: DataFrame, domain: str, k: int | None = None, seed: int = 42, most: int = 8) -> DataFrame:
     """``domain, feature, feature_variance_cluster, k, silhouette``: features grouped by their scaled log metrics.
 
     Without ``k`` the number of 2 to ``most`` clusters with the first best silhouette is taken. ``k`` is brought into 1..n;
-    one cluster gets the id 0 and no silhouette.
+    one cluster gets the id 0 and no silhouette. A missing metric counts as the mean; rows without a domain are left out.
+    Each number of clusters of a domain is a task of its own; silhouettes are joins.
     """
-    kind = metrics.schema[domain].dataType.simpleString()
+    logs = metrics.select(domain, "feature", *[F.log10(F.col(m) + 1e-6).alias(m) for m in METRICS])
+    points = standardize(logs, [domain], METRICS).fillna(0.0, METRICS)
+    n = F.col("_n").cast("int")
+    sizes = F.array(F.least(F.lit(max(k, 1)), n)) if k is not None else F.when(n > 2, F.sequence(F.lit(2), F.least(F.lit(most), n - 1))).otherwise(F.array(F.lit(1)))
+    tried = points.join(points.groupBy(domain).agg(F.count(F.lit(1)).alias("_n")), domain).withColumn("k", F.explode(sizes)).drop("_n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_FEATURES:
-            raise ValueError(f"{len(pdf)} features are more than {MOST_FEATURES}")
         pdf = pdf.sort_values("feature")
-        x, n = _scaled(np.log10(pdf[METRICS].to_numpy(float) + 1e-6)), len(pdf)
-        sizes = [min(max(k, 1), n)] if k is not None else list(range(2, min(most, n - 1) + 1)) or [1]
-        if sizes == [1]:
-            return pdf[[domain, "feature"]].assign(feature_variance_cluster=np.int32(0), k=np.int32(1), silhouette=None)
-        tried = []
-        for size in sizes:
-            labels = _kmeans(x, size, seed)[0]
-            tried.append((_silhouette(x, labels), size, labels))
-        score, size, labels = max(tried, key=lambda t: (round(t[0], 12), -t[1]))
-        return pdf[[domain, "feature"]].assign(feature_variance_cluster=labels.astype("int32"), k=np.int32(size), silhouette=score)
-
-    schema = f"`{domain}` {kind}, feature string, feature_variance_cluster int, k int, silhouette double"
-    return metrics.select(domain, "feature", *METRICS).groupBy(domain).applyInPandas(run, schema)
+        return pdf.assign(feature_variance_cluster=_kmeans(pdf[METRICS].to_numpy(), int(pdf["k"].iloc[0]), seed)[0].astype("int32"))
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in tried.schema], "feature_variance_cluster int"])
+    labelled = written(tried.groupBy(domain, "k").applyInPandas(run, schema), "feature-groups")
+    score = silhouette(labelled.where("k > 1"), [domain, "k"], "feature", "feature_variance_cluster", METRICS).groupBy(domain, "k").agg(F.avg("silhouette").alias("silhouette"))
+    scored = labelled.select(domain, "k").distinct().join(score, [domain, "k"], "left")
+    best = scored.groupBy(domain).agg(F.max(F.struct(F.round("silhouette", 12).alias("r"), (-F.col("k")).alias("k"), "silhouette")).alias("_b"))
+    best = best.select(domain, (-F.col("_b.k")).alias("k"), F.col("_b.silhouette").alias("silhouette"))
+    return labelled.join(best, [domain, "k"]).select(domain, "feature", "feature_variance_cluster", "k", "silhouette")
 
 
 def removed_projection(kept: DataFrame, removed: DataFrame, clusters: DataFrame, domain: str) -> DataFrame:

@@ -164,14 +164,16 @@ def feature_hierarchy(metrics: DataFrame, domain: str, feature: str, columns: li
     return metrics.select(domain, feature, *columns).groupBy(domain).applyInPandas(run, schema)
 
 
-def silhouette(points: DataFrame, domain: str, item: str, label: str, columns: list[str]) -> DataFrame:
-    """``domain, item, silhouette`` of labelled features: mean distance to the own cluster against the nearest other one.
+def silhouette(points: DataFrame, domains: list[str], item: str, label: str, columns: list[str]) -> DataFrame:
+    """``domains..., item, silhouette`` of labelled features: mean distance to the own cluster against the nearest other one, 0 where there is none of either.
 
     Compares all pairs within a domain, of which each has some hundreds; for patches use :func:`choose_k`.
     """
-    other = points.select(domain, F.col(item).alias("_o"), F.col(label).alias("_l"), *[F.col(c).alias(f"_{c}") for c in columns])
+    other = points.select(*domains, F.col(item).alias("_o"), F.col(label).alias("_l"), *[F.col(c).alias(f"_{c}") for c in columns])
     gap = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in columns), F.lit(0.0)))
-    far = points.join(other, domain).where(F.col(item) != F.col("_o")).groupBy(domain, item, label, "_l").agg(F.avg(gap).alias("d"))
-    both = far.groupBy(domain, item).agg(F.min(F.when(F.col(label) == F.col("_l"), F.col("d"))).alias("a"), F.min(F.when(F.col(label) != F.col("_l"), F.col("d"))).alias("b"))
-    score = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.when(F.greatest("a", "b") > 0, F.greatest("a", "b")).otherwise(1.0))
-    return both.select(domain, item, score.alias("silhouette"))
+    far = points.join(other, domains).where(F.col(item) != F.col("_o")).groupBy(*domains, item, label, "_l").agg(F.avg(gap).alias("_gap"))
+    mine = F.col(label) == F.col("_l")
+    both = far.groupBy(*domains, item).agg(F.min(F.when(mine, F.col("_gap"))).alias("_own"), F.min(F.when(~mine, F.col("_gap"))).alias("_next"))
+    wider = F.greatest("_own", "_next")
+    score = F.when(F.col("_own").isNull() | F.col("_next").isNull() | (wider == 0), 0.0).otherwise((F.col("_next") - F.col("_own")) / F.when(wider > 0, wider).otherwise(1.0))
+    return both.select(*domains, item, score.alias("silhouette"))

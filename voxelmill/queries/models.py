@@ -17,7 +17,7 @@ from ..operators import models as M
 from ..operators import report as R
 from ..session import written
 from ..sources.tables import table
-from .report import _FAMILY, _PATH, _SEP, FEATURES, METRICS, _r, feature_rows, full_rows, loadings_on, separation
+from .report import _FAMILY, _NEW, _PATH, _SEP, FEATURES, METRICS, _r, feature_rows, full_rows, loadings_on, separation
 
 SEED = 42
 
@@ -60,7 +60,7 @@ def q_ward(spark, d):
 def q_silhouette(spark, d):
     """How well the families part each dataset's features by their log metrics."""
     logs = separation(spark, d).select("dataset_name", "feature", family("feature").alias("family"), *[F.log10(F.col(m) + 1e-6).alias(m) for m in METRICS])
-    out = M.silhouette(written(logs, "metrics"), "dataset_name", "feature", "family", METRICS)
+    out = M.silhouette(written(logs, "metrics"), ["dataset_name"], "feature", "family", METRICS)
     return out.select("dataset_name", "feature", shown("silhouette", 4).alias("silhouette"))
 
 
@@ -196,7 +196,24 @@ pa AS (SELECT a.dataset_name, a.family, a.feature AS fa, b.feature AS fb, sqrt(s
 pq AS (SELECT pa.*, x.group_id, x.group_id = y.group_id AS sg, quantile_cont(distance, 0.5) OVER (PARTITION BY pa.dataset_name, pa.family) AS cut FROM pa JOIN gr x ON x.dataset_name = pa.dataset_name AND x.feature = fa JOIN gr y ON y.dataset_name = pa.dataset_name AND y.feature = fb),
 pf AS (SELECT *, coalesce(sg AND mc >= 0.95 AND lc >= 0.95 AND distance <= cut, false) AS red FROM pq)"""
 
+def _axis(n: int, before: str) -> str:
+    """SQL of the ``n``-th axis of the matrix ``before.a``: squared often enough, a matrix is the product of its first axis with itself. What is left without it is ``d{n}.a``."""
+    return f"""
+p{n} AS (SELECT a, 0 AS i FROM {before} UNION ALL SELECT [[list_dot_product(r, c) / list_sum([list_dot_product(s, s) for s in a]) for c in a] for r in a], i + 1 FROM p{n} WHERE i < 60),
+m{n} AS (SELECT a AS m, list_position([a[j][j] for j in range(1, {len(FEATURES) + 1})], list_max([a[j][j] for j in range(1, {len(FEATURES) + 1})])) AS j FROM p{n} WHERE i = 60),
+v{n} AS (SELECT [x / sqrt(m[j][j]) for x in m[j]] AS v FROM m{n}),
+e{n} AS (SELECT v, list_dot_product(v, [list_dot_product(r, v) for r in a]) AS e FROM v{n}, {before}),
+d{n} AS (SELECT [[a[r][c] - e * v[r] * v[c] for c in range(1, {len(FEATURES) + 1})] for r in range(1, {len(FEATURES) + 1})] AS a FROM e{n}, {before})"""
+
+
+_GOOD = " AND ".join(f"isfinite({f}) AND {f} IS NOT NULL" for f in FEATURES)
+_PCA = f"""WITH RECURSIVE f AS (SELECT {', '.join(FEATURES)} FROM ({_NEW.format(t='patch_features', by='computed_at')}) WHERE {_GOOD}),
+d0 AS (SELECT [{', '.join('[' + ', '.join(f'corr({a}, {b})' if a != b else '1.0' for b in FEATURES) + ']' for a in FEATURES)}] AS a FROM f),{','.join(_axis(n, f'd{n - 1}') for n in (1, 2, 3))},
+x AS (SELECT 0 AS axis, * FROM e1 UNION ALL SELECT 1, * FROM e2 UNION ALL SELECT 2, * FROM e3)
+SELECT axis, unnest([{', '.join(repr(f) for f in FEATURES)}]) AS feature, unnest([{_r('y')} for y in v]) AS loading, {_r(f'e / {len(FEATURES)}')} AS explained, {_r(f'sum(e) OVER (ORDER BY axis) / {len(FEATURES)}')} AS cumulative FROM x"""
+
 ORACLES = {
+    "q_pca": _PCA,
     "q_redundancy_given": _GIVEN + f" SELECT dataset_name, family, fa AS feature_a, fb AS feature_b, sg AS same_group, {_r('mc', 4)} AS metric_corr, {_r('lc', 4)} AS loading_corr, {_r('distance', 4)} AS distance, red AS redundant FROM pf",
     "q_redundancy_given_groups": _GIVEN + f""", st AS (SELECT dataset_name, family, group_id, avg(mc) AS m, avg(lc) AS l, avg(distance) AS d, bool_and(red) AS a FROM pf WHERE sg GROUP BY ALL),
 rp AS (SELECT dataset_name, family, group_id, feature, count(*) OVER (PARTITION BY dataset_name, family, group_id) AS n FROM gr QUALIFY row_number() OVER (PARTITION BY dataset_name, family, group_id ORDER BY separation_score DESC, l0 DESC, l1 DESC, l2 DESC, feature) = 1)
