@@ -55,7 +55,7 @@ def variance_clusters(metrics: DataFrame, domain: str, k: int | None = None, see
     one cluster gets the id 0 and no silhouette. A missing metric counts as the mean; rows without a domain are left out.
     Each number of clusters of a domain is a task of its own; silhouettes are joins.
     """
-    logs = metrics.select(domain, "feature", *[F.log10(F.col(m) + 1e-6).alias(m) for m in METRICS])
+    logs = written(metrics.select(domain, "feature", *[F.log10(F.col(m) + 1e-6).alias(m) for m in METRICS]), "metrics")  # read again and again
     points = standardize(logs, [domain], METRICS).fillna(0.0, METRICS)
     n = F.col("_n").cast("int")
     sizes = F.array(F.least(F.lit(max(k, 1)), n)) if k is not None else F.when(n > 2, F.sequence(F.lit(2), F.least(F.lit(most), n - 1))).otherwise(F.array(F.lit(1)))
