@@ -124,3 +124,34 @@ def test_folder_round_trip(spark, tmp_path):
     assert len(listed) == 20 and all(r.length for r in listed)
     first = listed[0]
     assert open(first.file_path, "rb").read()[first.offset :][: first.length].startswith(b"row ")
+
+
+def test_a_large_shard_and_its_index_are_never_one_row(spark):
+    texts = {f"f{i:05d}": b"%d;" % i * (1 + i % 3) for i in range(10_000)} | {"g": bytes(700_000), "h": b"", "i": b"end"}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in texts.items()], "path string, content binary")
+    shards = C.concatenate(df, C.SHARD_BYTES).cache()
+    held = sorted(rows(shards), key=lambda r: r.chunk)
+    assert {(r.shard_id, r.part) for r in held} == {(0, 0)} and [r.last for r in held] == [False] * (len(held) - 1) + [True]
+    assert max(len(r.pieces) for r in held) <= C.CHUNK_PIECES and max(len(r.payload) for r in held) <= C.CHUNK_BYTES + 700_000
+    whole = b"".join(bytes(r.payload) for r in held)
+    assert whole == b"".join(texts[k] for k in sorted(texts))
+    assert {p.location: whole[p.offset :][: p.length] for r in held for p in r.pieces} == texts
+    assert [tuple(r) for r in rows(C.verify(shards))] == [(0, 0, len(texts), len(whole), zlib.crc32(whole), True)]
+    for gone in range(len(held)):
+        assert not any(r.intact for r in rows(C.verify(shards.where(f"chunk != {gone}"))))
+    assert not any(r.intact for r in rows(C.verify(shards.unionByName(shards.where("chunk = 1")))))
+
+
+def test_files_of_many_rows_are_written_whole(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    texts = [b"%d\n" % i * 9 for i in range(300)] + [b"x" * 400_000 + b"\n", b"y" * 300_000 + b"\n"]
+    for i, t in enumerate(texts):
+        (tmp_path / "in" / f"{i:04d}.txt").write_bytes(t)
+    made = C.compact_folder(spark, str(tmp_path / "in" / "*.txt"), str(tmp_path / "out"), 1 << 20, "lines").collect()
+    (one,) = made
+    body = open(one.file_path, "rb").read()
+    assert body == b"".join(texts) and (one.n_bytes, one.crc32) == (len(body), zlib.crc32(body))
+    listed = spark.read.parquet(str(tmp_path / "out" / "_index")).collect()
+    assert len(listed) == len(texts) and all(zlib.crc32(body[p.offset :][: p.length]) == p.crc32 for p in listed)
+    assert not list((tmp_path / "out").glob("*.tmp"))

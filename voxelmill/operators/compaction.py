@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,14 @@ ZSTD_SKIPPABLE = 0x184D2A50
 #: Bytes of a well-sized shard.
 SHARD_BYTES = 128 << 20
 
+#: Bytes and pieces from which a row of a shard is full. A shard is many rows, so that neither its bytes nor its index ever are in memory as a whole.
+CHUNK_BYTES, CHUNK_PIECES = 256 << 10, 4096
+
+#: Bytes of a row group of a written table of shards, as a reader has a whole one in memory.
+ROW_GROUP = 16 << 20
+
 PIECES = "array<struct<location: string, offset: bigint, length: bigint, crc32: bigint, names: array<string>>>"
-SHARD_SCHEMA = f"shard_id bigint, part int, n_files bigint, n_bytes bigint, crc32 bigint, payload binary, pieces {PIECES}"
+SHARD_SCHEMA = f"shard_id bigint, part int, chunk int, start bigint, before bigint, n_files bigint, n_bytes bigint, crc32 bigint, last boolean, payload binary, pieces {PIECES}"
 
 
 def _intact(record_bytes: int, path: str, ids: str, payload: str, size: str) -> Column:
@@ -132,8 +139,10 @@ def concatenate(
     """Shards of about ``target_bytes`` that hold every piece once, in the order of its location.
 
     A location goes to a shard by its hash; a shard that grows past the target is closed and goes on in its next
-    part, so no task holds more than one target and one piece in memory. ``pieces`` of the result is the
-    index of each shard, with what the column ``names`` (an array) says of the contents. Several rows of a location are versions of one
+    part. A part is the ``payload`` of its rows in the order of ``chunk``: a row is full at :data:`CHUNK_BYTES` or :data:`CHUNK_PIECES`, so
+    a task holds one row and one piece in memory, however large shards and their indexes are. ``start`` is the row's place in the part, ``n_bytes`` its
+    length, ``before`` and ``crc32`` the checksums of the part up to the row and with it, ``last`` ends a part. ``pieces`` is the
+    index of the row (offsets in the part), with what the column ``names`` (an array) says of the contents. Several rows of a location are versions of one
     piece, of which the one with the greatest ``version`` is taken. Contents are summed where they are read, and
     refused if other bytes arrive. ``total_bytes`` spares a pass over the contents where their size is known.
     """
@@ -152,29 +161,34 @@ def concatenate(
     laid = laid.repartition(int(min(shards, 20_000)), "shard_id").sortWithinPartitions("shard_id", "location", F.desc_nulls_last("version"))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, part, body, index, before = None, 0, bytearray(header or b""), [], None
+        at, part, chunk, start, summed, body, index, before = None, 0, 0, 0, 0, bytearray(header or b""), [], None
 
-        def close() -> pd.DataFrame:
-            done = bytes(body)
-            return pd.DataFrame({"shard_id": [at], "part": [part], "n_files": [len(index)], "n_bytes": [len(done)], "crc32": [zlib.crc32(done)], "payload": [done], "pieces": [list(index)]})
+        def close(last: bool) -> pd.DataFrame:
+            nonlocal part, chunk, start, summed, body, index
+            done, was = bytes(body), summed
+            summed = zlib.crc32(done, was)
+            row = {"shard_id": at, "part": part, "chunk": chunk, "start": start, "before": was, "n_files": len(index), "n_bytes": len(done), "crc32": summed, "last": last, "payload": done, "pieces": index}
+            part, chunk, start, summed, body, index = (part + 1, 0, 0, 0, bytearray(header or b""), []) if last else (part, chunk + 1, start + len(done), summed, bytearray(), [])
+            return pd.DataFrame({k: [v] for k, v in row.items()})
 
         for batch in batches:
             for shard, location, content, crc, called in zip(*[batch[c] for c in ("shard_id", "location", "content", "sum", "names")], strict=True):
                 if location == before:
                     continue
                 before = location
-                if index and (shard != at or len(body) >= target_bytes):
-                    yield close()
-                    part = part + 1 if shard == at else 0
-                    body, index = bytearray(header or b""), []
-                at = shard
+                if index and (shard != at or start + len(body) >= target_bytes):
+                    yield close(last=True)
+                elif len(body) >= CHUNK_BYTES or len(index) >= CHUNK_PIECES:
+                    yield close(last=False)
+                if shard != at:
+                    at, part = shard, 0
                 if zlib.crc32(content) != crc:
                     raise ValueError(f"{location} arrived with other bytes than were read")
                 piece = _closed(bytes(content), kind, header)
-                index.append({"location": location, "offset": len(body), "length": len(piece), "crc32": zlib.crc32(piece), "names": called})
+                index.append({"location": location, "offset": start + len(body), "length": len(piece), "crc32": zlib.crc32(piece), "names": called})
                 body += piece
         if index:
-            yield close()
+            yield close(last=True)
 
     return laid.select("shard_id", "location", "content", "sum", "names").mapInPandas(join, SHARD_SCHEMA)
 
@@ -182,8 +196,8 @@ def concatenate(
 def verify(shards: DataFrame, decode: bool = False) -> DataFrame:
     """Each shard held against its index: ``shard_id, part, n_files, n_bytes, crc32, intact``.
 
-    ``intact``: the shard's length and checksum, and those of every piece cut out by its offset, agree; with ``decode`` every piece, being
-    zstandard frames, must also decompress (with the frames' own checksums).
+    ``intact``: the lengths and checksums of all rows of a part, which follow one another without a gap, and those of every piece cut out by its offset, agree;
+    with ``decode`` every piece, being zstandard frames, must also decompress (with the frames' own checksums).
     """
     def readable(piece: memoryview) -> bool:
         import zstandard
@@ -196,17 +210,30 @@ def verify(shards: DataFrame, decode: bool = False) -> DataFrame:
             return False
         return True
 
-    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for body, n, crc, pieces in zip(batch["payload"], batch["n_bytes"], batch["crc32"], batch["pieces"], strict=True):
-                view = memoryview(body)
-                cut = [view[p["offset"] : p["offset"] + p["length"]] for p in pieces]
-                fine = len(body) == n and zlib.crc32(view) == crc and all(len(c) == p["length"] and zlib.crc32(c) == p["crc32"] for p, c in zip(pieces, cut, strict=True))
-                good.append(fine and (not decode or all(map(readable, cut))))
-            yield batch[["shard_id", "part", "n_files", "n_bytes", "crc32"]].assign(intact=good)
-
-    return shards.mapInPandas(hold, "shard_id bigint, part int, n_files bigint, n_bytes bigint, crc32 bigint, intact boolean")
+            for body, start, before, n, crc, pieces in zip(*[batch.column(c) for c in ("payload", "start", "before", "n_bytes", "crc32", "pieces")], strict=True):
+                view, first = memoryview(body.as_buffer()), start.as_py()
+                fine = len(view) == n.as_py() and zlib.crc32(view, before.as_py()) == crc.as_py()
+                for offset, length, own in zip(*[pieces.values.field(c).to_pylist() for c in ("offset", "length", "crc32")], strict=True):
+                    cut = view[max(0, offset - first) :][:length]
+                    fine = fine and offset >= first and len(cut) == length and zlib.crc32(cut) == own and (not decode or readable(cut))
+                good.append(fine)
+            yield batch.select(links).append_column("good", pa.array(good, pa.bool_()))
+
+    links = ["shard_id", "part", "chunk", "start", "before", "n_files", "n_bytes", "crc32", "last"]
+    summed = F.transform("pieces", lambda p: F.struct(p["offset"].alias("offset"), p["length"].alias("length"), p["crc32"].alias("crc32")))
+    held = shards.select(*links, "payload", summed.alias("pieces")).mapInArrow(
+        hold, "shard_id bigint, part int, chunk int, start bigint, before bigint, n_files bigint, n_bytes bigint, crc32 bigint, last boolean, good boolean"
+    )
+    each = F.array_sort(F.collect_list(F.struct("chunk", "start", "before", "n_bytes", "crc32", "last")))
+    parts = held.groupBy("shard_id", "part").agg(
+        F.sum("n_files").alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.max_by("crc32", "chunk").alias("crc32"), F.every("good").alias("good"), each.alias("each")
+    )
+    follows = """NOT exists(transform(each, (x, i) -> x.chunk = i AND x.last = (i = size(each) - 1)
+        AND x.start = if(i = 0, 0, get(each, i - 1).start + get(each, i - 1).n_bytes) AND x.before = if(i = 0, 0, get(each, i - 1).crc32)), fine -> NOT fine)"""
+    return parts.select("shard_id", "part", "n_files", "n_bytes", "crc32", (F.col("good") & F.expr(follows)).alias("intact"))
 
 
 def record_files(files: DataFrame, record_bytes: int, path: str = "file_path", ids: str = "patch_ids", payload: str = "map2_mask", size: str = "size_bytes", moment: str = "written_at") -> DataFrame:
@@ -242,27 +269,39 @@ def record_index(shards: DataFrame, record_bytes: int) -> DataFrame:
 
 def read_records(shards: DataFrame, record_bytes: int) -> DataFrame:
     """``record_key, record``: the bytes of every record, cut out of its shard by the index."""
-    cut = shards.select("payload", F.explode("pieces").alias("p")).select(F.substring(F.col("payload"), (F.col("p.offset") + 1).cast("int"), F.col("p.length").cast("int")).alias("piece"), F.posexplode("p.names").alias("entry", "record_key"))
+    cut = shards.select("payload", "start", F.explode("pieces").alias("p")).select(F.substring(F.col("payload"), (F.col("p.offset") - F.col("start") + 1).cast("int"), F.col("p.length").cast("int")).alias("piece"), F.posexplode("p.names").alias("entry", "record_key"))
     return cut.select("record_key", F.substring(F.col("piece"), F.col("entry") * record_bytes + 1, F.lit(record_bytes)).alias("record"))
 
 
 def write_shards(shards: DataFrame, folder: str, suffix: str = ".bin") -> DataFrame:
-    """Write each shard to a file of ``folder``, which all executors must have mounted: ``file_path, n_bytes, crc32, pieces``.
+    """Write each shard to a file of ``folder``, which all executors must have mounted: ``file_path, n_bytes, crc32, last, pieces`` for each of its rows.
 
-    A file is written under a name of its own and then renamed, so a task that runs again leaves one whole file.
+    Bytes and checksum are those of the file up to the row, of the whole file where it is the ``last``. The rows of a file must come one after another, as
+    :func:`concatenate` gives them; ValueError where one is missing. A file is written under a name of its own and then renamed, so a task that runs
+    again leaves one whole file.
     """
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, at, summed, f = None, 0, 0, None
         for batch in batches:
             out = []
-            for shard, part, body, pieces in zip(batch["shard_id"], batch["part"], batch["payload"], batch["pieces"], strict=True):
+            for shard, part, start, before, last, body, pieces in zip(*[batch[c] for c in ("shard_id", "part", "start", "before", "last", "payload", "pieces")], strict=True):
                 final = os.path.join(folder, f"shard-{int(shard):06d}-{int(part):04d}{suffix}")
-                with open(f"{final}.{uuid.uuid4().hex}.tmp", "wb") as f:
-                    f.write(body)
-                os.replace(f.name, final)
-                out.append((final, len(body), zlib.crc32(body), pieces))
-            yield pd.DataFrame(out, columns=["file_path", "n_bytes", "crc32", "pieces"])
-
-    return shards.select("shard_id", "part", "payload", "pieces").mapInPandas(put, f"file_path string, n_bytes bigint, crc32 bigint, pieces {PIECES}")
+                if f is None:
+                    name, at, summed, f = final, 0, 0, open(f"{final}.{uuid.uuid4().hex}.tmp", "wb")  # noqa: SIM115
+                if (final, start, before) != (name, at, summed):
+                    raise ValueError(f"{name} came with other rows between or with gaps")
+                f.write(body)
+                at, summed = at + len(body), zlib.crc32(body, summed)
+                if last:
+                    f.close()
+                    os.replace(f.name, final)
+                    f = None
+                out.append((final, at, summed, last, pieces))
+            yield pd.DataFrame(out, columns=["file_path", "n_bytes", "crc32", "last", "pieces"])
+        if f is not None:
+            raise ValueError(f"{name} came without its end")
+
+    return shards.select("shard_id", "part", "start", "before", "last", "payload", "pieces").mapInPandas(put, f"file_path string, n_bytes bigint, crc32 bigint, last boolean, pieces {PIECES}")
 
 
 def compact_folder(spark, pattern: str, folder: str, target_bytes: int = SHARD_BYTES, kind: str = "lines", header: bytes | None = None) -> DataFrame:
@@ -274,6 +313,6 @@ def compact_folder(spark, pattern: str, folder: str, target_bytes: int = SHARD_B
     files = spark.read.format("binaryFile").load(pattern)
     total = files.agg(F.sum("length")).first()[0] or 0
     suffix = {"lines": ".txt", "zstd": ".zst"}.get(kind, ".bin")
-    made = written(write_shards(concatenate(files.select("path", "content"), target_bytes, kind, header, total_bytes=total), folder, suffix), "compacted")
+    made = written(write_shards(concatenate(files.select("path", "content"), target_bytes, kind, header, total_bytes=total), folder, suffix), "compacted", ROW_GROUP)
     made.select("file_path", F.inline("pieces")).drop("names").write.mode("overwrite").parquet(f"{folder}/_index")
-    return made.drop("pieces")
+    return made.where("last").drop("pieces", "last")

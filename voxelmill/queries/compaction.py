@@ -18,7 +18,7 @@ def _joined(spark: SparkSession, d: str, once: bool) -> DataFrame:
     total = whole.agg(F.sum(F.size("names").cast("bigint"))).first()[0] or 0
     pieces = compaction.without_repeats(whole, RECORD_BYTES) if once else whole
     size = total * RECORD_BYTES
-    return written(compaction.concatenate(pieces, compaction.shard_size(size), total_bytes=size, names="names", version="version"), "shards")
+    return written(compaction.concatenate(pieces, compaction.shard_size(size), total_bytes=size, names="names", version="version"), "shards", compaction.ROW_GROUP)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -43,14 +43,16 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/voxelmill/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
 
-    Unlike executor-local storage the copy outlives any executor, and later reads prune columns.
+    Unlike executor-local storage the copy outlives any executor, and later reads prune columns. ``row_group`` bounds the bytes of a row
+    group where rows are large (its size is then looked at after every row).
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    sizes = {"parquet.block.size": row_group, "parquet.page.size.row.check.min": 1} if row_group else {}
+    df.write.mode("error").options(**sizes).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
