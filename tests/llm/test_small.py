@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -433,3 +434,45 @@ def test_mappings_of_no_known_decoding_are_applied(spark):
     found, garbled = encodings.learn(df, "doc_id", "text")
     assert {r.doc_id for r in found.join(garbled, "run", "left_semi").select("doc_id").distinct().collect()} == set(bad)
     assert {r.doc_id: r.restored for r in encodings.restore(df, "doc_id", "text").collect()} == {100 + i: w for i, w in enumerate(words)}
+
+
+def test_garbled_words_meet_rarer_twins_too(spark):
+    frequent, others = ["книга", "время", "рынок", "число"], ["школа", "улица", "песня", "земля", "жизнь", "месяц"]  # five different letters each, so all are twins
+    docs = [(i, " ".join(frequent + (others if i < 40 else []))) for i in range(60)]
+    bad = {100 + i: w.encode("cp1251").decode("latin-1") for i, w in enumerate(others)}
+    df = spark.createDataFrame([*docs, *bad.items()], "doc_id bigint, text string")
+    assert {r.doc_id: r.restored for r in encodings.restore(df, "doc_id", "text").collect()} == {100 + i: w for i, w in enumerate(others)}
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 64])
+def test_mappings_against_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(encodings, "CROWD", crowd)
+    rng = random.Random(9)
+    words = ["größe", "grüße", "gräße", "höfe", "häfe", "möbel", "bögen", "lösen", "tönen", "книга", "время", "рынок", "школа", "песня"]
+    runs = {w: rng.randint(20, 90) for w in words}
+    runs |= {w.encode(right).decode(wrong, "ignore"): rng.randint(1, 9) for w in words for right, wrong in (("utf-8", "cp1252"), ("cp1251", "latin-1"), ("utf-8", "latin-1")) if right == "utf-8" or w > "а"}
+    runs |= {w.replace("ö", "ĦŒ"): 2 for w in words if "ö" in w} | {"GRÖßE".replace("ß", "SS"): 4, "gr�ße": 3}
+    counts = spark.createDataFrame([*runs.items()], "run string, n bigint")
+    keyed = counts.select("run", "n", encodings.twin_key(F.col("run")).alias("key")).where("key IS NOT NULL").collect()
+    parts = lambda r: () if r.key.startswith("#") else tuple(re.split(r"[^\x00-\x7F]+", r.run.lower()))
+    met = {}
+    for a in keyed:
+        for b in keyed:
+            if a.run != b.run and (a.key, parts(a)) == (b.key, parts(b)):
+                for g, c in zip(*[re.findall(r"[^\x00-\x7F]+", x.run) for x in (a, b)]):
+                    if g.lower() != c.lower():
+                        m, n = met.setdefault((g, c), {}).get((a.key, parts(a)), (0, 0))
+                        met[g, c][a.key, parts(a)] = max(m, b.n), max(n, a.n)
+    made = encodings.decoded()
+    matters = lambda g, c, words: c in made(g) or (words >= encodings.MAPPINGS and 2 <= len(g) <= encodings.PIECE and len(c) == 1 and c.isalpha() and c.lower() not in g.lower())
+    brute = {(g, c, len({k for k, _ in w}), sum(m for m, _ in w.values()), sum(n for _, n in w.values())) for (g, c), w in met.items()}
+    got = {tuple(r)[:5] for r in encodings.mappings(counts).collect()}
+    assert len(brute) > 100
+    shape = lambda g, c: 2 <= len(g) <= encodings.PIECE and len(c) == 1 and c.isalpha() and c.lower() not in g.lower()
+    first = lambda g, k: max(w[k][0] for (a, c), w in met.items() if a == g and shape(g, c) and k in w)
+    best = {(g, c): len({k[0] for k in w if shape(g, c) and w[k][0] == first(g, k)}) for (g, c), w in met.items()}
+    assert all(r.best == best[r.garbled, r.clean] for r in encodings.mappings(counts).collect() if r.words >= encodings.MAPPINGS)
+    want = {x for x in brute if matters(*x[:3])}
+    assert len(want) > 30 and any(c in "öä" and len(g) > 1 for g, c, *_ in want)
+    assert {x for x in got if matters(*x[:3])} == want
+    assert crowd > 1 or len(got) < len(brute)  # no crowd is paired as a whole

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .ranking import top_n
 
 # The public encodings that a wrong decoding is looked for in.
 ENCODINGS = [
@@ -18,8 +17,8 @@ ENCODINGS = [
     "koi8-r", "cp437", "cp850", "cp852", "cp866", "mac_roman", "mac_cyrillic", "mac_latin2",
 ]
 
-#: Clean twins that a garbled run is held against.
-TWINS = 3
+#: Pieces of one place up to which all of them are paired; in places of more, those that a decoding or a letter tells are met by equality, which gives the same mappings.
+CROWD = 64
 #: How many times as many documents as the garbled form the clean one has where few documents are enough to tell them apart.
 RATIO = 3.0
 #: Standard deviations by which clean documents outnumber garbled ones (or, for single words, garbled may outnumber clean ones).
@@ -124,29 +123,91 @@ def twin_key(run: Column) -> Column:
     return F.when(F.length(bare) >= 2, bare).when(F.length(run) >= 5, F.concat(F.lit("#"), pattern))
 
 
-def mappings(counts: DataFrame) -> DataFrame:
-    """``garbled, clean, words, m, n, strong, certain``: non-ASCII pieces that stand for each other in twins, in how many words they do, and the
+def decoded() -> Callable[[str], dict[str, list[str]]]:
+    """A function of a piece: everything that one of the decodings, undone once to ``DEPTH`` times, makes of it, with the decodings ``wrong>right`` that do."""
+    undo, ways = undoing(), [(w, r) for w in ENCODINGS for r in ENCODINGS if w != r]
+
+    def images(piece: str) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {}
+        for wrong, right in ways:
+            now, way = piece, f"{wrong}>{right}"
+            for _ in range(DEPTH):
+                now = undo(now, wrong, right)
+                if now is None:
+                    break
+                fits = out.setdefault(now, [])
+                if not fits or fits[-1] != way:
+                    fits.append(way)
+        return out
+
+    return images
+
+
+def images(pieces: DataFrame) -> DataFrame:
+    """``garbled, clean``: for each ``piece`` whatever without ASCII characters decodings make of it."""
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = decoded()
+        for batch in batches:
+            for piece in batch["piece"]:
+                clean = [c for c in found(piece) if c != piece and min(c) > "\x7f"]
+                yield pd.DataFrame({"garbled": [piece] * len(clean), "clean": clean})
+
+    return pieces.select("piece").repartition(pieces.sparkSession.sparkContext.defaultParallelism).mapInPandas(make, "garbled string, clean string")
+
+
+def held_pieces(counts: DataFrame) -> DataFrame:
+    """``key, parts, place, piece, n, k``: the non-ASCII pieces of runs by twin key, ASCII parts and place, with the documents of their most frequent run, where
+    a place has different ones (in any case), ``k`` rows in all."""
+    parts = F.when(F.col("key").startswith("#"), F.array().cast("array<string>")).otherwise(F.split(F.lower("run"), r"[^\x00-\x7F]+"))
+    keyed = counts.withColumn("key", twin_key(F.col("run"))).where("key IS NOT NULL").withColumn("parts", F.array_join(parts, "|"))
+    each = keyed.select("key", "parts", "n", F.posexplode(F.regexp_extract_all(F.col("run"), F.lit(r"[^\x00-\x7F]+"), F.lit(0))).alias("place", "piece"))
+    pieces = each.groupBy("key", "parts", "place", "piece").agg(F.max("n").alias("n"))
+    sizes = pieces.groupBy("key", "parts", "place").agg(F.count(F.lit(1)).alias("k"), F.min(F.lower("piece")).alias("_least"), F.max(F.lower("piece")).alias("_most"))
+    return pieces.join(sizes.where("_least < _most").drop("_least", "_most"), ["key", "parts", "place"])
+
+
+def mappings(counts: DataFrame, least: int = MAPPINGS) -> DataFrame:
+    """``garbled, clean, words, m, n, strong, certain, best, letter``: non-ASCII pieces that stand for each other in twins, in how many words they do, and the
     documents of the clean and of the garbled words.
 
-    ``counts`` has each ``run`` with ``n``, its number of documents in any case. A run is aligned with the ``TWINS`` most frequent
-    words of its twin key and ASCII parts (their forms in upper and lower case count as one). Both pieces of a pair
-    are tried as the garbled one. ``strong`` are mappings with a word whose twin is ``RATIO`` times as frequent, and the ``certain`` ones, of which all words together
-    show which piece is the clean one.
+    ``counts`` has each ``run`` with ``n``, its number of documents in any case. Every run is aligned with all others of its twin key and ASCII
+    parts: what stands in one place is a pair, of which both pieces are tried as the garbled one. ``strong`` are mappings with a word whose
+    twin is ``RATIO`` times as frequent, and the ``certain`` ones, of which all words together show which piece is the clean one. ``best`` are the words in which
+    no other letter has more documents in the place of several characters (others may be garbled too), ``letter`` whether these together show the clean piece.
+
+    Given whole are all pairs of which a decoding makes the one out of the other, and all of several characters with ``least`` keys or more and a letter;
+    nothing reads others. In places of more than ``CROWD`` pieces the first meet where an image of one piece equals another, the second are
+    such pieces with the letters of the place, so no crowd is paired as a whole.
     """
-    parts = F.when(F.col("key").startswith("#"), F.array().cast("array<string>")).otherwise(F.split(F.lower("run"), r"[^\x00-\x7F]+"))
-    keyed = counts.withColumn("key", twin_key(F.col("run"))).where("key IS NOT NULL").withColumn("parts", F.array_join(parts, "|")).withColumn("folded", F.lower("run"))
-    forms = keyed.groupBy("key", "parts", "folded").agg(F.max("n").alias("m"))
-    best = top_n(forms, ["key", "parts"], "m", "folded", TWINS, "place").select("key", "parts", "folded")
-    best = keyed.join(best, ["key", "parts", "folded"]).select("key", "parts", F.col("run").alias("twin"), F.col("n").alias("m"))
-    met = keyed.join(best, ["key", "parts"]).where(F.col("run") != F.col("twin"))
-    pieces = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[^\x00-\x7F]+"), F.lit(0))
-    pairs = met.select("key", "parts", "m", "n", F.explode(F.arrays_zip(pieces("run").alias("garbled"), pieces("twin").alias("clean"))).alias("pair")).select("key", "parts", "m", "n", "pair.garbled", "pair.clean")
-    pairs = pairs.where("garbled IS NOT NULL AND clean IS NOT NULL AND lower(garbled) != lower(clean)")
+    where = ["key", "parts", "place"]
+    held = written(held_pieces(counts), "pieces")
+    few, many = held.where(F.col("k") <= CROWD), held.where(F.col("k") > CROWD)
+    garbled = lambda df: df.select(*where, F.col("piece").alias("garbled"), "n")
+    clean = lambda df: df.select(*where, F.col("piece").alias("clean"), F.col("n").alias("m"))
+    near = garbled(few).join(clean(few), where)
+    crowd = many.select("piece").distinct()
+    made = images(crowd).join(crowd.withColumnRenamed("piece", "clean"), "clean", "left_semi")
+    told = garbled(many).join(made, "garbled").join(clean(many), [*where, "clean"])
+    often = many.join(held.groupBy("piece").agg(F.countDistinct("key").alias("_keys")).where(F.col("_keys") >= least), "piece", "left_semi")
+    apart = garbled(often.where(F.length("piece").between(2, PIECE))).join(clean(many.where(F.col("piece").rlike(r"^\p{L}$"))), where)
+    pairs = near.unionByName(told).unionByName(apart).where("lower(garbled) != lower(clean)")
     words = pairs.groupBy("garbled", "clean", "key", "parts").agg(F.max("m").alias("m"), F.max("n").alias("n"))
+    letter = F.when(for_letter(), F.col("m"))
+    most = words.where(for_letter()).groupBy("garbled", "key", "parts").agg(F.max("m").alias("most"))
+    words = words.join(most, ["garbled", "key", "parts"], "left").withColumn("_best", F.coalesce(letter == F.col("most"), F.lit(False)))
     clear = F.max(F.col("m") >= F.col("n") * RATIO)
-    sums = words.groupBy("garbled", "clean").agg(F.countDistinct("key").alias("words"), F.sum("m").alias("m"), F.sum("n").alias("n"), clear.alias("clear"))
+    best = lambda c: F.when(F.col("_best"), F.col(c))
+    sums = words.groupBy("garbled", "clean").agg(
+        F.countDistinct("key").alias("words"), F.sum("m").alias("m"), F.sum("n").alias("n"), clear.alias("clear"),
+        F.countDistinct(best("key")).alias("best"), F.coalesce(sure(F.sum(best("m")), F.sum(best("n"))), F.lit(False)).alias("letter"),
+    )
     certain = sure(F.col("m"), F.col("n"))
-    return sums.select("garbled", "clean", "words", "m", "n", (F.col("clear") | certain).alias("strong"), certain.alias("certain"))
+    return sums.select("garbled", "clean", "words", "m", "n", (F.col("clear") | certain).alias("strong"), certain.alias("certain"), "best", "letter")
+
+
+def for_letter() -> Column:
+    """Whether a mapping is of several characters in the place of one letter that isn't among them."""
+    return F.length("garbled").between(2, PIECE) & F.col("clean").rlike(r"^\p{L}$") & ~F.contains(F.lower("garbled"), F.lower("clean"))
 
 
 def explained(pairs: DataFrame) -> DataFrame:
@@ -154,24 +215,16 @@ def explained(pairs: DataFrame) -> DataFrame:
     one, how many mappings have it (strong ones, those with more clean documents, certain ones) and their documents. Mappings that no decoding explains have
     an empty set. Written, as it is read again and again."""
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        undo = undoing()
-        ways = [(w, r) for w in ENCODINGS for r in ENCODINGS if w != r]
+        found, before, made = decoded(), None, {}
         for batch in batches:
             out = []
             for garbled, clean in zip(batch["garbled"], batch["clean"], strict=True):
-                fits = []
-                for wrong, right in ways:
-                    now = garbled
-                    for _ in range(DEPTH):
-                        now = undo(now, wrong, right)
-                        if now is None or now == clean:
-                            break
-                    if now == clean:
-                        fits.append(f"{wrong}>{right}")
-                out.append(fits)
+                if garbled != before:
+                    before, made = garbled, found(garbled)
+                out.append(made.get(clean, []))
             yield batch[["m", "n", "strong", "certain"]].assign(fits=out)
 
-    spread = pairs.select("garbled", "clean", "m", "n", "strong", "certain").repartition(pairs.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work
+    spread = pairs.select("garbled", "clean", "m", "n", "strong", "certain").repartition(pairs.sparkSession.sparkContext.defaultParallelism, "garbled").sortWithinPartitions("garbled")  # few bytes, much work
     fitting = spread.mapInPandas(explain, "m bigint, n bigint, strong boolean, certain boolean, fits array<string>").where(F.size("fits") > 0).groupBy("fits")
     over = F.count_if((F.col("m") > F.col("n")) | F.col("strong"))
     return written(fitting.agg(F.count_if("strong").alias("strong"), over.alias("over"), F.count_if("certain").alias("certain"), F.sum("m").alias("m"), F.sum("n").alias("n")), "explained")
@@ -208,9 +261,9 @@ def transformations(pairs: DataFrame, least: int = MAPPINGS) -> list[tuple[str,
 
 def learned_pieces(pairs: DataFrame, least: int = MAPPINGS) -> DataFrame:
     """``piece, letter``: aligned mappings that stand by themselves, whether a known decoding explains them or not: two or more characters in the place of one
-    letter that isn't among them, in ``least`` twins or more, whose documents together tell which side is clean. (Of one sign for another, twins can't tell a wrong
+    letter that isn't among them, in ``least`` twins or more in which no other letter is more frequent, whose documents together tell which side is clean. (Of one sign for another, twins can't tell a wrong
     decoding from a misspelling.) A piece that stands for several letters is none."""
-    apart = F.length("garbled").between(2, PIECE) & F.col("clean").rlike(r"^\p{L}$") & ~F.contains(F.lower("garbled"), F.lower("clean")) & (F.col("words") >= least) & F.col("certain")
+    apart = for_letter() & (F.col("best") >= least) & F.col("letter")
     ones = pairs.where(apart).groupBy(F.col("garbled").alias("piece")).agg(F.countDistinct(F.lower("clean")).alias("_ways"), F.lower(F.first("clean")).alias("letter"))
     return ones.where("_ways = 1").select("piece", "letter")
 
